@@ -52,22 +52,30 @@ def hate_pattern() -> str:
     return rf"(?:{trigger}) {chain}(?:{target}){rest}"
 
 
-def hate_pattern_count(text: Column) -> Column:
+def _where_any(low: Column, marks: Sequence[str], count: Column) -> Column:
+    # A pattern is searched only where the text holds one of its words.
+    held = F.lit(False)
+    for m in marks:
+        held = held | F.contains(low, F.lit(m))
+    return F.when(held, count).otherwise(F.lit(0))
+
+
+def hate_pattern_count(low: Column) -> Column:
     """Matches of the hate patterns in lower-cased text."""
-    low = F.lower(text)
-    counts = [tx.count_matches(low, tx.quote(p)) for p in lx.HATE_PHRASES]
-    total = tx.count_matches(low, hate_pattern())
-    for c in counts:
-        total = total + c
+    total = _where_any(low, lx.HATE_TRIGGERS, tx.count_matches(low, hate_pattern()))
+    for phrase in lx.HATE_PHRASES:
+        total = total + tx.count_literal(low, F.lit(phrase))
     return total
 
 
-def stereotype_pattern_count(text: Column) -> Column:
+def stereotype_pattern_count(low: Column) -> Column:
     """Matches of the stereotype patterns in lower-cased text."""
-    low = F.lower(text)
     total = F.lit(0)
     for p in lx.STEREOTYPE_PATTERNS:
-        total = total + tx.count_matches(low, p)
+        if "(" not in p:
+            total = total + tx.count_literal(low, F.lit(p))
+        else:
+            total = total + tx.count_matches(low, p)
     return total
 
 
@@ -91,7 +99,7 @@ def linguistic_features(df: DataFrame, text_col: str = "text") -> DataFrame:
         df.withColumn("_tok", tx.tokens(text))
         .withColumns(
             {
-                "sentence_count": F.size(tx.sentences(text)),
+                "sentence_count": tx.sentence_count(text),
                 "avg_word_length": mean_length(F.col("_tok")),
                 "capital_ratio": tx.char_ratio(text, UPPERCASE),
                 "has_question": F.array_contains("_tok", "?"),
@@ -104,7 +112,7 @@ def linguistic_features(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 def mean_length(tokens_col: Column) -> Column:
     """Mean token length, 0 when there are no tokens."""
-    return ratio(array_total(F.transform(tokens_col, F.length)), F.size(tokens_col))
+    return ratio(F.length(F.array_join(tokens_col, "")), F.size(tokens_col))
 
 
 def native_features(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -124,21 +132,28 @@ def native_features(df: DataFrame, text_col: str = "text") -> DataFrame:
     out = (
         df.withColumn("_txt", text)
         .withColumn("_tok", tx.tokens(F.col("_txt")))
-        .withColumns({"_n": F.size("_tok"), "_hit": hits, "_avg": mean_length(F.col("_tok"))})
+        .withColumns(
+            {
+                "_n": F.size("_tok"),
+                "_hit": hits,
+                "_avg": mean_length(F.col("_tok")),
+                "_low": F.lower("_txt"),
+            }
+        )
         .drop("_tok")
     )
     cols = {
         "word_count": F.col("_n"),
         "avg_word_length": F.col("_avg"),
-        "sentence_count": F.size(tx.sentences(F.col("_txt"))),
+        "sentence_count": tx.sentence_count(F.col("_txt")),
         "uppercase_ratio": tx.char_ratio(F.col("_txt"), UPPERCASE),
         "punctuation_ratio": tx.char_ratio(F.col("_txt"), PUNCTUATION),
-        "hate_pattern_count": hate_pattern_count(F.col("_txt")).cast("int"),
-        "stereotype_pattern_count": stereotype_pattern_count(F.col("_txt")).cast("int"),
+        "hate_pattern_count": hate_pattern_count(F.col("_low")).cast("int"),
+        "stereotype_pattern_count": stereotype_pattern_count(F.col("_low")).cast("int"),
     }
     for name, ws in listed.items():
         cols[name] = ratio(tx.count_in(F.col("_hit"), ws), F.col("_n"))
-    return out.withColumns({n: cols[n] for n in NATIVE_FEATURES}).drop("_txt", "_hit", "_n", "_avg")
+    return out.withColumns({n: cols[n] for n in NATIVE_FEATURES}).drop("_txt", "_low", "_hit", "_n", "_avg")
 
 
 def near_attack_ratio(text: Column, window: int = 3) -> Column:

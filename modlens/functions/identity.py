@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import re
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,21 +15,66 @@ from modlens.functions.arrays import let, running_totals
 Lexicon = dict[str, list[str]]
 Sentiment = Callable[[Column], Column]
 
-MENTION_TYPE = (
-    "array<struct<category:string,term:string,position:int,context:string,"
-    "context_sentiment:double>>"
-)
+MARK, OTHER = "\x01", "\x02"
+FOUND_TYPE = "array<struct<term:string,position:int,context:string,context_sentiment:double>>"
 
 
-def category_pattern(terms: Sequence[str]) -> str:
-    """Whole-word pattern for the terms of one category, for lower-cased text."""
-    return tx.whole_word(tx.any_of([t.lower() for t in terms]))
+def category_pattern(terms: Iterable[str]) -> str:
+    """Whole-word pattern for terms, for lower-cased text."""
+    return tx.whole_word(t.lower() for t in terms)
 
 
-def mention_count(text: Column, terms: Sequence[str]) -> Column:
-    """Number of whole-word mentions, any case; 0 for NULL."""
-    hits = tx.count_matches(F.lower(text), category_pattern(terms))
-    return F.coalesce(hits, F.lit(0)).cast("int")
+def _parts(term: str) -> list[str]:
+    return re.findall(r"\w+", term)
+
+
+def separable(terms: Iterable[str]) -> bool:
+    """True where no two terms can overlap in a text.
+
+    Then each term can be counted by itself, and terms of all categories can be searched
+    together. A term that is one word can only overlap a longer term that holds it.
+    """
+    seen: set[str] = set()
+    longer: set[str] = set()
+    for term in {t.lower() for t in terms}:
+        parts = _parts(term)
+        if len(parts) == 1 and parts[0] == term:
+            seen.add(term)
+        elif len(set(parts)) != len(parts) or longer & set(parts) or not parts:
+            return False
+        else:
+            longer |= set(parts)
+    return not seen & longer
+
+
+def listed_words(text: Column, terms: Iterable[str]) -> Column:
+    """The words of a text that are terms, in order, lower-cased."""
+    single = sorted({t.lower() for t in terms if _parts(t) == [t]})
+    found = F.regexp_extract_all(F.lower(text), F.lit(f"{tx.WORD}+"), F.lit(0))
+    return F.filter(found, lambda w: w.isin(single))
+
+
+def mention_counts(text: Column, words: Column, lexicon: Lexicon) -> dict[str, Column]:
+    """Per category the number of whole-word mentions, any case; 0 for NULL.
+
+    ``words`` are the ``listed_words`` of all terms: the text is cut into words once, however
+    many categories there are. Terms of several words are searched where the text holds them.
+    """
+    low = F.lower(text)
+    out = {}
+    for category, terms in lexicon.items():
+        lowered = [t.lower() for t in terms]
+        if separable(lowered):
+            n = tx.count_in(words, [t for t in lowered if _parts(t) == [t]])
+            for t in lowered:
+                if _parts(t) != [t]:
+                    n = n + F.when(
+                        F.contains(low, F.lit(t)), tx.count_matches(low, category_pattern([t]))
+                    ).otherwise(F.lit(0))
+        else:
+            n = tx.count_matches(low, category_pattern(lowered))
+        out[category] = F.coalesce(n, F.lit(0)).cast("int")
+    return out
 
 
 def no_sentiment(context: Column) -> Column:
@@ -53,16 +99,12 @@ def lexicon_sentiment(
     return score
 
 
-def category_mentions(
-    text: Column,
-    category: str,
-    terms: Sequence[str],
-    window: int = 5,
-    sentiment: Sentiment = no_sentiment,
+def found_terms(
+    text: Column, terms: Iterable[str], window: int = 5, sentiment: Sentiment = no_sentiment
 ) -> Column:
-    """Mentions of one category as an array of structs, in text order.
+    """Mentions of terms as structs (term, position, context, context_sentiment), in text order.
 
-    The text is split at the matches. Character positions and word positions are running sums
+    The text is cut at the matches. Character positions and word positions are running sums
     over the pieces, so the work is linear in the text.
     """
     pattern = category_pattern(terms)
@@ -87,7 +129,6 @@ def category_mentions(
                 width = (ix + window + 1 - first).cast("int")
                 context = F.array_join(F.slice(all_words, first + 1, width), " ")
                 return F.struct(
-                    F.lit(category).alias("category"),
                     m.alias("term"),
                     at.alias("position"),
                     context.alias("context"),
@@ -110,8 +151,11 @@ def category_mentions(
         return let(
             F.struct(
                 F.regexp_extract_all(low, F.lit(pattern), F.lit(0)).alias("found"),
-                # The last piece, after the last match, is not needed.
-                F.split(low, pattern).alias("pieces"),
+                # Cut at a mark in place of each match; a mark in the text itself is swapped
+                # for another character first. The piece after the last match is not needed.
+                F.split(
+                    F.regexp_replace(F.translate(low, MARK, OTHER), pattern, MARK), MARK
+                ).alias("pieces"),
                 tx.words(text).alias("words"),
             ),
             lambda s: assemble(
@@ -119,9 +163,17 @@ def category_mentions(
             ),
         )
 
-    empty = F.array().cast(MENTION_TYPE)
-    low = F.lower(text)
-    return F.when(low.rlike(pattern), let(low, found_in)).otherwise(empty)
+    return F.when(F.lower(text).rlike(pattern), let(F.lower(text), found_in)).otherwise(
+        F.array().cast(FOUND_TYPE)
+    )
+
+
+def _in_category(found: Column, category: str) -> Column:
+    fields = ("term", "position", "context", "context_sentiment")
+    return F.transform(
+        found,
+        lambda m: F.struct(F.lit(category).alias("category"), *[m[f].alias(f) for f in fields]),
+    )
 
 
 def mentions(
@@ -130,10 +182,22 @@ def mentions(
     window: int = 5,
     sentiment: Sentiment = no_sentiment,
 ) -> Column:
-    """Mentions of all categories, category after category."""
-    return F.concat(
-        *[category_mentions(text, c, t, window, sentiment) for c, t in lexicon.items()]
-    )
+    """Mentions of all categories, category after category, each in text order.
+
+    Where terms cannot overlap, the text is searched once for all of them.
+    """
+    if not separable(t for terms in lexicon.values() for t in terms):
+        per = [_in_category(found_terms(text, t, window, sentiment), c) for c, t in lexicon.items()]
+        return F.concat(*per)
+
+    def of(found: Column, category: str, terms: Sequence[str]) -> Column:
+        listed = [t.lower() for t in terms]
+        return _in_category(F.filter(found, lambda m: m["term"].isin(listed)), category)
+
+    def spread(found: Column) -> Column:
+        return F.concat(*[of(found, c, terms) for c, terms in lexicon.items()])
+
+    return let(found_terms(text, lx.distinct_terms(lexicon), window, sentiment), spread)
 
 
 def term_counts(text: Column, lexicon: Lexicon = lx.IDENTITY_TERMS) -> Column:
@@ -154,9 +218,3 @@ def term_counts(text: Column, lexicon: Lexicon = lx.IDENTITY_TERMS) -> Column:
             tx.count_literal(text, p["term"]).alias("n"),
         ),
     )
-
-
-__all__ = [
-    "Lexicon", "MENTION_TYPE", "category_mentions", "category_pattern", "lexicon_sentiment",
-    "mention_count", "mentions", "no_sentiment", "term_counts",
-]

@@ -37,7 +37,7 @@ def negation_tokens() -> list[str]:
 
 def negation_pattern() -> str:
     """Whole-word pattern of the negation triggers, for lower-cased text."""
-    return tx.whole_word(tx.any_of(negation_tokens()))
+    return tx.whole_word(negation_tokens())
 
 
 def mark_negation(
@@ -67,7 +67,8 @@ def mark_negation(
     def token_in(values: set[str]) -> str:
         return f"(?:{tx.any_of(list(values))}){end}" if values else "(?!)"
 
-    opener = f"(?<![^ ]){token_in(opening)}"
+    firsts = "".join(sorted({w[0] for w in opening}))
+    opener = f"(?=[{firsts}])(?<![^ ]){token_in(opening)}"
     skipped = f"(?: {token_in(identity)})*+"
     ordinary = f" (?!{token_in(special)})[^ ]++"
     plain = f" {token_in(unmarked)}"
@@ -77,14 +78,20 @@ def mark_negation(
     if not preserve_case:
         keep = sorted(special)
         toks = F.transform(toks, lambda t: F.when(F.lower(t).isin(keep), t).otherwise(F.lower(t)))
-    out = tx.joined(toks)
-    for before in (
-        skipped,
-        skipped + ordinary + skipped,
-        skipped + plain + skipped + plain + skipped,
-    ):
-        out = F.regexp_replace(out, f"(?iu)({opener}{before} ){may_mark}", f"$1{lx.NEGATION_PREFIX}")
-    return F.coalesce(out, F.lit(""))
+    flags = "(?i)" if all(w.isascii() for w in special | unmarked) else "(?iu)"
+
+    def marked(joined: Column) -> Column:
+        out = joined
+        for before in (
+            skipped,
+            skipped + ordinary + skipped,
+            skipped + plain + skipped + plain + skipped,
+        ):
+            pattern = f"{flags}({opener}{before} ){may_mark}"
+            out = F.regexp_replace(out, pattern, f"$1{lx.NEGATION_PREFIX}")
+        return F.when(joined.rlike(flags + opener), out).otherwise(joined)
+
+    return F.coalesce(let(tx.joined(toks), marked), F.lit(""))
 
 
 def polarity(
@@ -102,16 +109,13 @@ def polarity(
     """
     wanted = string_array(sorted({t.lower() for t in terms}))
     pattern = negation_pattern()
+    hit_type = "array<struct<n:int,pos:int,neg:int>>"
 
     def term_hit(toks: Column, term: Column) -> Column:
         def with_context(first: Column) -> Column:
+            start = F.greatest(first - window, F.lit(0))
             context = F.when(
-                first >= 0,
-                F.slice(
-                    toks,
-                    F.greatest(first - window, F.lit(0)) + 1,
-                    first + window + 1 - F.greatest(first - window, F.lit(0)),
-                ),
+                first >= 0, F.slice(toks, start + 1, first + window + 1 - start)
             ).otherwise(toks)
             counted = (first >= 0) | F.contains(term, F.lit(" "))
             return let(
@@ -126,29 +130,44 @@ def polarity(
         holds = F.transform(toks, lambda w: F.contains(w, term))
         return let(F.array_position(holds, F.lit(True)).cast("int") - 1, with_context)
 
-    def per_phrase(phrase: Column) -> Column:
-        low = F.lower(phrase)
-        found = F.filter(wanted, lambda t: F.contains(low, t))
-        hits = F.when(
-            F.size(found) > 0,
-            let(tx.tokens(low), lambda toks: F.transform(found, lambda t: term_hit(toks, t))),
-        ).otherwise(F.array().cast("array<struct<n:int,pos:int,neg:int>>"))
+    def per_phrase(low: Column, present: Column) -> Column:
+        def with_terms(found: Column) -> Column:
+            hits = let(tx.tokens(low), lambda toks: F.transform(found, lambda t: term_hit(toks, t)))
+            return let(
+                F.struct(low.rlike(pattern).cast("int").alias("negated"), hits.alias("hits")),
+                lambda s: F.struct(
+                    (s["negated"] * array_total(s["hits"]["n"], "int")).alias("n"),
+                    array_total(s["hits"]["pos"], "int").alias("pos"),
+                    array_total(s["hits"]["neg"], "int").alias("neg"),
+                ),
+            )
+
+        none = F.lit(None).cast("struct<n:int,pos:int,neg:int>")
         return let(
-            F.struct(low.rlike(pattern).cast("int").alias("negated"), hits.alias("hits")),
-            lambda s: F.struct(
-                s["negated"].alias("negated"),
-                (s["negated"] * array_total(s["hits"]["n"], "int")).alias("inside"),
-                array_total(s["hits"]["pos"], "int").alias("pos"),
-                array_total(s["hits"]["neg"], "int").alias("neg"),
-            ),
+            F.filter(present, lambda t: F.contains(low, t)),
+            lambda found: F.when(F.size(found) > 0, with_terms(found)).otherwise(none),
         )
 
-    def totals(per: Column) -> Column:
-        return F.struct(
-            *[
-                F.coalesce(array_total(per[field], "int"), F.lit(0)).alias(name)
-                for field, name in zip(("negated", "inside", "pos", "neg"), POLARITY_COLUMNS)
-            ]
+    def all_counts(low: Column) -> Column:
+        # A match takes the rest of its phrase with it, so a phrase counts once.
+        negations = F.regexp_count(low, F.lit(f"{pattern}[^.!?]*+"))
+        present = F.filter(wanted, lambda t: F.contains(low, t))
+
+        def in_phrases(found: Column) -> Column:
+            # Only terms the text holds are looked for in its phrases.
+            per = F.transform(tx.phrases(low), lambda p: per_phrase(p, found))
+            held = F.filter(per, lambda s: s.isNotNull())
+            return F.when(F.size(found) > 0, held).otherwise(F.array().cast(hit_type))
+
+        return let(
+            let(present, in_phrases),
+            lambda p: F.struct(
+                negations.cast("int").alias(POLARITY_COLUMNS[0]),
+                *[
+                    array_total(p[field], "int").alias(name)
+                    for field, name in zip(("n", "pos", "neg"), POLARITY_COLUMNS[1:])
+                ],
+            ),
         )
 
-    return let(F.transform(tx.phrases(F.coalesce(text, F.lit(""))), per_phrase), totals)
+    return let(F.lower(F.coalesce(text, F.lit(""))), all_counts)

@@ -7,7 +7,7 @@ for the count functions used as features, which say so.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,7 +16,8 @@ from modlens import lexicons as lx
 from modlens.functions.arrays import let, string_array
 
 # Character classes, written out so that they do not depend on the Java version.
-WORD_CHARS = r"\p{L}\p{M}\p{N}_"
+# \w comes first: it settles ASCII letters without a look at the Unicode category.
+WORD_CHARS = r"\w\p{L}\p{M}\p{N}"
 SPACE_CHARS = r"\t\n\x0b\f\r\x1c-\x1f \x85\p{Z}"
 WORD = f"[{WORD_CHARS}]"
 SPACE = f"[{SPACE_CHARS}]"
@@ -30,14 +31,39 @@ def quote(term: str) -> str:
     return re.sub(r"([^\w\s])", r"\\\1", term, flags=re.ASCII) if term.isascii() else f"\\Q{term}\\E"
 
 
-def any_of(terms: Sequence[str]) -> str:
-    """Alternation of literal terms, longer ones first."""
-    return "|".join(quote(t) for t in sorted(set(terms), key=lambda t: (-len(t), t)))
+def any_of(terms: Iterable[str]) -> str:
+    """Alternation of literal terms, longer ones first.
 
+    Common beginnings are written once, so a position that begins no term fails after one
+    comparison per first letter and not after one per term.
+    """
+    by_first: dict[str, set[str]] = {}
+    for term in set(terms):
+        by_first.setdefault(term[:1], set()).add(term[1:])
+    complete = "" in by_first
+    by_first.pop("", None)
+    parts = []
+    for first in sorted(by_first):
+        rest = by_first[first]
+        tail = any_of(rest)
+        grouped = f"(?:{tail})" if len(rest) > 1 and not tail.startswith("(?:") else tail
+        parts.append(quote(first) + grouped)
+    if complete:
+        return f"(?:{'|'.join(parts)})?" if parts else ""
+    return "|".join(parts)
+
+
+def whole_word(terms: Iterable[str]) -> str:
+    """Any of the terms with no word character on either side.
 
-def whole_word(alternation: str) -> str:
-    """The alternation with no word character on either side."""
-    return f"(?<!{WORD})(?:{alternation})(?!{WORD})"
+    The look at the first character comes first, as it is the cheapest test and fails at most
+    places.
+    """
+    listed = sorted(set(terms))
+    if not listed:
+        return "(?!)"
+    firsts = "".join(sorted({re.sub(r"(\W)", r"\\\1", t[0]) for t in listed}))
+    return rf"(?=[{firsts}])(?<!\w)(?<![\p{{L}}\p{{M}}\p{{N}}])(?:{any_of(listed)})(?!{WORD})"
 
 
 # -- links, addresses, characters ------------------------------------------------------
@@ -53,7 +79,8 @@ def has_url(text: Column, marks: Sequence[str] = ("http",)) -> Column:
 
 def remove_urls(text: Column) -> Column:
     """Delete ``http(s)://…`` and ``www.…`` up to the next blank."""
-    return F.regexp_replace(text, rf"https?://{NOT_SPACE}+|www\.{NOT_SPACE}+", "")
+    cut = F.regexp_replace(text, rf"https?://{NOT_SPACE}+|www\.{NOT_SPACE}+", "")
+    return F.when(F.contains(text, F.lit("http")) | F.contains(text, F.lit("www.")), cut).otherwise(text)
 
 
 def _email_body() -> str:
@@ -72,7 +99,8 @@ def remove_emails(text: Column) -> Column:
     A match may only begin where a run of address characters begins, or where the match
     before ended; a long run without ``@`` is thus read once and not once per character.
     """
-    return F.regexp_replace(text, rf"(?:\G|(?<![{lx.EMAIL_CHARS}])){_email_body()}", "")
+    cut = F.regexp_replace(text, rf"(?:\G|(?<![{lx.EMAIL_CHARS}])){_email_body()}", "")
+    return F.when(F.contains(text, F.lit("@")), cut).otherwise(text)
 
 
 def keep_printable(text: Column) -> Column:
@@ -118,34 +146,49 @@ def expand_shorthand(text: Column, entries: Sequence[tuple[str, str]]) -> Column
         parts.append(f"[^{WORD_CHARS}{starts}]+")
     parts.append(f"[^{WORD_CHARS}]" if starts else f"[^{WORD_CHARS}]+")
     pattern = F.lit("|".join(parts))
-    pieces = F.regexp_extract_all(text, pattern, F.lit(0))
+    single = [k for k in symbols if len(k) == 1]
 
     def swap(piece: Column, values: dict[str, str]) -> Column:
         lookup = F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
         known = piece.isin(list(values))
         return F.when(known, F.element_at(lookup, piece)).otherwise(piece)
 
-    out = F.array_join(F.transform(pieces, lambda p: swap(p, plain | symbols)), "")
-    single = [k for k in symbols if len(k) == 1]
-    if not single:
-        return out
-    # A one-character key that touches a word is left over as a piece of its own and must stay.
-    # Texts holding such a character are cut by key (group 1) as well as by piece.
-    keyed = F.regexp_extract_all(text, pattern, F.lit(1))
-    exact = F.zip_with(
-        pieces, keyed, lambda p, k: F.when(k != "", swap(k, symbols)).otherwise(swap(p, plain))
-    )
-    return F.when(text.rlike("|".join(quote(k) for k in single)), F.array_join(exact, "")).otherwise(out)
+    def rewritten(t: Column) -> Column:
+        pieces = F.regexp_extract_all(t, pattern, F.lit(0))
+        out = F.array_join(F.transform(pieces, lambda p: swap(p, plain | symbols)), "")
+        if not single:
+            return out
+        # A one-character key that touches a word is left over as a piece of its own and must
+        # stay. Texts holding such a character are cut by key (group 1) as well as by piece.
+        keyed = F.regexp_extract_all(t, pattern, F.lit(1))
+        exact = F.zip_with(
+            pieces, keyed, lambda p, k: F.when(k != "", swap(k, symbols)).otherwise(swap(p, plain))
+        )
+        return F.when(t.rlike(any_of(single)), F.array_join(exact, "")).otherwise(out)
+
+    return let(text, lambda t: F.when(t.rlike(whole_word(table)), rewritten(t)).otherwise(t))
 
 
 def expand_all(
     text: Column, passes: Sequence[Sequence[tuple[str, str]]] = lx.SUBSTITUTION_PASSES
 ) -> Column:
-    """Run the dictionary passes in order, each on the output of the one before."""
-    for entries in passes:
-        if entries:
-            text = expand_shorthand(text, entries)
-    return text
+    """Run the dictionary passes in order, each on the output of the one before.
+
+    A text that holds no key of any pass is left as it is after one look.
+    """
+    keys = [key for entries in passes for key, _ in entries]
+    if not keys:
+        return text
+
+    def all_passes(t: Column) -> Column:
+        for entries in passes:
+            if entries:
+                t = expand_shorthand(t, entries)
+        return t
+
+    return let(
+        text, lambda t: F.when(t.rlike(whole_word(keys)), all_passes(t)).otherwise(t)
+    )
 
 
 def clean(
@@ -160,7 +203,7 @@ def clean(
 
 def words(text: Column) -> Column:
     """Words between blanks."""
-    return F.filter(F.split(text, f"{SPACE}+"), lambda w: w != "")
+    return F.regexp_extract_all(text, F.lit(f"{NOT_SPACE}+"), F.lit(0))
 
 
 def word_total(text: Column) -> Column:
@@ -170,12 +213,14 @@ def word_total(text: Column) -> Column:
 
 def phrases(text: Column) -> Column:
     """Stretches between ``.``, ``!`` and ``?``; blank ones are left out."""
-    return F.filter(F.split(text, "[.!?]"), lambda p: F.regexp_replace(p, f"{SPACE}+", "") != "")
+    return F.filter(
+        F.regexp_extract_all(text, F.lit("[^.!?]+"), F.lit(0)), lambda p: p.rlike(NOT_SPACE)
+    )
 
 
 _TOKEN = (
-    rf"(?<!{WORD})(?:{TITLES})\.|[nN]'[tT](?!{WORD})"
-    rf"|'(?i:s|re|ve|ll|d|m)(?!{WORD})|{WORD}+|[^{WORD_CHARS}{SPACE_CHARS}]"
+    rf"[nN]'[tT](?!{WORD})|{WORD}+(?:\.(?<=(?<!{WORD})(?:{TITLES})\.))?"
+    rf"|'(?i:s|re|ve|ll|d|m)(?!{WORD})|[^{WORD_CHARS}{SPACE_CHARS}]"
 )
 
 
@@ -183,6 +228,7 @@ def tokens(text: Column) -> Column:
     """Words and punctuation marks; ``don't`` gives ``do``, ``n't`` and ``cannot`` ``can``, ``not``."""
     apart = F.regexp_replace(text, rf"(?<!{WORD})([cC][aA][nN])([nN][oO][tT])(?!{WORD})", "$1 $2")
     apart = F.regexp_replace(apart, rf"({WORD})([nN]'[tT])(?!{WORD})", "$1 $2")
+    apart = F.when(text.rlike("[nN](?:'[tT]|[nN][oO][tT])"), apart).otherwise(text)
     return F.regexp_extract_all(apart, F.lit(_TOKEN), F.lit(0))
 
 
@@ -202,6 +248,13 @@ def sentences(text: Column) -> Column:
     return F.filter(tidy, lambda s: s != "")
 
 
+def sentence_count(text: Column) -> Column:
+    """Number of sentences, without building them."""
+    end = rf"[.!?](?<!(?<!{WORD})(?:{TITLES})\.)[.!?]*[\"')\]]*{SPACE}+(?={NOT_SPACE})"
+    inner = F.regexp_count(text, F.lit(end))
+    return F.when(text.rlike(NOT_SPACE), inner + 1).otherwise(F.when(text.isNotNull(), F.lit(0)))
+
+
 def corpus_words(text: Column) -> Column:
     """Lower-cased words for vocabulary work: ASCII punctuation but ``'`` separates, as do blanks."""
     spaced = F.regexp_replace(F.lower(text), r"[!-&(-/:-@\[-`{-~\t\n]+", " ")

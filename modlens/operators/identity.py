@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from modlens import lexicons as lx
 from modlens.functions import identity as idf
 from modlens.functions import text as tx
+from modlens.functions.arrays import let
 from modlens.functions.identity import Lexicon, Sentiment, no_sentiment
 from modlens.sources.tables import small_table
 
@@ -35,11 +36,17 @@ def identity_columns(
     and no context is built.
     """
     text = F.col(text_col)
-    counts = {f"{c}_mentions": idf.mention_count(text, terms) for c, terms in lexicon.items()}
+    per = idf.mention_counts(text, F.col("_words"), lexicon)
+    counts = {f"{c}_mentions": n for c, n in per.items()}
     total = F.lit(0)
     for name in counts:
         total = total + F.col(name)
-    out = df.withColumns(counts).withColumn("identity_term_count", total)
+    out = (
+        df.withColumn("_words", idf.listed_words(text, lx.distinct_terms(lexicon)))
+        .withColumns(counts)
+        .drop("_words")
+        .withColumn("identity_term_count", total)
+    )
     if sentiment is None:
         mean = F.lit(0.0)
     else:
@@ -82,17 +89,17 @@ def nested_mentions(
 ) -> DataFrame:
     """Per document a map from category to its mentions; categories without one are left out."""
     text = F.col(text_col)
-    entries = F.array(
-        *[
-            F.struct(
-                F.lit(c).alias("category"),
-                idf.category_mentions(text, c, terms, window, sentiment).alias("found"),
-            )
-            for c, terms in lexicon.items()
-        ]
-    )
-    kept = F.filter(entries, lambda e: F.size(e["found"]) > 0)
-    return df.select(key, F.map_from_entries(kept).alias("identity_mentions"))
+    every = idf.mentions(text, lexicon, window, sentiment)
+
+    def entry(found: Column, category: str) -> Column:
+        own = F.filter(found, lambda m: m["category"] == category)
+        return F.struct(F.lit(category).alias("category"), own.alias("found"))
+
+    def grouped(found: Column) -> Column:
+        entries = F.array(*[entry(found, c) for c in lexicon])
+        return F.map_from_entries(F.filter(entries, lambda e: F.size(e["found"]) > 0))
+
+    return df.select(key, let(every, grouped).alias("identity_mentions"))
 
 
 def term_statistics(
@@ -105,21 +112,15 @@ def term_statistics(
     """Per (category, term): mentions, mentions in positive rows, and their ratio.
 
     Counts are case-sensitive substrings, so "man" counts in "woman"; ``word_boundary`` counts
-    whole words instead. One pass: only the terms a text holds are exploded, and counts are
+    whole words of any case instead. One pass: only the terms a text holds are exploded, and counts are
     summed per partition before the shuffle of at most one row per term.
     """
     text = F.col(text_col)
     if word_boundary:
-        found = F.concat(
-            *[
-                F.transform(
-                    F.regexp_extract_all(text, F.lit(idf.category_pattern(terms)), F.lit(0)),
-                    lambda t, c=c: F.struct(
-                        F.lit(c).alias("category"), t.alias("term"), F.lit(1).cast("bigint").alias("n")
-                    ),
-                )
-                for c, terms in lexicon.items()
-            ]
+        one = F.lit(1).cast("bigint").alias("n")
+        every = idf.mentions(text, lexicon)
+        found = F.transform(
+            every, lambda m: F.struct(m["category"].alias("category"), m["term"].alias("term"), one)
         )
     else:
         found = idf.term_counts(text, lexicon)
