@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _BLOCK = 64
@@ -19,6 +19,18 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def with_fields(df: DataFrame, fields: dict[str, Column]) -> DataFrame:
+    """The frame with costly columns that are computed once per row.
+
+    A filter on a plain derived column is pushed below it, and the derivation is then done once
+    more for the filter. Filters do not pass a generator, so the columns come out of a
+    one-element ``inline``. Columns of the same name are replaced.
+    """
+    rest = [c for c in df.columns if c not in fields]
+    row = F.struct(*[c.alias(n) for n, c in fields.items()])
+    return df.select(*rest, F.inline(F.array(row)))
+
+
 def string_array(values: Iterable[str]) -> Column:
     """A constant array of strings."""
     items = list(values)

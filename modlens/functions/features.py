@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from modlens import lexicons as lx
 from modlens.functions import text as tx
-from modlens.functions.arrays import array_total, let
+from modlens.functions.arrays import array_total, let, with_fields
 
 TAGGED_TYPE = "array<struct<i:int,text:string,pos:string,head:int,sent:int>>"
 PUNCTUATION = r"!-/:-@\[-`{-~"
@@ -95,19 +95,23 @@ def bias_pattern_counts(text: Column, terms: Sequence[str]) -> dict[str, Column]
 def linguistic_features(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Sentence count, mean token length, capital share, question and exclamation flags."""
     text = F.col(text_col)
-    return (
-        df.withColumn("_tok", tx.tokens(text))
-        .withColumns(
-            {
-                "sentence_count": tx.sentence_count(text),
-                "avg_word_length": mean_length(F.col("_tok")),
-                "capital_ratio": tx.char_ratio(text, UPPERCASE),
-                "has_question": F.array_contains("_tok", "?"),
-                "has_exclamation": F.array_contains("_tok", "!"),
-            }
+
+    def of_tokens(toks: Column) -> Column:
+        return F.struct(
+            mean_length(toks).alias("avg_word_length"),
+            F.array_contains(toks, "?").alias("has_question"),
+            F.array_contains(toks, "!").alias("has_exclamation"),
         )
-        .drop("_tok")
+
+    out = with_fields(
+        df,
+        {
+            "sentence_count": tx.sentence_count(text),
+            "capital_ratio": tx.char_ratio(text, UPPERCASE),
+            "_s": let(tx.tokens(text), of_tokens),
+        },
     )
+    return out.select("*", "_s.*").drop("_s")
 
 
 def mean_length(tokens_col: Column) -> Column:
@@ -127,33 +131,32 @@ def native_features(df: DataFrame, text_col: str = "text") -> DataFrame:
         **{f"{name}_ratio": ws for name, ws in lx.EMOTION_WORDS.items()},
     }
     every = sorted({w for ws in listed.values() for w in ws})
-    text = F.when(tx.is_blank(F.col(text_col)), F.lit("")).otherwise(F.col(text_col))
-    hits = F.filter(F.transform(F.col("_tok"), F.lower), lambda t: t.isin(every))
-    out = (
-        df.withColumn("_txt", text)
-        .withColumn("_tok", tx.tokens(F.col("_txt")))
-        .withColumns(
-            {
-                "_n": F.size("_tok"),
-                "_hit": hits,
-                "_avg": mean_length(F.col("_tok")),
-                "_low": F.lower("_txt"),
-            }
+
+    def of_tokens(toks: Column) -> Column:
+        hits = F.filter(F.transform(toks, F.lower), lambda t: t.isin(every))
+        return F.struct(
+            F.size(toks).alias("n"), mean_length(toks).alias("mean"), hits.alias("hits")
         )
-        .drop("_tok")
-    )
-    cols = {
-        "word_count": F.col("_n"),
-        "avg_word_length": F.col("_avg"),
-        "sentence_count": tx.sentence_count(F.col("_txt")),
-        "uppercase_ratio": tx.char_ratio(F.col("_txt"), UPPERCASE),
-        "punctuation_ratio": tx.char_ratio(F.col("_txt"), PUNCTUATION),
-        "hate_pattern_count": hate_pattern_count(F.col("_low")).cast("int"),
-        "stereotype_pattern_count": stereotype_pattern_count(F.col("_low")).cast("int"),
-    }
-    for name, ws in listed.items():
-        cols[name] = ratio(tx.count_in(F.col("_hit"), ws), F.col("_n"))
-    return out.withColumns({n: cols[n] for n in NATIVE_FEATURES}).drop("_txt", "_low", "_hit", "_n", "_avg")
+
+    def of_text(text: Column, low: Column, s: Column) -> dict[str, Column]:
+        out = {
+            "word_count": s["n"],
+            "avg_word_length": s["mean"],
+            "sentence_count": tx.sentence_count(text),
+            "uppercase_ratio": tx.char_ratio(text, UPPERCASE),
+            "punctuation_ratio": tx.char_ratio(text, PUNCTUATION),
+            "hate_pattern_count": hate_pattern_count(low).cast("int"),
+            "stereotype_pattern_count": stereotype_pattern_count(low).cast("int"),
+        }
+        for name, ws in listed.items():
+            out[name] = ratio(tx.count_in(s["hits"], ws), s["n"])
+        return out
+
+    text = F.when(tx.is_blank(F.col(text_col)), F.lit("")).otherwise(F.col(text_col))
+    base = df.withColumn("_txt", text).withColumn("_low", F.lower("_txt"))
+    base = with_fields(base, {"_s": let(tx.tokens(F.col("_txt")), of_tokens)})
+    cols = of_text(F.col("_txt"), F.col("_low"), F.col("_s"))
+    return with_fields(base, {n: cols[n] for n in NATIVE_FEATURES}).drop("_txt", "_low", "_s")
 
 
 def near_attack_ratio(text: Column, window: int = 3) -> Column:

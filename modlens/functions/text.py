@@ -79,8 +79,13 @@ def has_url(text: Column, marks: Sequence[str] = ("http",)) -> Column:
 
 def remove_urls(text: Column) -> Column:
     """Delete ``http(s)://…`` and ``www.…`` up to the next blank."""
-    cut = F.regexp_replace(text, rf"https?://{NOT_SPACE}+|www\.{NOT_SPACE}+", "")
-    return F.when(F.contains(text, F.lit("http")) | F.contains(text, F.lit("www.")), cut).otherwise(text)
+    pattern = rf"https?://{NOT_SPACE}+|www\.{NOT_SPACE}+"
+
+    def cut(t: Column) -> Column:
+        marked = F.contains(t, F.lit("http")) | F.contains(t, F.lit("www."))
+        return F.when(marked, F.regexp_replace(t, pattern, "")).otherwise(t)
+
+    return let(text, cut)
 
 
 def _email_body() -> str:
@@ -99,8 +104,12 @@ def remove_emails(text: Column) -> Column:
     A match may only begin where a run of address characters begins, or where the match
     before ended; a long run without ``@`` is thus read once and not once per character.
     """
-    cut = F.regexp_replace(text, rf"(?:\G|(?<![{lx.EMAIL_CHARS}])){_email_body()}", "")
-    return F.when(F.contains(text, F.lit("@")), cut).otherwise(text)
+    pattern = rf"(?:\G|(?<![{lx.EMAIL_CHARS}])){_email_body()}"
+
+    def cut(t: Column) -> Column:
+        return F.when(F.contains(t, F.lit("@")), F.regexp_replace(t, pattern, "")).otherwise(t)
+
+    return let(text, cut)
 
 
 def keep_printable(text: Column) -> Column:
@@ -226,10 +235,15 @@ _TOKEN = (
 
 def tokens(text: Column) -> Column:
     """Words and punctuation marks; ``don't`` gives ``do``, ``n't`` and ``cannot`` ``can``, ``not``."""
-    apart = F.regexp_replace(text, rf"(?<!{WORD})([cC][aA][nN])([nN][oO][tT])(?!{WORD})", "$1 $2")
-    apart = F.regexp_replace(apart, rf"({WORD})([nN]'[tT])(?!{WORD})", "$1 $2")
-    apart = F.when(text.rlike("[nN](?:'[tT]|[nN][oO][tT])"), apart).otherwise(text)
-    return F.regexp_extract_all(apart, F.lit(_TOKEN), F.lit(0))
+
+    def apart(t: Column) -> Column:
+        cut = F.regexp_replace(
+            t, rf"(?<!{WORD})([cC][aA][nN])([nN][oO][tT])(?!{WORD})", "$1 $2"
+        )
+        cut = F.regexp_replace(cut, rf"({WORD})([nN]'[tT])(?!{WORD})", "$1 $2")
+        return F.when(t.rlike("[nN](?:'[tT]|[nN][oO][tT])"), cut).otherwise(t)
+
+    return F.regexp_extract_all(let(text, apart), F.lit(_TOKEN), F.lit(0))
 
 
 def _sentence_marked(text: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from modlens import lexicons as lx
 from modlens.functions import identity as idf
 from modlens.functions import text as tx
-from modlens.functions.arrays import let
+from modlens.functions.arrays import let, with_fields
 from modlens.functions.identity import Lexicon, Sentiment, no_sentiment
 from modlens.sources.tables import small_table
 
@@ -19,11 +19,6 @@ def lexicon_table(spark: SparkSession, lexicon: Lexicon = lx.IDENTITY_TERMS) ->
     return small_table(spark, rows, "category string, term string")
 
 
-def any_term_pattern(lexicon: Lexicon) -> str:
-    """Pattern that finds any term of the lexicon, for lower-cased text."""
-    return idf.category_pattern(lx.distinct_terms(lexicon))
-
-
 def identity_columns(
     df: DataFrame,
     text_col: str = "text",
@@ -36,30 +31,34 @@ def identity_columns(
     and no context is built.
     """
     text = F.col(text_col)
-    per = idf.mention_counts(text, F.col("_words"), lexicon)
-    counts = {f"{c}_mentions": n for c, n in per.items()}
-    total = F.lit(0)
-    for name in counts:
-        total = total + F.col(name)
-    out = (
-        df.withColumn("_words", idf.listed_words(text, lx.distinct_terms(lexicon)))
-        .withColumns(counts)
-        .drop("_words")
-        .withColumn("identity_term_count", total)
-    )
-    if sentiment is None:
-        mean = F.lit(0.0)
-    else:
-        scores = F.transform(
-            idf.mentions(text, lexicon, sentiment=sentiment), lambda m: m["context_sentiment"]
+
+    def counted(words: Column) -> Column:
+        per = idf.mention_counts(text, words, lexicon)
+        total = F.lit(0)
+        for n in per.values():
+            total = total + n
+        return F.struct(
+            *[n.alias(f"{c}_mentions") for c, n in per.items()],
+            total.alias("identity_term_count"),
         )
-        summed = F.aggregate(scores, F.lit(0.0), lambda a, x: a + x)
-        mean = F.coalesce(F.try_divide(summed, F.col("identity_term_count")), F.lit(0.0))
-    return out.withColumns(
-        {
-            "has_identity_terms": F.col("identity_term_count") > 0,
-            "identity_context_sentiment": mean,
-        }
+
+    def mean_sentiment() -> Column:
+        if sentiment is None:
+            return F.lit(0.0)
+        scores = idf.mentions(text, lexicon, sentiment=sentiment)["context_sentiment"]
+        return let(
+            scores,
+            lambda s: F.coalesce(
+                F.try_divide(F.aggregate(s, F.lit(0.0), lambda a, x: a + x), F.size(s)), F.lit(0.0)
+            ),
+        )
+
+    counts = let(idf.listed_words(text, lx.distinct_terms(lexicon)), counted)
+    out = with_fields(df, {"_idn": counts, "identity_context_sentiment": mean_sentiment()})
+    return (
+        out.select("*", "_idn.*")
+        .drop("_idn")
+        .withColumn("has_identity_terms", F.col("identity_term_count") > 0)
     )
 
 
@@ -73,10 +72,7 @@ def mention_table(
 ) -> DataFrame:
     """One row per mention: key, category, term, position, context, context_sentiment."""
     text = F.col(text_col)
-    hit = df.filter(F.lower(text).rlike(any_term_pattern(lexicon)))
-    return hit.select(
-        key, F.explode(idf.mentions(text, lexicon, window, sentiment)).alias("m")
-    ).select(key, "m.*")
+    return df.select(key, F.inline(idf.mentions(text, lexicon, window, sentiment)))
 
 
 def nested_mentions(

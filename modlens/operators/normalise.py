@@ -10,14 +10,15 @@ from pyspark.sql import functions as F
 from modlens import lexicons as lx
 from modlens.functions import negation as ng
 from modlens.functions import text as tx
+from modlens.functions.arrays import with_fields
 from modlens.functions.identity import Lexicon
 
 
 def clean_comments(
     df: DataFrame, text_col: str = "text", passes: Sequence = lx.SUBSTITUTION_PASSES
 ) -> DataFrame:
-    """The frame with its text column cleaned; one projection."""
-    return df.withColumn(text_col, tx.clean(F.col(text_col), passes))
+    """The frame with its text column cleaned; one pass, no shuffle."""
+    return with_fields(df, {text_col: tx.clean(F.col(text_col), passes)}).select(*df.columns)
 
 
 def normalise(
@@ -30,16 +31,14 @@ def normalise(
     """The frame with ``normalized_text`` and the four polarity columns; no shuffle."""
     terms = lx.distinct_terms(lexicon)
     text = F.col(text_col)
-    return (
-        df.withColumns(
-            {
-                "normalized_text": ng.mark_negation(text, terms, stop_words, preserve_case),
-                "_pol": ng.polarity(text, terms),
-            }
-        )
-        .select("*", "_pol.*")
-        .drop("_pol")
+    out = with_fields(
+        df,
+        {
+            "normalized_text": ng.mark_negation(text, terms, stop_words, preserve_case),
+            "_pol": ng.polarity(text, terms),
+        },
     )
+    return out.select("*", "_pol.*").drop("_pol")
 
 
 def toxic_with_identity(df: DataFrame, label: str = "toxic") -> DataFrame:
