@@ -89,8 +89,8 @@ def length_stats(df: DataFrame, text_col: str = "text") -> DataFrame:
     hist = length_histogram(df, text_col).filter(F.col("length").isNotNull())
     return hist.agg(
         (F.sum(F.col("length") * F.col("n")) / F.sum("n")).alias("mean_length"),
-        F.percentile("length", F.lit(0.5), "n").alias("median_length"),
-        F.percentile("length", F.lit(0.95), "n").alias("p95_length"),
+        F.percentile("length", F.lit(0.5), F.col("n")).alias("median_length"),
+        F.percentile("length", F.lit(0.95), F.col("n")).alias("p95_length"),
     ).withColumn("maxlen", F.col("p95_length").cast("int"))
 
 
