@@ -48,12 +48,14 @@ def read_comments(
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """Write a table as CSV with a header, quotes doubled."""
+    """Write a table as CSV with a header, quotes doubled, blanks at the ends kept."""
     (
         df.write.mode("overwrite")
         .option("header", True)
         .option("escape", '"')
         .option("quoteAll", True)
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
     )
 
