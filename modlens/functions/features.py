@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -12,7 +13,7 @@ from modlens.functions import text as tx
 from modlens.functions.arrays import array_total, let, with_fields
 
 TAGGED_TYPE = "array<struct<i:int,text:string,pos:string,head:int,sent:int>>"
-PUNCTUATION = r"!-/:-@\[-`{-~"
+PUNCTUATION = string.punctuation
 UPPERCASE = r"\p{Lu}"
 
 NATIVE_FEATURES = [
@@ -144,7 +145,7 @@ def native_features(df: DataFrame, text_col: str = "text") -> DataFrame:
             "avg_word_length": s["mean"],
             "sentence_count": tx.sentence_count(text),
             "uppercase_ratio": tx.char_ratio(text, UPPERCASE),
-            "punctuation_ratio": tx.char_ratio(text, PUNCTUATION),
+            "punctuation_ratio": tx.char_set_ratio(text, PUNCTUATION),
             "hate_pattern_count": hate_pattern_count(low).cast("int"),
             "stereotype_pattern_count": stereotype_pattern_count(low).cast("int"),
         }

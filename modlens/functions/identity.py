@@ -111,20 +111,28 @@ def found_terms(
     word_start = rf"{tx.SPACE}(?={tx.NOT_SPACE})"
 
     def assemble(found: Column, gaps: Column, all_words: Column) -> Column:
-        # gaps[k] is the text between match k-1 and match k. The first gap is led by a blank
-        # so that a word at the very start counts as one.
-        led = F.transform(gaps, lambda g, k: F.when(k == 0, F.concat(F.lit(" "), g)).otherwise(g))
-        lengths = F.zip_with(gaps, found, lambda g, m: F.length(g) + F.length(m))
-        starts = F.zip_with(
-            led, found, lambda g, m: F.regexp_count(F.concat(g, m), F.lit(word_start))
+        # gaps[k] is the text between match k-1 and match k. Words that begin inside a gap are
+        # counted once; the first gap is led by a blank so that the very first word counts.
+        inner = F.transform(
+            gaps,
+            lambda g, k: F.regexp_count(
+                F.when(k == 0, F.concat(F.lit(" "), g)).otherwise(g), F.lit(word_start)
+            ),
+        )
+        # Words that begin inside or at a match: its own first word if the gap ends in a blank
+        # or there is no text before it, and the words after its first blank.
+        own = F.zip_with(
+            gaps, found, lambda g, m: F.regexp_count(F.concat(F.right(g, F.lit(1)), m), F.lit(word_start))
         )
+        own = F.transform(
+            own, lambda n, k: n + F.when((k == 0) & (gaps[0] == ""), F.lit(1)).otherwise(F.lit(0))
+        )
+        lengths = F.zip_with(gaps, found, lambda g, m: F.length(g) + F.length(m))
 
-        def record(led_a: Column, ends: Column, starts_a: Column, word_ends: Column) -> Column:
+        def record(s: Column) -> Column:
             def one(m: Column, k: Column) -> Column:
-                at = (ends[k] - F.length(m)).cast("int")
-                # words that begin before the match: those up to the match before, and those
-                # inside the gap
-                ix = word_ends[k] - starts_a[k] + F.regexp_count(led_a[k], F.lit(word_start))
+                at = (s["ends"][k] - F.length(m)).cast("int")
+                ix = s["word_ends"][k] - s["own"][k]
                 first = F.greatest(ix - window, F.lit(0)).cast("int")
                 width = (ix + window + 1 - first).cast("int")
                 context = F.array_join(F.slice(all_words, first + 1, width), " ")
@@ -138,13 +146,17 @@ def found_terms(
             return F.transform(found, one)
 
         return let(
-            F.struct(
-                led.alias("led"),
-                running_totals(lengths).alias("ends"),
-                starts.alias("starts"),
-                running_totals(starts).alias("word_ends"),
+            F.struct(inner.alias("inner"), own.alias("own"), lengths.alias("lengths")),
+            lambda p: let(
+                F.struct(
+                    p["own"].alias("own"),
+                    running_totals(p["lengths"]).alias("ends"),
+                    running_totals(F.zip_with(p["inner"], p["own"], lambda a, b: a + b)).alias(
+                        "word_ends"
+                    ),
+                ),
+                record,
             ),
-            lambda s: record(s["led"], s["ends"], s["starts"], s["word_ends"]),
         )
 
     def found_in(low: Column) -> Column:

@@ -315,6 +315,12 @@ def char_ratio(text: Column, char_class: str) -> Column:
     return F.coalesce(F.try_divide(kept, F.length(text)), F.lit(0.0))
 
 
+def char_set_ratio(text: Column, chars: str) -> Column:
+    """Share of the characters that are one of ``chars``; 0 for an empty text."""
+    other = F.length(F.translate(text, chars, ""))
+    return F.coalesce(F.try_divide(F.length(text) - other, F.length(text)), F.lit(0.0))
+
+
 def is_blank(text: Column) -> Column:
     """NULL, empty, or blanks only."""
     return text.isNull() | ~text.rlike(NOT_SPACE)

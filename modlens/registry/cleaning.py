@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import functions as F
 
 from modlens import lexicons as lx
@@ -12,12 +14,9 @@ from modlens.registry.inputs import (
     read, sql_corpus_words, sql_expanded, sql_sentences, sql_tokens, sql_words,
 )
 
-text = F.col("text")
-
-
 def url_flag(spark, folder):
     """Rows with a link, flag kept."""
-    return comments(spark, folder).withColumn("url_in_text", tx.has_url(text)).filter("url_in_text")
+    return comments(spark, folder).withColumn("url_in_text", tx.has_url(F.col("text"))).filter("url_in_text")
 
 
 def url_class_counts(spark, folder):
@@ -34,12 +33,12 @@ def page_address_removal(spark, folder):
 
 
 def remove_urls(spark, folder):
-    return comments(spark, folder).select("doc_id", tx.remove_urls(text).alias("text"))
+    return comments(spark, folder).select("doc_id", tx.remove_urls(F.col("text")).alias("text"))
 
 
 def email_flag(spark, folder):
     """Flag for an address at the start of the text, on the last line of each comment."""
-    last = F.element_at(F.split(text, "\n"), -1)
+    last = F.element_at(F.split(F.col("text"), "\n"), -1)
     tail = F.regexp_replace(last, "^.*? to ", "")
     return comments(spark, folder).select(
         "doc_id", tx.starts_with_email(tail).alias("email_in_text")
@@ -47,17 +46,17 @@ def email_flag(spark, folder):
 
 
 def remove_emails(spark, folder):
-    return comments(spark, folder).select("doc_id", tx.remove_emails(text).alias("text"))
+    return comments(spark, folder).select("doc_id", tx.remove_emails(F.col("text")).alias("text"))
 
 
 def keep_printable(spark, folder):
-    return comments(spark, folder).select("doc_id", tx.keep_printable(text).alias("text"))
+    return comments(spark, folder).select("doc_id", tx.keep_printable(F.col("text")).alias("text"))
 
 
 def expand_shorthand(spark, folder):
     """The dictionary passes one by one, on printable text."""
-    df = comments(spark, folder).withColumn("text", tx.keep_printable(text))
-    cols = [tx.expand_shorthand(text, p).alias(f"pass_{i + 1}")
+    df = comments(spark, folder).withColumn("text", tx.keep_printable(F.col("text")))
+    cols = [tx.expand_shorthand(F.col("text"), p).alias(f"pass_{i + 1}")
             for i, p in enumerate(lx.SUBSTITUTION_PASSES)]
     return df.select("doc_id", *cols)
 
@@ -75,45 +74,45 @@ def clean_turns(spark, folder):
 def word_split(spark, folder):
     return comments(spark, folder).select(
         "doc_id",
-        tx.word_total(text).cast("bigint").alias("n_words"),
-        F.size(tx.words(F.lower(text))).cast("bigint").alias("n_lower_words"),
-        F.get(tx.words(F.lower(text)), F.lit(0)).alias("first_word"),
+        tx.word_total(F.col("text")).cast("bigint").alias("n_words"),
+        F.size(tx.words(F.lower(F.col("text")))).cast("bigint").alias("n_lower_words"),
+        F.get(tx.words(F.lower(F.col("text"))), F.lit(0)).alias("first_word"),
     )
 
 
 def phrase_split(spark, folder):
     return cleaned(spark, folder).select(
-        "doc_id", F.explode(tx.phrases(text)).alias("phrase")
+        "doc_id", F.explode(tx.phrases(F.col("text"))).alias("phrase")
     )
 
 
 def tokenise(spark, folder):
-    toks = cleaned(spark, folder).select("doc_id", tx.tokens(text).alias("t"))
+    toks = cleaned(spark, folder).select("doc_id", tx.tokens(F.col("text")).alias("t"))
     return toks.select(
         "doc_id", F.size("t").cast("bigint").alias("n_tokens"), tx.joined(F.col("t")).alias("tokens")
     )
 
 
 def sentence_split(spark, folder):
-    return cleaned(spark, folder).select("doc_id", F.explode(tx.sentences(text)).alias("sentence"))
+    return cleaned(spark, folder).select("doc_id", F.explode(tx.sentences(F.col("text"))).alias("sentence"))
 
 
 def corpus_words(spark, folder):
-    return comments(spark, folder).select("doc_id", F.explode(tx.corpus_words(text)).alias("word"))
+    return comments(spark, folder).select("doc_id", F.explode(tx.corpus_words(F.col("text"))).alias("word"))
 
 
 def character_ratios(spark, folder):
     return cleaned(spark, folder).select(
         "doc_id",
-        F.round(tx.char_ratio(text, "A-Z"), 6).alias("uppercase_ratio"),
-        F.round(tx.char_ratio(text, r"!-/:-@\[-`{-~"), 6).alias("punctuation_ratio"),
-        tx.count_matches(text, r"[A-Z]\w+").cast("bigint").alias("capitalised"),
+        F.round(tx.char_ratio(F.col("text"), "A-Z"), 6).alias("uppercase_ratio"),
+        F.round(tx.char_set_ratio(F.col("text"), string.punctuation), 6).alias("punctuation_ratio"),
+        tx.count_matches(F.col("text"), r"[A-Z]\w+").cast("bigint").alias("capitalised"),
     )
 
 
 def null_guard(spark, folder):
     """Blank texts flagged and counts given as 0, on lines of the documents."""
-    lines = comments(spark, folder).select("doc_id", F.explode(F.split(text, "\n")).alias("line"))
+    lines = comments(spark, folder).select("doc_id", F.explode(F.split(F.col("text"), "\n")).alias("line"))
     line = F.when(F.length("line") % 5 == 0, F.lit(None)).otherwise(F.col("line"))
     df = lines.select("doc_id", line.alias("line"))
     return df.groupBy("doc_id").agg(

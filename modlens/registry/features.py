@@ -16,7 +16,7 @@ from modlens.registry.identity import (
     IDENTITY, LABELLED, STOP_WORDS,
 )
 from modlens.registry.inputs import (
-    CLEANED, Query, cleaned, comments, labelled, quoted, read, sql_in, sql_sentences, sql_tokens,
+    CLEANED, Query, cleaned, comments, documents, labelled, quoted, read, sql_in, sql_sentences, sql_tokens,
 )
 from modlens.registry.negation import _sql_marked, _sql_polarity
 
@@ -27,7 +27,7 @@ def _rounded(df, names=None):
 
 def aggression_by_class(spark, folder):
     """Documents and mean share of aggressive words, toxic against other; given texts, cleaned."""
-    docs = clean_comments(read(spark, folder, "documents").select("doc_id", "text"))
+    docs = clean_comments(documents(spark, folder))
     ratios = docs.select(
         "doc_id",
         let(

@@ -58,6 +58,16 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The frame over all cores, where its files give fewer tasks than there are cores.
+
+    A small file is one task, which a costly text job would leave at that. A large table has
+    more tasks than cores and stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def commented(df: DataFrame) -> DataFrame:
     """Key and text, with a sentence appended."""
     picks = F.array(*[F.lit(s) for s in SENTENCES])
@@ -65,9 +75,14 @@ def commented(df: DataFrame) -> DataFrame:
     return df.withColumn("text", F.concat_ws(" ", F.col("text"), pick))
 
 
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Given documents: doc_id, text."""
+    return spread(read(spark, folder, "documents").select("doc_id", "text"))
+
+
 def comments(spark: SparkSession, folder: str) -> DataFrame:
     """Comment table: doc_id, text."""
-    return commented(read(spark, folder, "documents").select("doc_id", "text"))
+    return commented(documents(spark, folder))
 
 
 def cleaned(spark: SparkSession, folder: str) -> DataFrame:
