@@ -61,8 +61,11 @@ def dictionary_from_file(spark, folder):
 
 def stream_enrich(spark, folder):
     """The documents as a stream, enriched with all text columns and appended as Parquet."""
-    schema = read(spark, folder, "documents").schema
-    stream = read_stream(spark, folder, schema, "documents.parquet").select("doc_id", "text")
+    batch = read(spark, folder, "documents")
+    cores = spark.sparkContext.defaultParallelism
+    tasks = cores if batch.rdd.getNumPartitions() < cores else None
+    stream = read_stream(spark, folder, batch.schema, "documents.parquet", tasks=tasks)
+    stream = stream.select("doc_id", "text")
     out = enrich(commented(stream), stop_words=STOP_WORDS)
     path = run_dir(spark, "enriched")
     query = write_available(out.select("doc_id", *lx.FEATURE_COLUMNS), path, run_dir(spark, "progress"))

@@ -58,14 +58,20 @@ def component_moments(spark, folder):
     )
 
 
-def make_shape_model():
-    """A stand-in model: text length and the counts of four letters."""
+def shape_model():
+    """Loader of a stand-in model: text length and the counts of four letters.
 
-    def predict(texts: np.ndarray) -> np.ndarray:
-        rows = [[len(t), *[t.count(c) for c in "aent"]] for t in texts]
-        return np.array(rows, dtype=np.float32)
+    The loader is a local function, so Spark ships its code and workers need not import it.
+    """
 
-    return predict
+    def load():
+        def predict(texts: np.ndarray) -> np.ndarray:
+            rows = [[len(t), *[t.count(c) for c in "aent"]] for t in texts]
+            return np.array(rows, dtype=np.float32)
+
+        return predict
+
+    return load
 
 
 def _flat(df):
@@ -77,15 +83,15 @@ def _flat(df):
 
 def embedded_texts(spark, folder):
     docs = read(spark, folder, "documents").select("doc_id", "text")
-    return _flat(embed_texts(docs, make_shape_model))
+    return _flat(embed_texts(docs, shape_model()))
 
 
 def kept_vectors(spark, folder):
     """Vectors of the English documents kept first, then of all; the second run adds the rest."""
     docs = read(spark, folder, "documents").select("doc_id", "text", "lang")
     path = run_dir(spark, "vectors")
-    cached_vectors(docs.filter(F.col("lang") == "en"), path, make_shape_model)
-    return _flat(cached_vectors(docs, path, make_shape_model))
+    cached_vectors(docs.filter(F.col("lang") == "en"), path, shape_model())
+    return _flat(cached_vectors(docs, path, shape_model()))
 
 
 LONG = (

@@ -16,13 +16,17 @@ from modlens.plans.manual_forest import feature_table
 
 def read_stream(
     spark: SparkSession, folder: str, schema: T.StructType, name_filter: str | None = None,
-    files_per_batch: int = 1000,
+    files_per_batch: int = 1000, tasks: int | None = None,
 ) -> DataFrame:
-    """New Parquet files of a folder as a stream."""
+    """New Parquet files of a folder as a stream.
+
+    ``tasks`` spreads the rows of a batch of few small files; leave it out for large batches.
+    """
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
     if name_filter:
         reader = reader.option("pathGlobFilter", name_filter)
-    return reader.parquet(folder)
+    stream = reader.parquet(folder)
+    return stream.repartition(tasks) if tasks else stream
 
 
 def enrich(
