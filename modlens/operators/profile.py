@@ -59,12 +59,13 @@ def coverage(frequencies: DataFrame, share: float = 0.9, mode: str = "reference"
     runs = hist.withColumn(
         "base", F.coalesce(F.sum((c * m).cast("decimal(38,0)")).over(w), F.lit(0)).cast("decimal(38,0)")
     )
+    # The same few rows as above, so one window more.
     if mode == "reference":
         # words with base + c, base + 2c, ... base + mc
         whole = F.sum((m * base).cast("double") + (c * m).cast("double") * (m + 1).cast("double") / 2)
     else:
         whole = F.sum((c * m).cast("double"))
-    limit = runs.agg(whole * share).scalar()
+    limit = whole.over(Window.partitionBy()) * share
     inside = F.floor((F.col("limit") - base.cast("double")) / c.cast("double"))
     return runs.withColumn("limit", limit).agg(
         F.sum("m").alias("vocabulary"),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from modlens.sources.tables import small_table
 
 MAX_GROUPS = 10_000
+MAX_BUCKETS = 1024
 
 
 def top_k(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
@@ -32,40 +33,63 @@ def first_per_class(df: DataFrame, label: str, key: str = "doc_id") -> DataFrame
     return top_k_per(df, [label], [F.col(key).asc()], 1).drop("rank")
 
 
-def range_buckets(df: DataFrame, by: str, value: str, buckets: int = 256) -> DataFrame:
+def range_buckets(
+    df: DataFrame, by: str, value: str, rows_per_bucket: int = 200_000
+) -> DataFrame:
     """The frame with ``_bucket``, which rises with ``value`` inside each group.
 
-    The cut points are approximate quantiles of each group. They are fetched once, so that all
-    later uses (and re-runs after a lost executor) see the same buckets; their number is the
-    number of groups times ``buckets``. Equal values share a bucket.
+    The cut points are approximate quantiles of each group, as many as its size asks for and
+    ``MAX_BUCKETS`` at most. They are fetched once, so that all later uses (and re-runs after a
+    lost executor) see the same buckets. Equal values share a bucket.
     """
-    steps = [i / buckets for i in range(1, buckets)]
+    steps = ", ".join(f"{i / MAX_BUCKETS}D" for i in range(1, MAX_BUCKETS))
     rows = (
         df.groupBy(by)
-        .agg(F.percentile_approx(value, steps, 10_000).alias("_cuts"))
+        .agg(
+            F.count("*").alias("_n"),
+            F.expr(f"percentile_approx(`{value}`, array({steps}), {10 * MAX_BUCKETS})").alias("_q"),
+        )
         .limit(MAX_GROUPS + 1)
         .collect()
     )
     if len(rows) > MAX_GROUPS:
         raise ValueError(f"more than {MAX_GROUPS} groups in {by}")
+
+    def cut_points(n: int, quantiles: list[float] | None) -> list[float]:
+        wanted = min(MAX_BUCKETS, -(-n // rows_per_bucket))
+        step = MAX_BUCKETS // wanted
+        return sorted({float(q) for q in (quantiles or [])[step - 1 :: step]})
+
     cuts = small_table(
         df.sparkSession,
-        [(r[by], sorted({float(c) for c in r["_cuts"] or []})) for r in rows],
+        [(r[by], cut_points(r["_n"], r["_q"])) for r in rows],
         f"{by} {df.schema[by].dataType.simpleString()}, _cuts array<double>",
     )
-    below = F.size(F.filter("_cuts", lambda c: c < F.col(value)))
-    return df.join(F.broadcast(cuts), by).withColumn("_bucket", below).drop("_cuts")
+
+    def below(points: Column) -> Column:
+        return F.size(F.filter(points, lambda c: c < F.col(value)))
+
+    # Two steps, over every 32nd point and then over 32 points, in place of one over all.
+    coarse = F.filter(F.col("_cuts"), lambda _, i: i % 32 == 31)
+    first = below(coarse) * 32
+    return (
+        df.join(F.broadcast(cuts), by)
+        .withColumn("_first", first)
+        .withColumn("_bucket", F.col("_first") + below(F.slice("_cuts", F.col("_first") + 1, F.lit(32))))
+        .drop("_cuts", "_first")
+    )
 
 
 def running_sums(
-    df: DataFrame, by: str, order: str, values: Sequence[str], buckets: int = 256
+    df: DataFrame, by: str, order: str, values: Sequence[str], rows_per_bucket: int = 200_000
 ) -> DataFrame:
     """Inclusive running sums per group over ascending ``order``, as ``cum_<value>``.
 
     ``order`` must be distinct inside a group (aggregate first). Sums run inside range buckets;
     the sums of the buckets before are added from a table of groups x buckets rows.
     """
-    return bucketed_sums(range_buckets(df, by, order, buckets), by, order, values).drop("_bucket")
+    b = range_buckets(df, by, order, rows_per_bucket)
+    return bucketed_sums(b, by, order, values).drop("_bucket")
 
 
 def bucketed_sums(b: DataFrame, by: str, order: str, values: Sequence[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from modlens.functions import text as tx
+from modlens.session import checkpointed
 
 MAX_WORDS = 200_000
 
@@ -20,20 +21,17 @@ def word_index(
     """
     if num_words > MAX_WORDS:
         raise ValueError(f"num_words may be {MAX_WORDS} at most")
-    words_col = tx.corpus_words(F.col(text_col))
-    counts = df.select(F.explode(words_col).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    order = [F.col("n").desc()]
+    exploded = F.posexplode(tx.corpus_words(F.col(text_col))).alias("_ix", "word")
+    measures, order = [F.count("*").alias("n")], [F.col("n").desc()]
     if ties == "first_seen":
-        # array_distinct keeps words in the order of their first place in the text. One number
-        # for (key, place) keeps the aggregate hash-based.
+        # One number for (key, place) keeps the aggregate hash-based and in one pass.
         place = F.col(key).cast("decimal(28,0)") * F.lit(10**9).cast("decimal(10,0)")
-        seen = (
-            df.select(place.alias("_at"), F.posexplode(F.array_distinct(words_col)).alias("_ix", "word"))
-            .groupBy("word")
-            .agg(F.min((F.col("_at") + F.col("_ix")).cast("decimal(38,0)")).alias("_first"))
-        )
-        counts = counts.join(seen, "word")
+        words = df.select(place.alias("_at"), exploded)
+        measures.append(F.min((F.col("_at") + F.col("_ix")).cast("decimal(38,0)")).alias("_first"))
         order.append(F.col("_first").asc())
+    else:
+        words = df.select(exploded)
+    counts = words.groupBy("word").agg(*measures)
     order.append(F.col("word").asc())
     kept = counts.orderBy(*order).limit(max(num_words - 1, 0))
     rank = F.row_number().over(Window.orderBy(*order))
@@ -53,9 +51,11 @@ class SequenceEncoder:
         self.index: DataFrame | None = None
 
     def fit(self, df: DataFrame, maxlen: int) -> "SequenceEncoder":
-        """Learn the word ids of a training table."""
+        """Learn the word ids of a training table; they are written to the shared folder."""
         self.maxlen = maxlen
-        self.index = word_index(df, self.max_features, self.text_col, self.key, self.ties)
+        self.index = checkpointed(
+            word_index(df, self.max_features, self.text_col, self.key, self.ties)
+        )
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -81,13 +81,14 @@ def label_correlation(df: DataFrame, vector_col: str = "embedding", label: str =
 
 def correlation_histogram(correlations: DataFrame, bins: int = 50) -> DataFrame:
     """Equal-width histogram of the correlations between their minimum and maximum."""
-    low = correlations.agg(F.min("correlation")).scalar()
-    high = correlations.agg(F.max("correlation")).scalar()
-    at = F.floor((F.col("correlation") - low) / (high - low) * bins)
+    every = Window.partitionBy()  # one row per dimension
+    low, high = F.min("correlation").over(every), F.max("correlation").over(every)
+    at = F.floor(F.try_divide(F.col("correlation") - low, high - low) * bins)
     bin_no = F.coalesce(F.least(at, F.lit(bins - 1)), F.lit(0)).cast("int")
     return (
         correlations.filter(F.col("correlation").isNotNull())
-        .groupBy(bin_no.alias("bin"))
+        .withColumn("bin", bin_no)
+        .groupBy("bin")
         .agg(F.count("*").alias("n"))
     )
 

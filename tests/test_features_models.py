@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from modlens import lexicons as lx
 from modlens.functions import features as ft
 from modlens.operators import analysis, metrics, models, profile, splits, vectors
-from modlens.operators.ranking import running_sums, top_k_per
+from modlens.operators.ranking import range_buckets, running_sums, top_k_per
 from modlens.operators.sequences import SequenceEncoder, word_index
 from modlens.operators.tfidf import fit_tfidf
 from modlens.plans import embedding_forest, manual_forest
@@ -112,8 +112,11 @@ def test_bins_are_right_closed(spark):
 def test_running_sums_over_many_buckets(spark):
     rows = [("x", float(i % 997) + i / 1e6, 1) for i in range(3000)] + [("y", 1.0, 7)]
     df = spark.createDataFrame(rows, "g string, v double, n bigint")
-    got = sorted((r["v"], r["cum_n"]) for r in running_sums(df, "g", "v", ["n"], 16).filter("g = 'x'").collect())
-    assert [c for _, c in got] == list(range(1, 3001))
+    for rows_per_bucket in (10, 200, 10_000):
+        out = running_sums(df, "g", "v", ["n"], rows_per_bucket).filter("g = 'x'").collect()
+        assert [c for _, c in sorted((r["v"], r["cum_n"]) for r in out)] == list(range(1, 3001))
+    buckets = range_buckets(df, "g", "v", 10).groupBy("g", "_bucket").count().filter("g = 'x'")
+    assert buckets.count() > 250 and buckets.agg(F.max("count")).first()[0] < 60
 
 
 def test_group_limit_is_pushed_before_the_shuffle(spark):
