@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
@@ -31,10 +32,19 @@ def with_fields(df: DataFrame, fields: dict[str, Column]) -> DataFrame:
     return df.select(*rest, F.inline(F.array(row)))
 
 
+def literal(value: object, dtype: str) -> Column:
+    """A constant array or map as one literal: planning stays short however long it is."""
+    return F.from_json(F.lit(json.dumps(value)), dtype)
+
+
 def string_array(values: Iterable[str]) -> Column:
     """A constant array of strings."""
-    items = list(values)
-    return F.array(*[F.lit(v) for v in items]) if items else F.array().cast("array<string>")
+    return literal(list(values), "array<string>")
+
+
+def string_map(values: dict[str, str]) -> Column:
+    """A constant map of strings."""
+    return literal(values, "map<string,string>")
 
 
 def array_total(values: Column, dtype: str = "bigint") -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from modlens import lexicons as lx
 from modlens.functions import text as tx
-from modlens.functions.arrays import let, running_totals
+from modlens.functions.arrays import let, literal, running_totals
 
 Lexicon = dict[str, list[str]]
 Sentiment = Callable[[Column], Column]
@@ -214,13 +214,8 @@ def mentions(
 
 def term_counts(text: Column, lexicon: Lexicon = lx.IDENTITY_TERMS) -> Column:
     """Per (category, term) the case-sensitive substring count; terms that occur only."""
-    pairs = F.array(
-        *[
-            F.struct(F.lit(c).alias("category"), F.lit(t).alias("term"))
-            for c, terms in lexicon.items()
-            for t in terms
-        ]
-    )
+    listed = [{"category": c, "term": t} for c, terms in lexicon.items() for t in terms]
+    pairs = literal(listed, "array<struct<category:string,term:string>>")
     present = F.filter(pairs, lambda p: F.contains(text, p["term"]))
     return F.transform(
         present,

@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from modlens import lexicons as lx
-from modlens.functions.arrays import let, string_array
+from modlens.functions.arrays import let, string_array, string_map
 
 # Character classes, written out so that they do not depend on the Java version.
 # \w comes first: it settles ASCII letters without a look at the Unicode category.
@@ -158,9 +158,9 @@ def expand_shorthand(text: Column, entries: Sequence[tuple[str, str]]) -> Column
     single = [k for k in symbols if len(k) == 1]
 
     def swap(piece: Column, values: dict[str, str]) -> Column:
-        lookup = F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+        # The hash test comes first; only a key is looked up in the map.
         known = piece.isin(list(values))
-        return F.when(known, F.element_at(lookup, piece)).otherwise(piece)
+        return F.when(known, F.element_at(string_map(values), piece)).otherwise(piece)
 
     def rewritten(t: Column) -> Column:
         pieces = F.regexp_extract_all(t, pattern, F.lit(0))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from modlens import lexicons as lx
 from modlens.functions import identity as idf
 from modlens.functions import text as tx
-from modlens.functions.arrays import let, with_fields
+from modlens.functions.arrays import let, string_array, with_fields
 from modlens.functions.identity import Lexicon, Sentiment, no_sentiment
 from modlens.sources.tables import small_table
 
@@ -148,7 +148,7 @@ def phrase_term_pairs(
     lexicon: Lexicon = lx.IDENTITY_TERMS,
 ) -> DataFrame:
     """Which phrase of which document holds which term as a substring."""
-    terms = F.array(*[F.lit(t) for t in lx.distinct_terms(lexicon)])
+    terms = string_array(lx.distinct_terms(lexicon))
     phrase = df.select(
         key, F.posexplode(tx.phrases(F.lower(F.col(text_col)))).alias("phrase_no", "phrase")
     )

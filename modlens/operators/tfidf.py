@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import unicodedata
 from dataclasses import dataclass
 
@@ -11,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from modlens.functions import text as tx
-from modlens.functions.arrays import let
+from modlens.functions.arrays import let, literal, string_array
 
 MAX_VOCABULARY = 262_144
 
@@ -69,11 +68,6 @@ def vocabulary(df: DataFrame, text_col: str = "text", max_features: int = 10_000
     )
 
 
-def _literal_array(values: list, dtype: str) -> Column:
-    # One literal instead of one node per value.
-    return F.from_json(F.lit(json.dumps(values)), f"array<{dtype}>")
-
-
 @dataclass(frozen=True)
 class TfidfModel:
     """Alphabetical vocabulary with its inverse document frequencies."""
@@ -90,7 +84,7 @@ class TfidfModel:
             self.vocabulary, inputCol="_terms", outputCol="_tf"
         )
         counted = counter.transform(df.withColumn("_terms", terms(F.col(text_col))))
-        idf = _literal_array(self.idf, "double")
+        idf = literal(self.idf, "array<double>")
         sparse = F.unwrap_udt(F.col("_tf"))
         scaled = F.zip_with(
             sparse["indices"], sparse["values"], lambda i, v: (1 + F.log(v)) * F.get(idf, i)
@@ -106,7 +100,7 @@ class TfidfModel:
 
     def long(self, df: DataFrame, text_col: str = "text", key: str = "doc_id") -> DataFrame:
         """One row per document and term: key, term, weight."""
-        names = _literal_array(self.vocabulary, "string")
+        names = string_array(self.vocabulary)
         pair = F.explode(F.arrays_zip("indices", "weights")).alias("p")
         return (
             self.weights(df.select(key, text_col), text_col)

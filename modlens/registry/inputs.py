@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from modlens import lexicons as lx
 from modlens.functions import text as tx
+from modlens.functions.arrays import string_array
 from modlens.operators.normalise import clean_comments
 
 
@@ -70,7 +71,7 @@ def spread(df: DataFrame) -> DataFrame:
 
 def commented(df: DataFrame) -> DataFrame:
     """Key and text, with a sentence appended."""
-    picks = F.array(*[F.lit(s) for s in SENTENCES])
+    picks = string_array(SENTENCES)
     pick = F.get(picks, (F.col("doc_id") % len(SENTENCES)).cast("int"))
     return df.withColumn("text", F.concat_ws(" ", F.col("text"), pick))
 
@@ -118,7 +119,7 @@ def labelled(spark: SparkSession, folder: str, clean: bool = True) -> DataFrame:
 def scores(spark: SparkSession, folder: str) -> DataFrame:
     """Prediction rows (doc_id, label_name, y, p, yhat): a score that leans towards y."""
     long = labels(spark, folder).unpivot(["doc_id"], lx.LABELS, "label_name", "y")
-    ix = F.array_position(F.array(*[F.lit(n) for n in lx.LABELS]), F.col("label_name"))
+    ix = F.array_position(string_array(lx.LABELS), F.col("label_name"))
     h = (F.col("doc_id") * 7919 + ix * 104729) % 700
     p = (h + 300 * F.col("y")).cast("double") / F.lit(1000.0)
     return long.withColumn("p", p).withColumn("yhat", (F.col("p") > 0.5).cast("int"))
