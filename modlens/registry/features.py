@@ -11,6 +11,7 @@ from modlens.functions import text as tx
 from modlens.functions.arrays import let
 from modlens.operators.normalise import clean_comments
 from modlens.operators.ranking import first_per_class
+from modlens.plans.engineered import engineered_features
 from modlens.plans.manual_forest import feature_table
 from modlens.registry.identity import (
     IDENTITY, LABELLED, STOP_WORDS,
@@ -19,6 +20,8 @@ from modlens.registry.inputs import (
     CLEANED, Query, cleaned, comments, documents, labelled, quoted, read, sql_in, sql_sentences, sql_tokens,
 )
 from modlens.registry.negation import _sql_marked, _sql_polarity
+from modlens.registry.tfidf import FEATURES, TFIDF
+from modlens.sources.taggers import tag_texts
 
 def _rounded(df, names=None):
     names = names or [f.name for f in df.schema if f.dataType.simpleString() == "double"]
@@ -99,6 +102,43 @@ def tagged_syntax(spark, folder):
     return _rounded(df.select("doc_id", *[c.alias(n) for n, c in cols.items()]))
 
 
+def tagged_by_function(spark, folder):
+    """Tag counts from a tagger function run in batches: words between blanks, tag by ending."""
+
+    def load():
+        def tag(texts):
+            return [
+                [(i, w, "VERB" if w.endswith("ing") else "NOUN", max(i - 1, 0), i // 7)
+                 for i, w in enumerate(t.split(" ")) if w]
+                for t in texts
+            ]
+
+        return tag
+
+    df = tag_texts(cleaned(spark, folder), load)
+    cols = ft.syntax_features(F.col("tagged"))
+    return _rounded(
+        df.select(
+            "doc_id", F.size("tagged").alias("n"), cols["verb_ratio"].alias("verb_ratio"),
+            ft.dependency_distance(F.col("tagged")).alias("distance"),
+        )
+    )
+
+
+def engineered(spark, folder):
+    """Linguistic, bias and the first TF-IDF columns of the cleaned comments."""
+    df = engineered_features(
+        cleaned(spark, folder), "text", lx.IDENTITY_TERMS, max_features=FEATURES
+    )
+    return _rounded(
+        df.select(
+            "doc_id", "sentence_count", "avg_word_length", "has_question", "stereotyping_count",
+            "derogatory_count", "targeted_hate_count", "us_vs_them_count",
+            "tfidf_0", "tfidf_1", "tfidf_2",
+        )
+    )
+
+
 def class_feature_profile(spark, folder):
     """Mean of each text feature, toxic against other."""
     df = ft.native_features(labelled(spark, folder))
@@ -259,6 +299,33 @@ QUERIES = {
         + ", count(*) FILTER (pos = 'VERB' AND i % 7 = 0) AS imperative_count"
         " FROM tg LEFT JOIN att ON tg.doc_id = att.doc_id AND tg.i = att.head GROUP BY 1",
     ),
+    "tagged_by_function": Query(
+        tagged_by_function,
+        f"WITH {CLEANED}, w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS w,"
+        " generate_subscripts(string_split(text, ' '), 1) - 1 AS i FROM cleaned)"
+        " SELECT doc_id, CAST(count(*) AS INT) AS n,"
+        " round(count(*) FILTER (w LIKE '%ing') / count(*)::DOUBLE, 6) AS verb_ratio,"
+        " coalesce(round(avg(1) FILTER (i > 0), 6), 0) AS distance FROM w WHERE w <> '' GROUP BY 1",
+    ),
+    "engineered_features": Query(
+        engineered,
+        f"WITH {TFIDF}, al AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS ix FROM vo),"
+        " f3 AS (SELECT * FROM fin JOIN al USING (term) WHERE ix < 3),"
+        " bl AS (SELECT c.doc_id, "
+        + ", ".join(
+            f"round(coalesce(max(CASE WHEN ix = {i} THEN weight END), 0), 6) AS tfidf_{i}"
+            for i in range(3)
+        )
+        + " FROM cleaned c LEFT JOIN f3 USING (doc_id) GROUP BY 1),"
+        f" li AS (SELECT doc_id, len({sql_sentences('text')}) AS sentence_count,"
+        f" {MEAN_LENGTH} AS avg_word_length, contains(text, '?') AS has_question, "
+        + ", ".join(
+            f"{_count(p.replace('{terms}', _BIAS_TERMS))} AS {n}_count"
+            for n, p in lx.BIAS_PATTERNS.items()
+        )
+        + f" FROM (SELECT *, {sql_tokens('text')} AS t FROM cleaned))"
+        " SELECT * FROM li JOIN bl USING (doc_id)",
+    ),
     "class_feature_profile": Query(
         class_feature_profile,
         f"WITH {LABELLED}, nat AS ({_sql_native('labelled', 'doc_id, toxic').replace('round(', '(').replace(', 6)', ')')})"

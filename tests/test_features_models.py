@@ -3,6 +3,9 @@ import math
 import numpy as np
 import pytest
 from conftest import table
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from modlens import lexicons as lx
@@ -12,8 +15,11 @@ from modlens.operators.ranking import range_buckets, running_sums, top_k_per
 from modlens.operators.sequences import SequenceEncoder, word_index
 from modlens.operators.tfidf import fit_tfidf
 from modlens.plans import embedding_forest, manual_forest
+from modlens.plans.engineered import engineered_features
 from modlens.sources import tables as src
+from modlens.sources.taggers import tag_texts
 from modlens.sources.vectors import cached_vectors
+from modlens.streaming.enrich import enrich, read_stream, write_available
 
 TAGGED = [
     # "You stupid idiot": both others depend on "you"
@@ -225,3 +231,39 @@ def test_tables(spark, tmp_path):
     assert src.new_columns(df.withColumn("z", F.lit(1)).withColumn("b", F.lit(1)), df) == ["b", "z"]
     assert src.shape(df) == (3, 3)
     assert [r["doc_id"] for r in src.preview(df, 2).collect()] == [0, 1]
+
+
+def test_tagger_gets_no_blank_text(spark):
+    def load():
+        def tag(texts):
+            assert all(t.strip() for t in texts)
+            return [[(0, t, "VERB", 0, 0)] for t in texts]
+
+        return tag
+
+    rows = tag_texts(table(spark, ["Go", None, " "]), load, batch_size=1).orderBy("doc_id").collect()
+    assert [len(r["tagged"]) for r in rows] == [1, 0, 0]
+    assert rows[0]["tagged"][0]["pos"] == "VERB"
+
+
+def test_engineered_columns(spark):
+    out = engineered_features(table(spark, ["all black cats", ""]), "text", lx.IDENTITY_TERMS)
+    assert {"capital_ratio", "has_exclamation", "us_vs_them_count", "tfidf_0", "tfidf_99"} <= set(out.columns)
+    assert out.orderBy("doc_id").first()["targeted_hate_count"] == 1
+    assert "targeted_hate_count" not in engineered_features(table(spark, ["a cat"]), "text").columns
+
+
+def test_stream_scored_by_a_forest(spark, tmp_path):
+    texts = ["you are a stupid idiot", "a kind day", "stupid trash", "nice work"] * 10
+    df = table(spark, texts, toxic=[1, 0, 1, 0] * 10)
+    train = enrich(df, stop_words=["a"])
+    columns = ["aggressive_word_ratio", "word_count", "uppercase_ratio"]
+    forest = RandomForestClassifier(labelCol="toxic", numTrees=5, seed=1)
+    scorer = Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="features"), forest]).fit(train)
+    source, sink = str(tmp_path / "in"), str(tmp_path / "out")
+    df.select("doc_id", "text").repartition(4).write.parquet(source)
+    stream = read_stream(spark, source, df.select("doc_id", "text").schema, files_per_batch=2)
+    scored = enrich(stream, stop_words=["a"], scorer=scorer).select("doc_id", "prediction")
+    write_available(scored, sink, str(tmp_path / "progress")).awaitTermination()
+    got = {r["doc_id"]: r["prediction"] for r in spark.read.parquet(sink).collect()}
+    assert got == {i: float(y) for i, y in enumerate([1, 0, 1, 0] * 10)}
