@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from modlens.session import checkpointed
 from modlens.sources.tables import small_table
 
 MAX_GROUPS = 10_000
@@ -18,6 +19,23 @@ def top_k(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
     return df.orderBy(*order).limit(k)
 
 
+def most_frequent(counts: DataFrame, count_col: str, ties: Sequence[Column], k: int) -> DataFrame:
+    """The ``k`` rows with the largest counts, for a large ``k``.
+
+    A plain top-k would bring ``k`` rows of every partition into one task. The histogram of the
+    counts gives the smallest count that can be among the first ``k``; rows below it are dropped
+    where they are, so that little more than ``k`` rows meet. The counts are written to the
+    shared folder, as they are read twice and come from a pass over all texts.
+    """
+    counts = checkpointed(counts)
+    hist = counts.groupBy(count_col).agg(F.count("*").alias("_m"))
+    falling = Window.orderBy(F.col(count_col).desc())  # one row per distinct count
+    enough = hist.withColumn("_cum", F.sum("_m").over(falling)).filter(F.col("_cum") >= k)
+    floor = F.coalesce(enough.agg(F.max(count_col)).scalar(), F.lit(0))
+    kept = counts.filter(F.col(count_col) >= floor)
+    return kept.orderBy(F.col(count_col).desc(), *ties).limit(k)
+
+
 def top_k_per(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
     """The first ``k`` rows per group, with their ``rank``.
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from modlens.functions import text as tx
+from modlens.operators.ranking import most_frequent
 from modlens.session import checkpointed
 
 MAX_WORDS = 200_000
@@ -22,7 +23,7 @@ def word_index(
     if num_words > MAX_WORDS:
         raise ValueError(f"num_words may be {MAX_WORDS} at most")
     exploded = F.posexplode(tx.corpus_words(F.col(text_col))).alias("_ix", "word")
-    measures, order = [F.count("*").alias("n")], [F.col("n").desc()]
+    measures, order = [F.count("*").alias("n")], []
     if ties == "first_seen":
         # One number for (key, place) keeps the aggregate hash-based and in one pass.
         place = F.col(key).cast("decimal(28,0)") * F.lit(10**9).cast("decimal(10,0)")
@@ -33,8 +34,8 @@ def word_index(
         words = df.select(exploded)
     counts = words.groupBy("word").agg(*measures)
     order.append(F.col("word").asc())
-    kept = counts.orderBy(*order).limit(max(num_words - 1, 0))
-    rank = F.row_number().over(Window.orderBy(*order))
+    kept = most_frequent(counts, "n", order, max(num_words - 1, 0))
+    rank = F.row_number().over(Window.orderBy(F.col("n").desc(), *order))
     return kept.select("word", rank.alias("word_id"))
 
 

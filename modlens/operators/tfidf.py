@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from modlens.functions import text as tx
 from modlens.functions.arrays import let, literal, string_array
+from modlens.operators.ranking import most_frequent
 
 MAX_VOCABULARY = 262_144
 
@@ -60,12 +61,8 @@ def term_frequencies(terms_col: Column) -> Column:
 def vocabulary(df: DataFrame, text_col: str = "text", max_features: int = 10_000) -> DataFrame:
     """The most frequent terms: term, total, df; ties by term."""
     pairs = df.select(F.explode(term_frequencies(terms(F.col(text_col)))).alias("t"))
-    return (
-        pairs.groupBy("t.term")
-        .agg(F.sum("t.tf").alias("total"), F.count("*").alias("df"))
-        .orderBy(F.col("total").desc(), F.col("term"))
-        .limit(max_features)
-    )
+    counts = pairs.groupBy("t.term").agg(F.sum("t.tf").alias("total"), F.count("*").alias("df"))
+    return most_frequent(counts, "total", [F.col("term")], max_features)
 
 
 @dataclass(frozen=True)
