@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
 import tempfile
 import uuid
 
@@ -28,23 +30,45 @@ def local_session(cpus: int | str = "*", memory: str = "12g", app: str = "modlen
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors can reach: the one the cluster names.
+    """The folder all executors can reach: the one the cluster names in ``spark.checkpoint.dir``.
 
-    A temporary folder stands in on a local master only, where there is one machine.
+    Where the setting is missing on a local master (one machine, as in tests), a temporary folder
+    stands in for the life of the application; on a cluster the job stops with a message.
     """
-    named = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
+    sc = spark.sparkContext
+    named = sc.getConf().get(CHECKPOINT_DIR)
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
         raise ValueError(f"set {CHECKPOINT_DIR} to a folder all executors can reach")
-    made = tempfile.mkdtemp(prefix="modlens-")
-    spark.conf.set(CHECKPOINT_DIR, made)
-    return made
+    return _stand_in(sc.applicationId)
+
+
+@functools.cache
+def _stand_in(application: str) -> str:
+    return tempfile.mkdtemp(prefix=f"modlens-{application}-")
 
 
 def run_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path for this application below the shared folder, removed when the program ends."""
+    sc = spark.sparkContext
+    top = f"{shared_dir(spark).rstrip('/')}/modlens-{sc.applicationId}"
+    if top not in _made:
+        _made.add(top)
+        atexit.register(_remove, spark, top)
+    return f"{top}/{name}-{uuid.uuid4().hex}"
+
+
+_made: set[str] = set()
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    # Through Hadoop's file systems, as the shared folder may be in any store.
+    sc = spark.sparkContext
+    if sc._jsc is None:
+        return
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
