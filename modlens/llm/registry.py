@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from modlens.llm import exact_dedup, packing, quality, token_files, url_rules
+from modlens.llm import (
+    exact_dedup, language, packing, quality, token_files, toxicity, url_rules,
+)
 from modlens.registry.inputs import Query
 
 QUERIES = {
     "op2_token_files": Query(token_files.op2),
     "op3_packing": Query(packing.op3),
+    "op5_toxicity": Query(toxicity.op5),
     "op7_exact_dedup": Query(exact_dedup.op7, exact_dedup.SQL),
+    "op8_language": Query(language.op8),
     "op9_url_rules": Query(url_rules.op9, url_rules.SQL),
     "op10_quality_rules": Query(quality.op10, quality.SQL),
 }
