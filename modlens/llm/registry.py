@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from modlens.llm import (
-    exact_dedup, language, packing, quality, token_files, toxicity, url_rules,
+    exact_dedup, language, packing, pieces, quality, token_files, toxicity, url_rules,
 )
 from modlens.registry.inputs import Query
 
 QUERIES = {
     "op2_token_files": Query(token_files.op2),
     "op3_packing": Query(packing.op3),
+    "op4_merge_dropout": Query(pieces.op4),
     "op5_toxicity": Query(toxicity.op5),
     "op7_exact_dedup": Query(exact_dedup.op7, exact_dedup.SQL),
     "op8_language": Query(language.op8),
