@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from modlens.llm import (
-    exact_dedup, language, packing, pieces, quality, token_files, toxicity, url_rules,
+    exact_dedup, language, packing, pieces, quality, signature_join, token_files, toxicity, url_rules,
 )
 from modlens.registry.inputs import Query
 
 QUERIES = {
+    "op1_signature_join": Query(signature_join.op1),
     "op2_token_files": Query(token_files.op2),
     "op3_packing": Query(packing.op3),
     "op4_merge_dropout": Query(pieces.op4),
