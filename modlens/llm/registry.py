@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from modlens.llm import (
-    exact_dedup, language, packing, pieces, quality, signature_join, token_files, toxicity, url_rules,
+    exact_dedup, language, packing, pieces, quality, repeats, signature_join, token_files, toxicity, url_rules,
 )
 from modlens.registry.inputs import Query
 
@@ -13,6 +13,7 @@ QUERIES = {
     "op3_packing": Query(packing.op3),
     "op4_merge_dropout": Query(pieces.op4),
     "op5_toxicity": Query(toxicity.op5),
+    "op6_repeats": Query(repeats.op6),
     "op7_exact_dedup": Query(exact_dedup.op7, exact_dedup.SQL),
     "op8_language": Query(language.op8),
     "op9_url_rules": Query(url_rules.op9, url_rules.SQL),
