@@ -104,6 +104,11 @@ def classes(docs: DataFrame, bits: int = 64) -> DataFrame:
     )
 
 
+def distinct_documents(docs: DataFrame) -> DataFrame:
+    """One document of each class of equal texts, all columns; rows alike in key and text stay once."""
+    return keep_documents(docs, classes(docs).filter("kept")).dropDuplicates(["doc_id", "text"])
+
+
 def op7(spark, folder):
     """Every document with the document that stays for it."""
     return classes(table(spark, folder, "documents"))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from modlens.functions.arrays import let, with_fields
-from modlens.llm.common import SPACE, same_keys, table
+from modlens.llm.common import SPACE, keep_documents, same_keys, table
 from modlens.session import checkpointed
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -201,6 +201,11 @@ def judge(docs: DataFrame, s: QualitySettings = QualitySettings()) -> DataFrame:
     return out.withColumn("kept", ~(F.col("base_failed") | F.coalesce(beyond, F.lit(False))))
 
 
+def good_documents(docs: DataFrame, s: QualitySettings = QualitySettings()) -> DataFrame:
+    """The documents that are kept, all columns; rows that share a doc_id stay if one of them does."""
+    return keep_documents(docs, judge(docs, s).filter("kept"))
+
+
 def op10(spark, folder):
     """Every document judged."""
     return judge(table(spark, folder, "documents")).select("doc_id", *COUNTS, "base_failed", "kept")

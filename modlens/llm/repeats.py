@@ -27,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from modlens.llm.bwt import merge
@@ -364,7 +364,8 @@ def _cut(s: RepeatSettings, with_text: bool):
                 flags = gone[x:y]
                 kept = texts.data[x:y][~flags].tobytes()
                 spans = int((np.diff(flags.astype(np.int8), prepend=0) == 1).sum())
-                made[n] = (y - x, int(flags.sum()), spans, hashlib.sha256(kept).hexdigest(), kept)
+                left = kept.decode("utf-8", "ignore") if with_text else None
+                made[n] = (y - x, int(flags.sum()), spans, hashlib.sha256(kept).hexdigest(), left)
             rows.append((key, a, b, *made[n][: 5 if with_text else 4]))
         return pa.table([pa.array(list(c), f.type) for c, f in zip(zip(*rows), _schema(with_text))], names)
 
@@ -372,20 +373,38 @@ def _cut(s: RepeatSettings, with_text: bool):
 
 
 def _schema(with_text: bool) -> list[pa.Field]:
-    kinds = [pa.int64()] * 6 + [pa.string()] + [pa.binary()] * with_text
+    kinds = [pa.int64()] * 6 + [pa.string()] + [pa.string()] * with_text
     return [pa.field("x", k) for k in kinds]
 
 
+def signs(text: Column) -> dict[str, Column]:
+    """Two hashes of a text; null counts as empty."""
+    t = F.coalesce(text, F.lit(""))
+    return {"sign_a": F.xxhash64(t), "sign_b": F.xxhash64(F.lit(7), t)}
+
+
+def cut_documents(docs: DataFrame, s: RepeatSettings = RepeatSettings()) -> DataFrame:
+    """The documents with repeated passages cut out of ``text``; ``n_chars`` follows; other columns stay."""
+    out = without_repeats(docs, s, with_text=True)
+    out = out.select(F.col("doc_id").alias("_id"), F.col("sign_a").alias("_a"), F.col("sign_b").alias("_b"), F.col("kept").alias("_kept"))
+    own = signs(docs["text"])
+    on = docs["doc_id"].eqNullSafe(out["_id"]) & (own["sign_a"] == out["_a"]) & (own["sign_b"] == out["_b"])
+    joined = docs.join(out.dropDuplicates(["_id", "_a", "_b"]), on)
+    cut = joined.withColumn("text", F.when(F.col("text").isNotNull(), F.col("_kept")))
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast(docs.schema["n_chars"].dataType))
+    return cut.select(docs.columns)
+
+
 def without_repeats(docs: DataFrame, s: RepeatSettings = RepeatSettings(), with_text: bool = False) -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the kept bytes)."""
+    """Per row: doc_id, the signs of its text, n_bytes, n_removed, n_spans, kept_sha256 (and ``kept``).
+
+    ``kept`` is the text that is left, without characters of which a byte is gone.
+    """
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", text.alias("text")).withColumns(
-        {
-            "key": F.coalesce("doc_id", F.lit(LEAST)),
-            "sign_a": F.xxhash64("text"),
-            "sign_b": F.xxhash64(F.lit(7), "text"),
-        }
+        {"key": F.coalesce("doc_id", F.lit(LEAST)), **signs(F.col("text"))}
     )
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, size // s.block_bytes)
@@ -397,7 +416,7 @@ def without_repeats(docs: DataFrame, s: RepeatSettings = RepeatSettings(), with_
     strings = by_block.cogroup(shared.groupBy("block")).applyInArrow(_tell_strings(s, n), _STRINGS_DDL)
     cuts = strings.groupBy("bucket").applyInArrow(_compare_strings(s), "block int, cut binary")
     out = by_block.cogroup(cuts.groupBy("block")).applyInArrow(
-        _cut(s, with_text), _RESULT + ", kept binary" * with_text
+        _cut(s, with_text), _RESULT + ", kept string" * with_text
     )
     # Of equal texts, all windows of the later ones start earlier in the first.
     sign = ["sign_a", "sign_b"]
@@ -411,7 +430,7 @@ def without_repeats(docs: DataFrame, s: RepeatSettings = RepeatSettings(), with_
         "kept_sha256": F.when(whole, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.col("kept_sha256")),
     }
     if with_text:
-        columns["kept"] = F.when(whole, F.lit(b"")).otherwise(F.col("kept"))
+        columns["kept"] = F.when(whole, F.lit("")).otherwise(F.col("kept"))
     return joined.withColumns(columns).drop("first")
 
 
