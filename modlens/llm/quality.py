@@ -40,11 +40,11 @@ class QualitySettings:
 
     least_words: int = 50
     most_repeated: int = 50  # percent of words
-    high: int = 98  # percent
-    low: int = 2
+    high: int = 75  # percent
+    low: int = 25
     spread: int = 3
-    slack_symbols: int = 100
-    slack_lines: int = 300
+    slack_symbols: int = 200
+    slack_lines: int = 500
     slack_repeats: int = 300
     slack_length: int = 20
     least_rows: int = 200
@@ -172,15 +172,17 @@ def counted(docs: DataFrame, s: QualitySettings) -> DataFrame:
 def judge(docs: DataFrame, s: QualitySettings = QualitySettings()) -> DataFrame:
     """Counts, rates, the limits of the document's group, and ``kept`` for every row."""
     judged = counted(docs, s)
-    fine = sketches(judged)
+    # Small beside the rows it sums up, and read for three kinds of groups.
+    fine = checkpointed(sketches(judged))
     by_lang = merged(fine, ["lang"])
     own = limits(fine, ["lang", "source"], s)
     lang = limits(by_lang, ["lang"], s)
     everything = limits(merged(by_lang, []).withColumn("one", F.lit(1)), ["one"], s).drop("one")
-    names = [c for c in everything.columns]
+    names = everything.columns
     lang = lang.withColumnsRenamed({c: f"lang_{c}" for c in names})
     # One row: the limits over all documents, for languages with few of them.
-    whole = {c: F.coalesce(everything.select(c).scalar(), F.lit(0)) for c in names}
+    one = everything.first()
+    whole = {c: F.lit(one[c] if one else 0) for c in names}
     groups = same_keys(own, lang, ["lang"], "left")
     for c in names[1:]:
         groups = groups.withColumn(
@@ -215,12 +217,12 @@ _S = QualitySettings()
 _LIMITS = """
  {name}_run AS (SELECT {by}, rate, bucket, sum(n) OVER (PARTITION BY {by}, rate ORDER BY bucket) AS seen,
    sum(n) OVER (PARTITION BY {by}, rate) AS total FROM {name}),
- {name}_q AS (SELECT {by}, rate, max(total) AS total, min(bucket) FILTER (seen * 100 >= total * 2) AS lo,
-   min(bucket) FILTER (seen * 100 >= total * 50) AS mid, min(bucket) FILTER (seen * 100 >= total * 98) AS hi
+ {name}_q AS (SELECT {by}, rate, max(total) AS total, min(bucket) FILTER (seen * 100 >= total * 25) AS lo,
+   min(bucket) FILTER (seen * 100 >= total * 50) AS mid, min(bucket) FILTER (seen * 100 >= total * 75) AS hi
    FROM {name}_run GROUP BY {by}, rate),
  {name}_lim AS (SELECT {by}, max(total) AS rows_,
-   greatest(max(hi + 3 * (hi - mid)) FILTER (rate = 'symbol_rate'), 100) AS t1,
-   greatest(max(hi + 3 * (hi - mid)) FILTER (rate = 'dup_line_rate'), 300) AS t2,
+   greatest(max(hi + 3 * (hi - mid)) FILTER (rate = 'symbol_rate'), 200) AS t1,
+   greatest(max(hi + 3 * (hi - mid)) FILTER (rate = 'dup_line_rate'), 500) AS t2,
    greatest(max(hi + 3 * (hi - mid)) FILTER (rate = 'repeat_rate'), 300) AS t3,
    max(hi + 3 * (hi - mid)) FILTER (rate = 'word_length') + 20 AS t4,
    max(lo - 3 * (mid - lo)) FILTER (rate = 'word_length') - 20 AS t5
