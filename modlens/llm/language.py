@@ -105,12 +105,12 @@ class SuffixAutomaton:
 
 @dataclass
 class Parser:
-    """The automata as one table; ``table[state + symbol]`` is 2 x next state, +1 where a phrase ended."""
+    """The automata as one table; ``table[state + symbol]`` is 2 x next state, +1 where a phrase began."""
 
     names: list[str]
     symbol_of: np.ndarray
     table: np.ndarray
-    roots: np.ndarray
+    start: np.ndarray
     bits: np.ndarray
 
     def phrases(self, row: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
@@ -127,8 +127,8 @@ class Parser:
         order = np.argsort(-sizes, kind="stable")
         starts, sizes = starts[order], sizes[order]
         live = np.searchsorted(-sizes, -np.arange(1, sizes[0] + 1), side="right")
-        state = np.repeat(self.roots[:, None], len(starts), 1)
-        count = np.ones(state.shape, np.int32)
+        state = np.repeat(self.start[:, None], len(starts), 1)
+        count = np.zeros(state.shape, np.int32)
         for step in range(int(sizes[0])):
             k = live[step]
             move = self.table[state[:, :k] + row[starts[:k] + step]]
@@ -153,14 +153,16 @@ def learn(samples: dict[str, list[str]], s: LanguageSettings) -> Parser:
         points, owner = code_points([" ".join(samples[name])])
         row = symbols(points, owner, symbol_of)[0][: s.sample_chars]
         auto = SuffixAutomaton(row)
-        moves = np.full((len(auto.next), width), -1, np.int64)
+        moves = np.full((len(auto.next) + 1, width), -1, np.int64)
         for state, out in enumerate(auto.next):
             for c, to in out.items():
                 moves[state, c] = (at + to * width) * 2
-        # Where no match goes on, a phrase ends and the symbol begins the next one.
-        begin = np.where(moves[0] >= 0, moves[0], at * 2) + 1
+        # Where no match goes on, a phrase ends and the symbol begins the next one; a symbol that
+        # the sample lacks is a phrase alone, after which nothing goes on.
+        alone = at + (len(moves) - 1) * width
+        begin = np.where(moves[0] >= 0, moves[0], alone * 2) + 1
         rows.append(np.where(moves >= 0, moves, begin[None, :]).ravel())
-        roots.append(at)
+        roots.append(alone)
         bits.append(np.log2(max(2, len(row))))
         at += moves.size
     flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)

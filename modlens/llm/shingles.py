@@ -55,7 +55,7 @@ def shingle_sets(texts: list[str | None], words: int) -> tuple[np.ndarray, np.nd
     ends = np.cumsum(counts)
     left = np.repeat(ends, counts) - np.arange(len(flat))  # words from here to the text's end
     total = np.zeros(len(flat), np.uint64)
-    for k in range(words):
+    for k in range(min(words, len(flat))):
         total[: len(flat) - k] += flat[k:] * _ODD[k % 5] + np.uint64(k // 5)
     begins = left >= words
     hashes, owner = mix(total[begins]), doc[begins]
@@ -64,7 +64,7 @@ def shingle_sets(texts: list[str | None], words: int) -> tuple[np.ndarray, np.nd
         extra = np.zeros(len(short), np.uint64)
         for n, d in enumerate(short.tolist()):
             own = flat[ends[d] - counts[d] : ends[d]]
-            extra[n] = mix((own * _ODD[: len(own)]).sum(keepdims=True) + np.uint64(len(own)))[0]
+            extra[n] = mix((own * _ODD[np.arange(len(own)) % 5]).sum(keepdims=True) + np.uint64(len(own)))[0]
         hashes, owner = np.concatenate([hashes, extra]), np.concatenate([owner, short])
     order = np.argsort(hashes)
     order = order[np.argsort(owner[order].astype(np.uint16), kind="stable")]
