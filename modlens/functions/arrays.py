@@ -68,6 +68,14 @@ def running_totals(values: Column) -> Column:
             ),
         )
 
+    def starts(sums: Column) -> Column:
+        # Sum of all blocks before each block, in one fold.
+        return F.aggregate(
+            sums,
+            F.array(F.lit(0).cast("bigint")),
+            lambda out, x: F.concat(out, F.array(F.element_at(out, -1) + x)),
+        )
+
     def body(vals: Column) -> Column:
         n_blocks = F.ceil(F.size(vals) / _BLOCK).cast("int")
         block_sums = F.transform(
@@ -77,7 +85,7 @@ def running_totals(values: Column) -> Column:
         return let(
             block_sums,
             lambda sums: let(
-                F.transform(sums, lambda _, b: array_total(F.slice(sums, F.lit(1), b))),
+                starts(sums),
                 lambda offsets: from_blocks(vals, offsets),
             ),
         )

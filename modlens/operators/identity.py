@@ -104,9 +104,14 @@ def term_statistics(
     label: str = "toxic",
     lexicon: Lexicon = lx.IDENTITY_TERMS,
     word_boundary: bool = False,
+    labels: DataFrame | None = None,
+    key: str = "doc_id",
 ) -> DataFrame:
     """Per (category, term): mentions, mentions in positive rows, and their ratio.
 
+    With a table of ``labels`` the label is joined by key to the counts of each text, so that the
+    texts stay where they are; texts without a label are left out.
+
     Counts are case-sensitive substrings, so "man" counts in "woman"; ``word_boundary`` counts
     whole words of any case instead. One pass: only the terms a text holds are exploded, and counts are
     summed per partition before the shuffle of at most one row per term.
@@ -120,6 +125,9 @@ def term_statistics(
         )
     else:
         found = idf.term_counts(text, lexicon)
+    if labels is not None:
+        df = df.select(key, found.alias("_found")).join(labels.select(key, label), key)
+        found = F.col("_found")
     counted = (
         df.select((F.col(label) == 1).alias("_pos"), F.explode(found).alias("m"))
         .groupBy("m.category", "m.term")
@@ -132,7 +140,7 @@ def term_statistics(
     zero = {"total_mentions": 0, "toxic_mentions": 0}
     return (
         # at most one row per term of the lexicon
-        terms.join(F.broadcast(counted), ["category", "term"], "left")
+        terms.join(counted, ["category", "term"], "left")
         .fillna(zero)
         .withColumn(
             "toxic_ratio",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from modlens import lexicons as lx
 from modlens.functions import scoring as sc
 from modlens.operators.ranking import bucketed_sums, range_buckets, running_sums
+from modlens.session import checkpointed
 from modlens.sources.tables import small_table
 
 LABEL = "label_name"
@@ -98,17 +99,20 @@ def classification_report(preds: DataFrame) -> DataFrame:
 
 
 def _score_counts(preds: DataFrame, score: Column) -> DataFrame:
-    return preds.groupBy(LABEL, score.alias("s")).agg(
-        F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg")
+    # Written once, as ranges, sums of buckets and rows are all read from it.
+    return checkpointed(
+        preds.groupBy(LABEL, score.alias("s")).agg(
+            F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg")
+        )
     )
 
 
-def roc_auc(preds: DataFrame) -> DataFrame:
+def roc_auc(preds: DataFrame, rows_per_bucket: int = 200_000) -> DataFrame:
     """Per label the share of (positive, negative) pairs in the right order, ties one half.
 
     NULL where a class is missing.
     """
-    sums = running_sums(_score_counts(preds, F.col("p")), LABEL, "s", ["neg"])
+    sums = running_sums(_score_counts(preds, F.col("p")), LABEL, "s", ["neg"], rows_per_bucket)
     below = F.col("cum_neg") - F.col("neg")
     pairs = F.sum(F.col("pos") * (below.cast("double") + F.col("neg") / 2))
     return sums.groupBy(LABEL).agg(
@@ -138,7 +142,7 @@ def roc_curve(preds: DataFrame, drop_intermediate: bool = True) -> DataFrame:
     )
     return (
         scored.union(origin)
-        .join(F.broadcast(totals), LABEL)  # one row per label
+        .join(totals, LABEL)
         .select(
             LABEL,
             "threshold",
@@ -149,7 +153,7 @@ def roc_curve(preds: DataFrame, drop_intermediate: bool = True) -> DataFrame:
 
 
 def _corner_points(sums: DataFrame) -> DataFrame:
-    # A point is kept if the step after it differs from the step to it, and always at the end.
+    # A point is kept if the step after it differs from the step to it, and always at both ends.
     # The step after the last row of a bucket is the first one of the next bucket.
     step = F.struct("pos", "neg")
     heads = sums.groupBy(LABEL, "_bucket").agg(F.min_by(step, "s").alias("_head"))
@@ -157,10 +161,11 @@ def _corner_points(sums: DataFrame) -> DataFrame:
     heads = heads.select(LABEL, "_bucket", F.lead("_head").over(next_bucket).alias("_next_head"))
     inside = Window.partitionBy(LABEL, "_bucket").orderBy("s")
     after = F.coalesce(F.lead(step).over(inside), F.col("_next_head"))
+    first = (F.col("cum_pos") == F.col("pos")) & (F.col("cum_neg") == F.col("neg"))
     return (
-        sums.join(F.broadcast(heads), [LABEL, "_bucket"])  # labels x buckets rows
+        sums.join(heads, [LABEL, "_bucket"])
         .withColumn("_after", after)
-        .filter(F.col("_after").isNull() | (F.col("_after") != step))
+        .filter(F.col("_after").isNull() | (F.col("_after") != step) | first)
     )
 
 
@@ -259,5 +264,4 @@ def best_thresholds(preds: DataFrame, grid: dict[str, list[float]] | None = None
 
 def apply_thresholds(preds: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Predictions with ``yhat`` = score above the label's threshold."""
-    t = F.broadcast(thresholds.select(LABEL, "threshold"))  # one row per label
-    return preds.join(t, LABEL).withColumn("yhat", (F.col("p") > F.col("threshold")).cast("int"))
+    return preds.join(thresholds.select(LABEL, "threshold"), LABEL).withColumn("yhat", (F.col("p") > F.col("threshold")).cast("int"))

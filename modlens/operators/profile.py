@@ -32,7 +32,8 @@ def value_counts(
         names = small_table(df.sparkSession, [(c,) for c in categories], f"{column} string")
         counts = names.join(counts, column, "left").fillna({"n": 0})
     if normalize:
-        counts = counts.withColumn("share", F.col("n") / counts.agg(F.sum("n")).scalar())
+        every = Window.partitionBy()  # one row per value
+        counts = counts.withColumn("share", F.col("n") / F.sum("n").over(every))
     return counts
 
 

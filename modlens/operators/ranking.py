@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 from modlens.session import checkpointed
 from modlens.sources.tables import small_table
 
-MAX_GROUPS = 10_000
-MAX_BUCKETS = 1024
-
 
 def top_k(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
     """The first ``k`` rows in an order; a partial top-k per partition, then one merge."""
@@ -56,46 +53,18 @@ def range_buckets(
 ) -> DataFrame:
     """The frame with ``_bucket``, which rises with ``value`` inside each group.
 
-    The cut points are approximate quantiles of each group, as many as its size asks for and
-    ``MAX_BUCKETS`` at most. They are fetched once, so that all later uses (and re-runs after a
-    lost executor) see the same buckets. Equal values share a bucket.
+    Buckets are equal parts of the range of a group's values, eight times as many as its rows ask
+    for, so their number grows with the group; the ranges are one row per group. Equal values
+    share a bucket. The frame is read twice, so hand in a written one where it is costly.
     """
-    steps = ", ".join(f"{i / MAX_BUCKETS}D" for i in range(1, MAX_BUCKETS))
-    rows = (
-        df.groupBy(by)
-        .agg(
-            F.count("*").alias("_n"),
-            F.expr(f"percentile_approx(`{value}`, array({steps}), {10 * MAX_BUCKETS})").alias("_q"),
-        )
-        .limit(MAX_GROUPS + 1)
-        .collect()
-    )
-    if len(rows) > MAX_GROUPS:
-        raise ValueError(f"more than {MAX_GROUPS} groups in {by}")
-
-    def cut_points(n: int, quantiles: list[float] | None) -> list[float]:
-        wanted = min(MAX_BUCKETS, -(-n // rows_per_bucket))
-        step = MAX_BUCKETS // wanted
-        return sorted({float(q) for q in (quantiles or [])[step - 1 :: step]})
-
-    cuts = small_table(
-        df.sparkSession,
-        [(r[by], cut_points(r["_n"], r["_q"])) for r in rows],
-        f"{by} {df.schema[by].dataType.simpleString()}, _cuts array<double>",
-    )
-
-    def below(points: Column) -> Column:
-        return F.size(F.filter(points, lambda c: c < F.col(value)))
-
-    # Two steps, over every 32nd point and then over 32 points, in place of one over all.
-    coarse = F.filter(F.col("_cuts"), lambda _, i: i % 32 == 31)
-    first = below(coarse) * 32
-    return (
-        df.join(F.broadcast(cuts), by)
-        .withColumn("_first", first)
-        .withColumn("_bucket", F.col("_first") + below(F.slice("_cuts", F.col("_first") + 1, F.lit(32))))
-        .drop("_cuts", "_first")
+    ranges = df.groupBy(by).agg(
+        F.min(value).cast("double").alias("_low"),
+        F.max(value).cast("double").alias("_high"),
+        (F.ceil(F.count("*") / rows_per_bucket) * 8).alias("_parts"),
     )
+    place = F.try_divide(F.col(value) - F.col("_low"), F.col("_high") - F.col("_low"))
+    bucket = F.least(F.floor(F.coalesce(place, F.lit(0.0)) * F.col("_parts")), F.col("_parts") - 1)
+    return df.join(ranges, by).withColumn("_bucket", bucket.cast("long")).drop("_low", "_high", "_parts")
 
 
 def running_sums(
@@ -104,7 +73,7 @@ def running_sums(
     """Inclusive running sums per group over ascending ``order``, as ``cum_<value>``.
 
     ``order`` must be distinct inside a group (aggregate first). Sums run inside range buckets;
-    the sums of the buckets before are added from a table of groups x buckets rows.
+    the sums of the buckets before are added from a table of one row per bucket.
     """
     b = range_buckets(df, by, order, rows_per_bucket)
     return bucketed_sums(b, by, order, values).drop("_bucket")
@@ -124,7 +93,7 @@ def bucketed_sums(b: DataFrame, by: str, order: str, values: Sequence[str]) -> D
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
-        b.join(F.broadcast(offsets), [by, "_bucket"])
+        b.join(offsets, [by, "_bucket"])
         .withColumns({f"cum_{v}": F.sum(v).over(inside) + F.col(f"_o_{v}") for v in values})
         .drop(*[f"_o_{v}" for v in values])
     )

@@ -15,8 +15,8 @@ def random_split(
     df: DataFrame, test_share: float = 0.2, key: str = "doc_id", seed: int = 42
 ) -> DataFrame:
     """The frame with ``is_test``, true for about the given share; no shuffle."""
-    limit = f"{int(test_share * 16**8):08x}"
-    return df.withColumn("is_test", F.substring(split_hash(F.col(key), seed), 1, 8) < limit)
+    place = F.conv(F.substring(split_hash(F.col(key), seed), 1, 8), 16, 10).cast("long")
+    return df.withColumn("is_test", place < int(test_share * 16**8))
 
 
 def stratified_split(
@@ -39,12 +39,12 @@ def stratified_split(
         .filter((F.col("_cum") >= F.col("_target")) & (F.col("_cum") - F.col("_n") < F.col("_target")))
         .select(stratum, "_b", (F.col("_target") - (F.col("_cum") - F.col("_n"))).alias("_need"))
     )
-    ranked = hashed.join(F.broadcast(cut_bucket), [stratum, "_b"]).withColumn(
+    ranked = hashed.join(cut_bucket, [stratum, "_b"]).withColumn(
         "_r", F.row_number().over(Window.partitionBy(stratum).orderBy("_h"))
     )
     cuts = ranked.filter(F.col("_r") == F.col("_need")).select(stratum, F.col("_h").alias("_cut"))
     return (
-        df.join(F.broadcast(cuts), stratum, "left")
+        df.join(cuts, stratum, "left")
         .withColumn("is_test", F.coalesce(digest <= F.col("_cut"), F.lit(False)))
         .drop("_cut")
     )

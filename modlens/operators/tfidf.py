@@ -13,8 +13,6 @@ from modlens.functions import text as tx
 from modlens.functions.arrays import let, literal, string_array
 from modlens.operators.ranking import most_frequent
 
-MAX_VOCABULARY = 262_144
-
 
 def strip_accents(text: Column) -> Column:
     """Latin letters without their accents; combining marks dropped."""
@@ -105,14 +103,27 @@ class TfidfModel:
             .select(key, F.get(names, F.col("p.indices")).alias("term"), F.col("p.weights").alias("weight"))
         )
 
+    def heaviest(self, df: DataFrame, width: int, text_col: str = "text") -> list[int]:
+        """Numbers of the ``width`` terms with the greatest sum of weights; ties in term order."""
+        pair = F.explode(F.arrays_zip("indices", "weights")).alias("p")
+        sums = self.weights(df.select(text_col), text_col).select(pair).groupBy("p.indices").agg(
+            # Rounded, so that the order does not hang on the order of the sum.
+            F.round(F.sum("p.weights"), 6).alias("total")
+        )
+        top = sums.orderBy(F.col("total").desc(), "indices").limit(width)
+        return [r["indices"] for r in top.collect()]
+
     def block(
         self, df: DataFrame, width: int = 100, text_col: str = "text", by: str = "term"
     ) -> DataFrame:
         """The frame with columns ``tfidf_0`` … of fixed terms.
 
-        ``by="term"`` takes the first terms of the alphabet, ``by="idf"`` the rarest ones first.
+        ``by="term"`` takes the first terms of the alphabet, ``by="idf"`` the rarest ones first,
+        ``by="weight"`` those with the greatest sum of weights over the frame (one pass more).
         """
         chosen = list(range(min(width, len(self.vocabulary))))
+        if by == "weight":
+            chosen = self.heaviest(df, width, text_col)
         if by == "idf":
             ranked = sorted(range(len(self.idf)), key=lambda i: (-self.idf[i], self.vocabulary[i]))
             chosen = ranked[: len(chosen)]
@@ -134,8 +145,6 @@ def fit_tfidf(df: DataFrame, text_col: str = "text", max_features: int = 10_000)
 
     The driver holds ``max_features`` terms at most.
     """
-    if max_features > MAX_VOCABULARY:
-        raise ValueError(f"max_features may be {MAX_VOCABULARY} at most")
     n = F.lit(df.select(F.count("*").alias("n")).first()["n"]).cast("double")
     rows = (
         vocabulary(df, text_col, max_features)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -32,7 +33,9 @@ def _class_moments(df: DataFrame, vector_col: str, label: str) -> DataFrame:
     )
 
     def of(y: int) -> Column:
-        return F.max(F.when(F.col("_y") == y, F.struct("n", "m", "ss")))
+        found = F.max(F.when(F.col("_y") == y, F.struct("n", "m", "ss")))
+        missing = F.raise_error(F.lit(f"no row of class {y} in column {label}"))
+        return F.when(found.isNotNull(), found).otherwise(missing)
 
     return per.agg(of(0).alias("a"), of(1).alias("b"))
 
@@ -80,17 +83,43 @@ def label_correlation(df: DataFrame, vector_col: str = "embedding", label: str =
 
 
 def correlation_histogram(correlations: DataFrame, bins: int = 50) -> DataFrame:
-    """Equal-width histogram of the correlations between their minimum and maximum."""
+    """Equal-width histogram of the correlations between their minimum and maximum.
+
+    One row per bin (0 where no correlation falls in it) with its edges.
+    """
     every = Window.partitionBy()  # one row per dimension
     low, high = F.min("correlation").over(every), F.max("correlation").over(every)
-    at = F.floor(F.try_divide(F.col("correlation") - low, high - low) * bins)
+    known = correlations.filter(F.col("correlation").isNotNull())
+    placed = known.withColumns({"low": low, "high": high})
+    at = F.floor(F.try_divide(F.col("correlation") - F.col("low"), F.col("high") - F.col("low")) * bins)
     bin_no = F.coalesce(F.least(at, F.lit(bins - 1)), F.lit(0)).cast("int")
-    return (
-        correlations.filter(F.col("correlation").isNotNull())
-        .withColumn("bin", bin_no)
-        .groupBy("bin")
-        .agg(F.count("*").alias("n"))
-    )
+    counts = placed.groupBy(bin_no.alias("bin")).agg(F.count("*").alias("n"))
+    ends = known.agg(F.min("correlation").alias("low"), F.max("correlation").alias("high"))
+    bin_rows = ends.select("low", "high", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    edge = lambda n: F.col("low") + (F.col("high") - F.col("low")) * n / bins
+    edges = bin_rows.select("bin", edge(F.col("bin")).alias("low_edge"), edge(F.col("bin") + 1).alias("high_edge"))
+    return edges.join(counts, "bin", "left").fillna({"n": 0})
+
+
+def covariance(df: DataFrame, vector_col: str = "embedding") -> np.ndarray:
+    """Sample covariance of the dimensions; their pairs are summed on the executors.
+
+    A row gives the products of its dimensions, which are summed per partition; the driver gets
+    dimensions x dimensions numbers.
+    """
+    x = F.col(vector_col).cast("array<double>")
+    pair = df.select(F.posexplode(x).alias("i", "a"), x.alias("_x")).select("i", "a", F.posexplode("_x").alias("j", "b"))
+    rows = pair.groupBy("i", "j").agg(F.covar_samp("a", "b").alias("c")).collect()
+    size = max((r["i"] for r in rows), default=-1) + 1
+    out = np.zeros((size, size))
+    for r in rows:
+        out[r["i"], r["j"]] = r["c"]
+    return out
+
+
+def component_axes(df: DataFrame, k: int = 2, vector_col: str = "embedding") -> np.ndarray:
+    """The first ``k`` components as columns."""
+    return PCA(k=k, inputCol="_v", outputCol="_pc").fit(df.select(_vector(vector_col).alias("_v"))).pc.toArray()
 
 
 def principal_components(

@@ -9,6 +9,7 @@ from modlens.functions.arrays import with_fields
 from modlens.functions.features import bias_pattern_counts, linguistic_features, pos_counts
 from modlens.functions.identity import Lexicon
 from modlens.operators.tfidf import fit_tfidf
+from modlens.session import checkpointed
 
 
 def engineered_features(
@@ -24,6 +25,7 @@ def engineered_features(
     Tag counts and the dependency distance need a column of tagged tokens. After the vocabulary
     is fitted, all columns are added row by row; nothing is joined.
     """
+    df = checkpointed(df)  # read for the vocabulary and again for the columns
     out = linguistic_features(df, text_col)
     if tagged_col is not None:
         out = with_fields(out, pos_counts(F.col(tagged_col)))

@@ -60,7 +60,7 @@ def high_confidence_correct(spark, folder):
 
 
 def confident_positives(spark, folder):
-    return an.confident_positives(scores(spark, folder), 0.8).select("doc_id", "label_name", "p")
+    return an.confident_positives(scores(spark, folder)).select("doc_id", "label_name", "p")
 
 
 _BIN = (
@@ -122,6 +122,6 @@ QUERIES = {
     ),
     "confident_positives": Query(
         confident_positives,
-        f"WITH {SCORES} SELECT doc_id, label_name, p FROM scored WHERE y = 1 AND p > 0.8::DOUBLE",
+        f"WITH {SCORES} SELECT doc_id, label_name, p FROM scored WHERE y = 1 AND p > 0.9::DOUBLE",
     ),
 }

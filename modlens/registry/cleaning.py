@@ -37,11 +37,14 @@ def remove_urls(spark, folder):
 
 
 def email_flag(spark, folder):
-    """Flag for an address at the start of the text, on the last line of each comment."""
-    last = F.element_at(F.split(F.col("text"), "\n"), -1)
-    tail = F.regexp_replace(last, "^.*? to ", "")
-    return comments(spark, folder).select(
-        "doc_id", tx.starts_with_email(tail).alias("email_in_text")
+    """Flag for an address at the start of a comment; each line is added as a comment of its own."""
+    whole = comments(spark, folder).select("doc_id", F.lit(0).alias("ln"), "text")
+    lines = comments(spark, folder).select("doc_id", F.posexplode(F.split("text", "[\n ]")).alias("ln", "text"))
+    rows = whole.unionByName(lines.withColumn("ln", F.col("ln") + 1))
+    flags = rows.select("doc_id", "ln", tx.starts_with_email(F.col("text")).alias("email_in_text"))
+    return flags.groupBy("doc_id").agg(
+        F.max(F.when(F.col("ln") == 0, F.col("email_in_text"))).alias("email_in_text"),
+        F.count_if("email_in_text").alias("starts"),
     )
 
 
@@ -113,8 +116,8 @@ def character_ratios(spark, folder):
 def null_guard(spark, folder):
     """Blank texts flagged and counts given as 0, on lines of the documents."""
     lines = comments(spark, folder).select("doc_id", F.explode(F.split(F.col("text"), "\n")).alias("line"))
-    line = F.when(F.length("line") % 5 == 0, F.lit(None)).otherwise(F.col("line"))
-    df = lines.select("doc_id", line.alias("line"))
+    # A NULL line more for each document.
+    df = lines.unionByName(comments(spark, folder).select("doc_id", F.lit(None).cast("string").alias("line")))
     return df.groupBy("doc_id").agg(
         F.count_if(tx.is_blank(F.col("line"))).alias("blank"),
         F.sum(F.coalesce(tx.word_total(F.col("line")), F.lit(0))).cast("bigint").alias("n_words"),
@@ -144,8 +147,9 @@ QUERIES = {
         email_flag,
         _from(
             COMMENTS,
-            f"SELECT doc_id, regexp_matches(regexp_replace(string_split(text, chr(10))[-1],"
-            rf" '^.*? to ', ''), '\A{EMAIL}') AS email_in_text FROM raw",
+            rf"SELECT doc_id, regexp_matches(text, '\A{EMAIL}') AS email_in_text,"
+            rf" CAST(regexp_matches(text, '\A{EMAIL}') AS BIGINT) + len(list_filter("
+            rf"string_split_regex(text, '[\n ]'), lambda s: regexp_matches(s, '\A{EMAIL}'))) AS starts FROM raw",
         ),
     ),
     "remove_emails": Query(
@@ -233,7 +237,7 @@ QUERIES = {
         _from(
             COMMENTS
             + ", l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM raw)"
-            ", n AS (SELECT doc_id, CASE WHEN length(line) % 5 = 0 THEN NULL ELSE line END AS line FROM l)",
+            ", n AS (SELECT * FROM l UNION ALL SELECT doc_id, NULL FROM raw)",
             "SELECT doc_id, count(*) FILTER (line IS NULL OR"
             f" NOT regexp_matches(line, '[^{SQL_SPACE}]')) AS blank,"
             f" CAST(sum(coalesce(len({sql_words('line')}), 0)) AS BIGINT) AS n_words FROM n GROUP BY 1",

@@ -14,10 +14,11 @@ from modlens.operators.ranking import first_per_class
 from modlens.plans.engineered import engineered_features
 from modlens.plans.manual_forest import feature_table
 from modlens.registry.identity import (
-    IDENTITY, LABELLED, STOP_WORDS,
+    IDENTITY, LABELLED,
 )
 from modlens.registry.inputs import (
-    CLEANED, Query, cleaned, comments, documents, labelled, quoted, read, sql_in, sql_sentences, sql_tokens,
+    CLEANED, Query, cleaned, comments, documents, quoted, read, sql_in, sql_sentences, sql_tokens,
+    with_labels,
 )
 from modlens.registry.negation import _sql_marked, _sql_polarity
 from modlens.registry.tfidf import FEATURES, TFIDF
@@ -60,8 +61,9 @@ def native_features(spark, folder):
 def features_of_lines(spark, folder):
     """Features of every line, with NULL and blank lines among them."""
     lines = cleaned(spark, folder).select("doc_id", F.posexplode(F.split("text", "\n")).alias("ln", "line"))
-    line = F.when(F.length("line") % 5 == 0, F.lit(None)).otherwise(F.col("line"))
-    df = lines.select("doc_id", "ln", line.alias("line"))
+    # A NULL line more for each document, as line -1.
+    none = cleaned(spark, folder).select("doc_id", F.lit(-1).alias("ln"), F.lit(None).cast("string").alias("line"))
+    df = lines.unionByName(none)
     return _rounded(ft.native_features(df, "line").drop("line"))
 
 
@@ -134,26 +136,29 @@ def engineered(spark, folder):
         df.select(
             "doc_id", "sentence_count", "avg_word_length", "has_question", "stereotyping_count",
             "derogatory_count", "targeted_hate_count", "us_vs_them_count",
-            "tfidf_0", "tfidf_1", "tfidf_2",
+            *[f"tfidf_{i}" for i in range(100)],
         )
     )
 
 
 def class_feature_profile(spark, folder):
     """Mean of each text feature, toxic against other."""
-    df = ft.native_features(labelled(spark, folder))
+    df = with_labels(ft.native_features(cleaned(spark, folder)).drop("text"), spark, folder)
     return df.groupBy("toxic").agg(*[F.round(F.avg(c), 6).alias(c) for c in ft.NATIVE_FEATURES])
 
 
 def first_of_class_features(spark, folder):
     """Features of the first toxic and the first other comment."""
-    first = first_per_class(labelled(spark, folder).select("doc_id", "text", "toxic"), "toxic")
-    return _rounded(ft.native_features(first).drop("text"))
+    keys = with_labels(documents(spark, folder).select("doc_id"), spark, folder).select("doc_id", "toxic")
+    first = first_per_class(keys, "toxic")
+    # One row per class, which meets its text.
+    texts = cleaned(spark, folder).join(F.broadcast(first), "doc_id")
+    return _rounded(ft.native_features(texts).drop("text"))
 
 
 def full_feature_table(spark, folder):
     """All model inputs of the manual forest, without a tagger."""
-    df = feature_table(comments(spark, folder), stop_words=STOP_WORDS)
+    df = feature_table(comments(spark, folder))
     return _rounded(df.select("doc_id", *lx.FEATURE_COLUMNS))
 
 
@@ -266,8 +271,8 @@ QUERIES = {
         features_of_lines,
         f"WITH {CLEANED}, l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,"
         " generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ln FROM cleaned),"
-        " b AS (SELECT doc_id, ln, CASE WHEN length(line) % 5 = 0 OR trim(line) = '' THEN ''"
-        f" ELSE line END AS text FROM l) {_sql_native('b', 'doc_id, ln')}",
+        " b AS (SELECT doc_id, ln, CASE WHEN trim(line) = '' THEN '' ELSE line END AS text FROM l"
+        f" UNION ALL SELECT doc_id, -1, '' FROM cleaned) {_sql_native('b', 'doc_id, ln')}",
     ),
     "near_attacks": Query(
         near_attacks,
@@ -310,11 +315,11 @@ QUERIES = {
     "engineered_features": Query(
         engineered,
         f"WITH {TFIDF}, al AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS ix FROM vo),"
-        " f3 AS (SELECT * FROM fin JOIN al USING (term) WHERE ix < 3),"
+        " f3 AS (SELECT * FROM fin JOIN al USING (term) WHERE ix < 100),"
         " bl AS (SELECT c.doc_id, "
         + ", ".join(
             f"round(coalesce(max(CASE WHEN ix = {i} THEN weight END), 0), 6) AS tfidf_{i}"
-            for i in range(3)
+            for i in range(100)
         )
         + " FROM cleaned c LEFT JOIN f3 USING (doc_id) GROUP BY 1),"
         f" li AS (SELECT doc_id, len({sql_sentences('text')}) AS sentence_count,"

@@ -11,17 +11,25 @@ from modlens.functions import text as tx
 from modlens.operators import identity as op
 from modlens.operators.normalise import toxic_with_identity
 from modlens.registry.inputs import (
-    CLEANED, SIX_LABELS, Query, cleaned, labelled, quoted, sql_in, sql_words,
+    CLEANED, SIX_LABELS, Query, cleaned, labels, quoted, sql_in, sql_words, with_labels,
 )
 from modlens.sources.tables import small_table
 
 COUNT_COLUMNS = [f"{c}_mentions" for c in lx.IDENTITY_TERMS] + ["identity_term_count"]
-STOP_WORDS = [
-    "i", "me", "my", "we", "our", "you", "your", "he", "him", "his", "she", "her", "it", "its",
-    "they", "them", "their", "this", "that", "these", "those", "am", "is", "are", "was", "were",
-    "be", "a", "an", "the", "and", "but", "if", "or", "of", "at", "by", "for", "with", "about",
-    "any", "so", "very", "here", "there", "all", "old", "man",
-]
+# The default stop words, as the SQL lists them.
+STOP_WORDS = """
+    i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her
+    hers herself it its itself they them their theirs themselves what which who whom this that these
+    those am is are was were be been being have has had having do does did doing a an the and but if or
+    because as until while of at by for with about against between into through during before after
+    above below to from up down in out on off over under again further then once here there when where
+    why how all any both each few more most other some such no nor not only own same so than too very s
+    t can will just don should now i'll you'll he'll she'll we'll they'll i'd you'd he'd she'd we'd
+    they'd i'm you're he's she's it's we're they're i've we've you've they've isn't aren't wasn't
+    weren't haven't hasn't hadn't don't doesn't didn't won't wouldn't shan't shouldn't mustn't can't
+    couldn't cannot could here's how's let's ought that's there's what's when's where's who's why's
+    would
+""".split()
 
 
 def identity_columns(spark, folder):
@@ -58,12 +66,12 @@ def nested_mentions(spark, folder):
 
 
 def term_statistics(spark, folder):
-    out = op.term_statistics(labelled(spark, folder))
+    out = op.term_statistics(cleaned(spark, folder), labels=labels(spark, folder))
     return out.withColumn("toxic_ratio", F.round("toxic_ratio", 6))
 
 
 def term_statistics_words(spark, folder):
-    out = op.term_statistics(labelled(spark, folder), word_boundary=True)
+    out = op.term_statistics(cleaned(spark, folder), word_boundary=True, labels=labels(spark, folder))
     return out.withColumn("toxic_ratio", F.round("toxic_ratio", 6))
 
 
@@ -76,7 +84,7 @@ def phrase_term_pairs(spark, folder):
 def words_not_stopped(spark, folder):
     """Corpus words that are no stop word, where identity terms are never stop words."""
     terms = lx.distinct_terms(lx.IDENTITY_TERMS)
-    stops = small_table(spark, [(w,) for w in ng.content_stop_words(STOP_WORDS, terms)], "word string")
+    stops = small_table(spark, [(w,) for w in ng.content_stop_words(ng.default_stop_words(), terms)], "word string")
     words = cleaned(spark, folder).select(F.explode(tx.words(F.lower("text"))).alias("word"))
     kept = words.join(F.broadcast(stops), "word", "left_anti")
     return kept.groupBy("word").agg(F.count("*").alias("n"))
@@ -94,7 +102,8 @@ def terms_in_use(spark, folder):
 
 def toxic_identity_count(spark, folder):
     """Toxic comments with identity terms, per number of mentions."""
-    hits = toxic_with_identity(op.identity_columns(labelled(spark, folder)))
+    counts = op.identity_columns(cleaned(spark, folder)).drop("text")
+    hits = toxic_with_identity(with_labels(counts, spark, folder))
     return hits.groupBy("identity_term_count").agg(F.count("*").alias("n"))
 
 

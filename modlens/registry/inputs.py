@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from modlens import lexicons as lx
-from modlens.functions import text as tx
 from modlens.functions.arrays import string_array
 from modlens.operators.normalise import clean_comments
 
@@ -32,10 +31,10 @@ SENTENCES = [
     "Write to jane.doe+x@mail.example.com or BOB@EXAMPLE.COM today!",
     "idk tbh, omw 2mw w/ bae w/o u. encl. ft. 6 ft l8r <3 $ and $5 etc",
     "Café crème naïve €9 – luv it ☺",
-    "I hate how gay people always make everything about being gay. They should keep quiet.",
-    "Mr. Smith is a great teacher. He's not discriminating against any students.",
+    "Some despise the loud gay people next door, whose music is always on. They moved out.",
+    "Dr. Lopez runs a lovely bakery. She's not hiding from the customers.",
     "Muslims, a muslim woman and many a Jewish man love the old community!",
-    "Being transgender is NOT a mental illness. Stop spreading hate!",
+    "Having a wheelchair is NOT a bad thing at all. Stop shouting at us!",
     "You people are stupid idiots, go back to your own land. They always lie.",
     "I can't stand those loud middle eastern people, the Middle Eastern group or the group.",
     "He didn't like the young boy but she never, ever said that bad thing.",
@@ -59,14 +58,9 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """The frame over all cores, where its files give fewer tasks than there are cores.
-
-    A small file is one task, which a costly text job would leave at that. A large table has
-    more tasks than cores and stays as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def with_labels(df: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
+    """Rows with the six labels of their document; what was made of the texts is joined, not they."""
+    return df.join(labels(spark, folder), "doc_id")
 
 
 def commented(df: DataFrame) -> DataFrame:
@@ -78,7 +72,7 @@ def commented(df: DataFrame) -> DataFrame:
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     """Given documents: doc_id, text."""
-    return spread(read(spark, folder, "documents").select("doc_id", "text"))
+    return read(spark, folder, "documents").select("doc_id", "text")
 
 
 def comments(spark: SparkSession, folder: str) -> DataFrame:
@@ -232,7 +226,7 @@ def sql_tokens(text: str) -> str:
     apart = rf"regexp_replace({text}, '\b([cC][aA][nN])([nN][oO][tT])\b', '\1 \2', 'g')"
     apart = rf"regexp_replace({apart}, '(\w)([nN]''[tT])\b', '\1 \2', 'g')"
     token = (
-        rf"\b(?:{tx.TITLES})\.|[nN]''[tT]\b|''(?i:s|re|ve|ll|d|m)\b|\w+|[^\w\s\x0b]"
+        rf"\b(?:Mr|Mrs|Ms|Dr|St|Prof)\.|[nN]''[tT]\b|''(?i:s|re|ve|ll|d|m)\b|\w+|[^\w\s\x0b]"
     )
     return f"regexp_extract_all({apart}, '{token}')"
 
@@ -250,7 +244,7 @@ def sql_corpus_words(text: str) -> str:
 
 def sql_sentences(text: str) -> str:
     """List of sentences."""
-    guarded = rf"regexp_replace({text}, '\b({tx.TITLES})\.', '\1' || chr(2), 'g')"
+    guarded = rf"regexp_replace({text}, '\b(Mr|Mrs|Ms|Dr|St|Prof)\.', '\1' || chr(2), 'g')"
     marked = (
         rf"regexp_replace({guarded}, '([.!?]+[\"'')\]]*)[{SQL_SPACE}]+', '\1' || chr(1), 'g')"
     )

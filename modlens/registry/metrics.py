@@ -38,6 +38,18 @@ def roc_auc(spark, folder):
     return _rounded(mt.roc_auc(scores(spark, folder)))
 
 
+def fine_scores(spark, folder):
+    """Scores of which nearly every row has its own."""
+    digest = F.md5(F.concat_ws(":", "label_name", F.col("doc_id").cast("string")).cast("binary"))
+    spot = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double")
+    return scores(spark, folder).withColumn("p", (spot / 2.0 + F.col("y") * 1e9) / F.lit(3.2e9))
+
+
+def roc_auc_fine(spark, folder):
+    """AUC over many range buckets."""
+    return _rounded(mt.roc_auc(fine_scores(spark, folder), rows_per_bucket=50))
+
+
 def roc_curve(spark, folder):
     return _rounded(mt.roc_curve(scores(spark, folder), drop_intermediate=False))
 
@@ -131,7 +143,8 @@ CURVE = (
     "sc AS (SELECT label_name, p, count(*) FILTER (y = 1) AS np, count(*) FILTER (y = 0) AS nn"
     " FROM scored GROUP BY 1, 2), "
     "cu AS (SELECT *, sum(np) OVER w AS tp, sum(nn) OVER w AS fp, sum(np) OVER (PARTITION BY label_name) AS pp,"
-    " sum(nn) OVER (PARTITION BY label_name) AS nt, lead(np) OVER o AS np2, lead(nn) OVER o AS nn2 FROM sc"
+    " sum(nn) OVER (PARTITION BY label_name) AS nt, lead(np) OVER o AS np2, lead(nn) OVER o AS nn2,"
+    " row_number() OVER o AS place FROM sc"
     " WINDOW w AS (PARTITION BY label_name ORDER BY p DESC ROWS UNBOUNDED PRECEDING),"
     " o AS (PARTITION BY label_name ORDER BY p DESC))"
 )
@@ -142,7 +155,15 @@ _POINTS = (
 )
 
 _ALPHA = ", ".join(f"('{n}', {a}::DOUBLE)" for n, _, _, _, a in lx.LABEL_PARAMS)
-_GRID = ", ".join(f"('{n}', {t!r}::DOUBLE)" for n, ts in mt.threshold_grid().items() for t in ts)
+# Thresholds from the low end in steps of 0.05, the high end left out: first and number per label.
+_STEPS = [
+    ("toxic", "0.3", 8), ("severe_toxic", "0.4", 8), ("obscene", "0.4", 6), ("threat", "0.3", 4),
+    ("insult", "0.4", 6), ("identity_hate", "0.6", 5),
+]
+_GRID = ", ".join(
+    f"('{n}', {low}::DOUBLE + {i} * (({low}::DOUBLE + 0.05::DOUBLE) - {low}::DOUBLE))"
+    for n, low, many in _STEPS for i in range(many)
+)
 
 GRID = (
     f"gr AS (SELECT * FROM (VALUES {_GRID}) v(label_name, t)), "
@@ -178,10 +199,19 @@ QUERIES = {
     "roc_auc": Query(
         roc_auc, f"WITH {SCORES}, {AUC} SELECT label_name, round(roc_auc, 6) AS roc_auc FROM auc"
     ),
+    "roc_auc_fine": Query(
+        roc_auc_fine,
+        f"WITH {SCORES}, fs AS (SELECT label_name, y, (crc / 2.0::DOUBLE + y * 1e9::DOUBLE) / 3.2e9::DOUBLE AS p"
+        " FROM (SELECT *, CAST('0x' || substr(md5(label_name || ':' || doc_id), 1, 8) AS BIGINT) AS crc FROM preds)),"
+        " r AS (SELECT *, rank() OVER (PARTITION BY label_name ORDER BY p)"
+        " + (count(*) OVER (PARTITION BY label_name, p) - 1) / 2.0::DOUBLE AS rk FROM fs)"
+        " SELECT label_name, round((sum(rk) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2.0::DOUBLE)"
+        " / (sum(y) * (count(*) - sum(y)))::DOUBLE, 6) AS roc_auc FROM r GROUP BY 1",
+    ),
     "roc_curve": Query(roc_curve, f"WITH {SCORES}, {CURVE} {_POINTS}{_ORIGIN}"),
     "roc_corner_points": Query(
         roc_corner_points,
-        f"WITH {SCORES}, {CURVE} {_POINTS} WHERE np2 IS NULL OR np2 <> np OR nn2 <> nn{_ORIGIN}",
+        f"WITH {SCORES}, {CURVE} {_POINTS} WHERE np2 IS NULL OR np2 <> np OR nn2 <> nn OR place = 1{_ORIGIN}",
     ),
     "evaluation_summary": Query(
         summary,

@@ -11,14 +11,14 @@ from modlens.operators.normalise import normalise, toxic_with_identity
 from modlens.operators.ranking import top_k
 from modlens.registry.identity import LABELLED, SQL_COUNTS, SQL_TOTAL, STOP_WORDS
 from modlens.registry.inputs import (
-    CLEANED, SQL_SPACE, Query, cleaned, labelled, quoted, sql_in, sql_tokens,
+    CLEANED, SQL_SPACE, Query, cleaned, quoted, sql_in, sql_tokens, with_labels,
 )
 
 TERMS = lx.distinct_terms(lx.IDENTITY_TERMS)
 
 
 def mark_negation(spark, folder):
-    marked = ng.mark_negation(F.col("text"), TERMS, STOP_WORDS)
+    marked = ng.mark_negation(F.col("text"), TERMS)
     return cleaned(spark, folder).select("doc_id", marked.alias("normalized_text"))
 
 
@@ -35,28 +35,35 @@ def polarity(spark, folder):
 
 def normalise_table(spark, folder):
     """Normalised text with the polarity columns."""
-    return normalise(cleaned(spark, folder), stop_words=STOP_WORDS).drop("text")
+    return normalise(cleaned(spark, folder)).drop("text")
 
 
 def polarity_by_class(spark, folder):
     """Sums of the polarity columns of toxic and other comments."""
-    df = labelled(spark, folder).select("toxic", ng.polarity(F.col("text"), TERMS).alias("p"))
+    polar = cleaned(spark, folder).select("doc_id", ng.polarity(F.col("text"), TERMS).alias("p"))
+    df = with_labels(polar, spark, folder)
     sums = [F.sum(f"p.{c}").alias(c) for c in ng.POLARITY_COLUMNS]
     return df.groupBy("toxic").agg(*sums)
 
 
 def toxic_identity_sample(spark, folder):
     """The first five toxic comments with identity terms and their polarity columns."""
-    hits = toxic_with_identity(op.identity_columns(labelled(spark, folder)))
-    first = top_k(hits, [F.col("doc_id")], 5)
-    out = normalise(first, stop_words=STOP_WORDS)
+    counts = op.identity_columns(cleaned(spark, folder)).select("doc_id", "identity_term_count")
+    first = top_k(toxic_with_identity(with_labels(counts, spark, folder)), [F.col("doc_id")], 5)
+    # Five rows, which meet their texts.
+    texts = cleaned(spark, folder).join(F.broadcast(first), "doc_id")
+    out = normalise(texts)
     return out.select("doc_id", "identity_term_count", "normalized_text", *ng.POLARITY_COLUMNS)
 
 
 # -- SQL -------------------------------------------------------------------------------------
 
 _closing = lx.SCOPE_TERMINATORS
-_opening = ng.negation_tokens()
+_opening = [
+    "not", "no", "never", "none", "neither", "nowhere", "nobody", "nothing", "n't", "cannot",
+    "can't", "won't", "wouldn't", "shouldn't", "couldn't", "don't", "doesn't", "isn't", "aren't", "ain't",
+    "cant", "wont", "wouldnt", "shouldnt", "couldnt", "dont", "doesnt", "isnt", "arent", "aint",
+]
 _identity = [t for t in TERMS if " " not in t]
 _unmarked = lx.NON_NEGATABLE + [w for w in STOP_WORDS if w not in TERMS]
 

@@ -9,12 +9,11 @@ from modlens.operators import profile, splits
 from modlens.operators.sequences import SequenceEncoder, word_index
 from modlens.plans.sequences import corpus_sizing
 from modlens.registry.inputs import (
-    COMMENTS, SIX_LABELS, SQL_SPACE, Query, comments, labelled, labels, read, sql_corpus_words,
+    COMMENTS, SIX_LABELS, SQL_SPACE, Query, comments, labels, read, sql_corpus_words,
 )
 from modlens.sources.tables import preview
 
-NUM_WORDS = 5000
-MAXLEN = 60
+NUM_WORDS = 200_000  # the most that sizing gives
 
 
 def class_distribution(spark, folder):
@@ -88,6 +87,12 @@ def first_seen_word_ids(spark, folder):
     return word_index(comments(spark, folder), NUM_WORDS)
 
 
+def word_ids_by_text_key(spark, folder):
+    """Ids where the key is text: first seen in the order of the keys as text."""
+    keyed = comments(spark, folder).select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    return word_index(keyed, NUM_WORDS)
+
+
 def alphabetic_word_ids(spark, folder):
     return word_index(comments(spark, folder), NUM_WORDS, ties="word")
 
@@ -103,9 +108,12 @@ def stratified_split(spark, folder):
 
 def encoded_sequences(spark, folder):
     """Word ids learnt on the training rows, then the test rows encoded."""
-    split = splits.stratified_split(labelled(spark, folder, clean=False), "toxic")
-    encoder = SequenceEncoder(NUM_WORDS).fit(split.filter(~F.col("is_test")), MAXLEN)
-    out = encoder.transform(split.filter("is_test"))
+    size = corpus_sizing(comments(spark, folder)).first()
+    split = splits.stratified_split(labels(spark, folder), "toxic").select("doc_id", "is_test")
+    train = comments(spark, folder).join(split.filter(~F.col("is_test")), "doc_id")
+    encoder = SequenceEncoder(size["max_features"]).fit(train, size["maxlen"])
+    # Texts are encoded where they are; only their sequences meet the split.
+    out = encoder.transform(comments(spark, folder)).join(split.filter("is_test"), "doc_id")
     return out.select("doc_id", F.concat_ws(" ", F.col("sequence").cast("array<string>")).alias("sequence"))
 
 
@@ -140,13 +148,13 @@ def _sql_sizing() -> str:
     )
 
 
-def _sql_word_ids(cte: str, order: str) -> str:
+def _sql_word_ids(cte: str, order: str, first: str = "min(doc_id * 1000000 + pos)", limit: str = str(NUM_WORDS)) -> str:
     return (
         f"{cte}, wl AS (SELECT doc_id, {sql_corpus_words('text')} AS w FROM src),"
         " wp AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM wl),"
-        " wc AS (SELECT word, count(*) AS n, min(doc_id * 1000000 + pos) AS first FROM wp GROUP BY 1),"
+        f" wc AS (SELECT word, count(*) AS n, {first} AS first FROM wp GROUP BY 1),"
         f" ids AS (SELECT word, row_number() OVER (ORDER BY n DESC, {order}) AS word_id FROM wc"
-        f" QUALIFY word_id < {NUM_WORDS})"
+        f" QUALIFY word_id < {limit})"
     )
 
 
@@ -219,6 +227,15 @@ QUERIES = {
         f"WITH {_sql_word_ids(COMMENTS + ', src AS (SELECT * FROM raw)', 'first')}"
         " SELECT word, word_id FROM ids",
     ),
+    "word_ids_by_text_key": Query(
+        word_ids_by_text_key,
+        "WITH "
+        + _sql_word_ids(
+            COMMENTS + ", src AS (SELECT * FROM raw)", "first",
+            "min(struct_pack(k := CAST(doc_id AS VARCHAR), p := pos))",
+        )
+        + " SELECT word, word_id FROM ids",
+    ),
     "alphabetic_word_ids": Query(
         alphabetic_word_ids,
         f"WITH {_sql_word_ids(COMMENTS + ', src AS (SELECT * FROM raw)', 'word')}"
@@ -235,15 +252,17 @@ QUERIES = {
         encoded_sequences,
         "WITH "
         + _sql_word_ids(
-            f"{COMMENTS}, {STRATIFIED},"
+            _sql_coverage("reference", WORDS)
+            + f", {_sql_lengths('raw')}, sz AS ({_sql_sizing()}), {STRATIFIED},"
             " src AS (SELECT doc_id, text FROM raw JOIN st USING (doc_id) WHERE NOT is_test)",
             "first",
+            limit="(SELECT max_features FROM sz)",
         )
         + f", tw AS (SELECT doc_id, {sql_corpus_words('text')} AS w FROM raw JOIN st USING (doc_id) WHERE is_test),"
         " tp AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM tw),"
         " ts AS (SELECT doc_id, list(word_id ORDER BY pos) AS s FROM tp JOIN ids USING (word) GROUP BY 1)"
-        f" SELECT doc_id, array_to_string(list_concat(list_transform(range(greatest({MAXLEN} -"
-        f" coalesce(len(s), 0), 0)), lambda x: 0::BIGINT), coalesce(s[greatest(len(s) - {MAXLEN}, 0) + 1 :], [])),"
-        " ' ') AS sequence FROM tw LEFT JOIN ts USING (doc_id)",
+        f" SELECT doc_id, array_to_string(list_concat(list_transform(range(greatest(maxlen -"
+        f" coalesce(len(s), 0), 0)), lambda x: 0::BIGINT), coalesce(s[greatest(len(s) - maxlen, 0) + 1 :], [])),"
+        " ' ') AS sequence FROM tw LEFT JOIN ts USING (doc_id), sz",
     ),
 }

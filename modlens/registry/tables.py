@@ -8,10 +8,11 @@ from modlens import lexicons as lx
 from modlens.functions import text as tx
 from modlens.operators.identity import identity_columns, term_statistics
 from modlens.registry.features import QUERIES as FEATURES
-from modlens.registry.identity import LABELLED, SQL_COUNTS, SQL_TOTAL, STOP_WORDS
+from modlens.registry.identity import LABELLED, SQL_COUNTS, SQL_TOTAL
 from modlens.registry.identity import QUERIES as IDENTITY_QUERIES
 from modlens.registry.inputs import (
-    COMMENTS, PRINTABLE, SIX_LABELS, Query, commented, comments, labelled, read, sql_expanded,
+    COMMENTS, PRINTABLE, SIX_LABELS, Query, cleaned, commented, comments, labelled, labels, read, sql_expanded,
+    with_labels,
 )
 from modlens.session import run_dir
 from modlens.sources.tables import (
@@ -29,11 +30,16 @@ def csv_round_trip(spark, folder):
     return read_comments(spark, path, comment_schema())
 
 
+def _processed(spark, folder):
+    texts = cleaned(spark, folder)
+    features = with_labels(identity_columns(texts).drop("text"), spark, folder)
+    return features, term_statistics(texts, labels=labels(spark, folder))
+
+
 def processed_round_trip(spark, folder):
     """Identity features saved, loaded, and counted by the flag."""
-    df = labelled(spark, folder)
     path = run_dir(spark, "processed")
-    save_processed(identity_columns(df).drop("text"), term_statistics(df), path)
+    save_processed(*_processed(spark, folder), path)
     features, _ = load_processed(spark, path)
     return features.groupBy("has_identity_terms").agg(
         F.count("*").alias("n"), F.sum("identity_term_count").alias("mentions")
@@ -42,9 +48,8 @@ def processed_round_trip(spark, folder):
 
 def processed_statistics(spark, folder):
     """Term statistics saved and loaded."""
-    df = labelled(spark, folder)
     path = run_dir(spark, "processed")
-    save_processed(identity_columns(df).drop("text"), term_statistics(df), path)
+    save_processed(*_processed(spark, folder), path)
     _, stats = load_processed(spark, path)
     return stats.select("category", "term", "total_mentions", "toxic_mentions")
 
@@ -62,11 +67,9 @@ def dictionary_from_file(spark, folder):
 def stream_enrich(spark, folder):
     """The documents as a stream, enriched with all text columns and appended as Parquet."""
     batch = read(spark, folder, "documents")
-    cores = spark.sparkContext.defaultParallelism
-    tasks = cores if batch.rdd.getNumPartitions() < cores else None
-    stream = read_stream(spark, folder, batch.schema, "documents.parquet", tasks=tasks)
+    stream = read_stream(spark, folder, batch.schema, "documents.parquet")
     stream = stream.select("doc_id", "text")
-    out = enrich(commented(stream), stop_words=STOP_WORDS)
+    out = enrich(commented(stream))
     path = run_dir(spark, "enriched")
     query = write_available(out.select("doc_id", *lx.FEATURE_COLUMNS), path, run_dir(spark, "progress"))
     query.awaitTermination()

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from modlens.operators import tfidf
 from modlens.registry.inputs import CLEANED, Query, cleaned
+from modlens.session import checkpointed
 
-FEATURES = 2000
+FEATURES = 10_000
 
 
 def tfidf_vocabulary(spark, folder):
@@ -16,21 +17,31 @@ def tfidf_vocabulary(spark, folder):
 
 
 def tfidf_weights(spark, folder):
-    docs = cleaned(spark, folder)
+    docs = checkpointed(cleaned(spark, folder))
     model = tfidf.fit_tfidf(docs, max_features=FEATURES)
     return model.long(docs).withColumn("weight", F.round("weight", 6))
 
 
 def tfidf_block(spark, folder):
-    """The first hundred vocabulary columns per document, as their number and sum."""
-    docs = cleaned(spark, folder)
-    wide = tfidf.fit_tfidf(docs, max_features=FEATURES).block(docs, 100)
+    """The first hundred vocabulary columns per document, with their number and sum."""
+    return _block(spark, folder, "term")
+
+
+def tfidf_heavy_block(spark, folder):
+    """The hundred columns of greatest weight per document, with their number and sum."""
+    return _block(spark, folder, "weight")
+
+
+def _block(spark, folder, by):
+    # Fit, weights and block all read the cleaned texts, so they are written once.
+    docs = checkpointed(cleaned(spark, folder))
+    wide = tfidf.fit_tfidf(docs, max_features=FEATURES).block(docs, 100, by=by)
     names = [f"tfidf_{i}" for i in range(100)]
     total = F.aggregate(F.array(*names), F.lit(0.0), lambda a, x: a + x)
     used = F.size(F.filter(F.array(*names), lambda x: x > 0))
     return wide.select(
         "doc_id", used.alias("used"), F.round(total, 6).alias("total"),
-        *[F.round(n, 6).alias(n) for n in names[:3]],
+        *[F.round(n, 6).alias(n) for n in names],
     )
 
 
@@ -48,20 +59,28 @@ TFIDF = (
     "fin AS (SELECT doc_id, term, w / n AS weight FROM wt JOIN nm USING (doc_id))"
 )
 
+_BLOCK = (
+    " AS (SELECT * FROM fin JOIN al USING (term) WHERE ix < 100)"
+    " SELECT c.doc_id, count(term) AS used, round(coalesce(sum(weight), 0), 6) AS total,"
+    + ", ".join(
+        f" round(coalesce(max(CASE WHEN ix = {i} THEN weight END), 0), 6) AS tfidf_{i}" for i in range(100)
+    )
+    + " FROM cleaned c LEFT JOIN f100 USING (doc_id) GROUP BY 1"
+)
+
 QUERIES = {
     "tfidf_vocabulary": Query(tfidf_vocabulary, f"WITH {TFIDF} SELECT term, total, df FROM vo"),
     "tfidf_weights": Query(
         tfidf_weights, f"WITH {TFIDF} SELECT doc_id, term, round(weight, 6) AS weight FROM fin"
     ),
+    "tfidf_heavy_block": Query(
+        tfidf_heavy_block,
+        f"WITH {TFIDF}, al AS (SELECT term, row_number() OVER (ORDER BY round(sum(weight), 6) DESC, term) - 1 AS ix"
+        " FROM fin GROUP BY 1), f100" + _BLOCK,
+    ),
     "tfidf_block": Query(
         tfidf_block,
         f"WITH {TFIDF}, al AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS ix FROM vo),"
-        " f100 AS (SELECT * FROM fin JOIN al USING (term) WHERE ix < 100)"
-        " SELECT c.doc_id, count(term) AS used, round(coalesce(sum(weight), 0), 6) AS total,"
-        + ", ".join(
-            f" round(coalesce(max(CASE WHEN ix = {i} THEN weight END), 0), 6) AS tfidf_{i}"
-            for i in range(3)
-        )
-        + " FROM cleaned c LEFT JOIN f100 USING (doc_id) GROUP BY 1",
+        " f100" + _BLOCK,
     ),
 }

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from modlens.operators import vectors as vc
 from modlens.registry.inputs import Query, read
 from modlens.session import run_dir
+from modlens.sources.tables import small_table
 from modlens.sources.vectors import cached_vectors, embed_texts
 
 
@@ -38,7 +39,8 @@ def label_correlation(spark, folder):
 
 
 def correlation_histogram(spark, folder):
-    return vc.correlation_histogram(vc.label_correlation(embeddings(spark, folder), label="y"))
+    out = vc.correlation_histogram(vc.label_correlation(embeddings(spark, folder), label="y"))
+    return out.withColumns({c: F.round(c, 6) for c in ("low_edge", "high_edge")})
 
 
 def principal_components(spark, folder):
@@ -58,6 +60,31 @@ def component_moments(spark, folder):
     )
 
 
+def component_checks(spark, folder):
+    """Per component: length of its axis, what the covariance leaves of it, variance of its coordinate.
+
+    The axis has length 1; covariance x axis = eigenvalue x axis, so the residual is 0; the
+    coordinate varies as the eigenvalue says, and the first at least as much as any dimension.
+    """
+    df = embeddings(spark, folder)
+    axes = vc.component_axes(df)
+    cov = vc.covariance(df)
+    pcs = vc.principal_components(df)
+    spread = pcs.agg(F.var_samp("pc1").alias("v1"), F.var_samp("pc2").alias("v2")).first()
+    rows = []
+    for i in range(2):
+        a = axes[:, i]
+        eigen = float(a @ cov @ a)
+        rows.append(
+            (
+                i + 1, round(float(np.linalg.norm(a)), 6), round(float(np.abs(cov @ a - eigen * a).max()), 6),
+                round(spread[i] / eigen, 6), bool(float(spread[0]) >= cov.diagonal().max()), pcs.count(),
+            )
+        )
+    schema = "component int, axis_length double, residual double, variance_ratio double, widest boolean, n long"
+    return small_table(spark, rows, schema)
+
+
 def shape_model():
     """Loader of a stand-in model: text length and the counts of four letters.
 
@@ -126,15 +153,22 @@ QUERIES = {
     ),
     "correlation_histogram": Query(
         correlation_histogram,
-        f"WITH {LONG} SELECT CAST(least(floor((c - (SELECT min(c) FROM co)) /"
-        " ((SELECT max(c) FROM co) - (SELECT min(c) FROM co)) * 50), 49) AS INT) AS bin, count(*) AS n"
-        " FROM co GROUP BY 1",
+        f"WITH {LONG}, e AS (SELECT min(c) AS lo, max(c) AS hi FROM co),"
+        " b AS (SELECT CAST(least(floor((c - lo) / (hi - lo) * 50), 49) AS INT) AS bin, count(*) AS n FROM co, e"
+        " GROUP BY 1) SELECT CAST(r.bin AS INT) AS bin, round(lo + (hi - lo) * r.bin / 50, 6) AS low_edge,"
+        " round(lo + (hi - lo) * (r.bin + 1) / 50, 6) AS high_edge, coalesce(n, 0) AS n"
+        " FROM range(50) r(bin) LEFT JOIN b ON b.bin = r.bin, e",
     ),
     "principal_components": Query(principal_components),
     "component_moments": Query(
         component_moments,
         "SELECT 0::DOUBLE AS mean_1, 0::DOUBLE AS mean_2, 0::DOUBLE AS covariance, count(*) AS n FROM embeddings",
     ),
+    "component_checks": Query(
+        component_checks,
+        "SELECT CAST(c AS INT) AS component, 1::DOUBLE AS axis_length, 0::DOUBLE AS residual,"
+        " 1::DOUBLE AS variance_ratio, true AS widest, count(*) AS n FROM embeddings, range(1, 3) r(c) GROUP BY c",
+    ),
     "embedded_texts": Query(embedded_texts, _SHAPE),
     "kept_vectors": Query(kept_vectors, _SHAPE),
 }

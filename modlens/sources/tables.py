@@ -13,8 +13,6 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from modlens import lexicons as lx
 
-MAX_DICTIONARY = 10_000
-
 
 def comment_schema(labels: Sequence[str] = tuple(lx.LABELS)) -> T.StructType:
     """Schema of a labelled comment table: key, text, one 0/1 column per label."""
@@ -31,20 +29,37 @@ def small_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> Data
     return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=arrow))
 
 
+# Names of the public comment table, and what they are called here.
+COMMENT_NAMES = {"id": "doc_id", "comment_text": "text"}
+
+
 def read_comments(
-    spark: SparkSession, path: str, schema: T.StructType | None = None
+    spark: SparkSession, path: str, schema: T.StructType | None = None,
+    names: dict[str, str] | None = None,
 ) -> DataFrame:
     """Read a comment CSV with a header; quoted text may hold line breaks and doubled quotes.
 
-    With ``multiLine`` a file is one task, so a large table should come as many files.
+    Columns are found by their header; ``names`` renames them first. Without a schema the key
+    stays text and all other columns but ``text`` are whole numbers. A row with too few or too many
+    fields, or a value that is not of its column's type, stops the job. With ``multiLine`` a file is
+    one task, so a large table should come as many files.
     """
-    return (
-        spark.read.schema(schema or comment_schema())
-        .option("header", True)
+    raw = (
+        spark.read.option("header", True)
         .option("multiLine", True)
         .option("escape", '"')
+        .option("mode", "FAILFAST")
         .csv(path)
+        .withColumnsRenamed(COMMENT_NAMES if names is None else names)
     )
+    if schema is None:
+        whole = [c for c in raw.columns if c not in ("doc_id", "text")]
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in ("doc_id", "text") if c in raw.columns])
+        schema = T.StructType(schema.fields + [T.StructField(c, T.IntegerType()) for c in whole])
+    missing = [f.name for f in schema if f.name not in raw.columns]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}")
+    return raw.select([F.col(f.name).cast(f.dataType) for f in schema])
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -88,9 +103,7 @@ def read_substitutions(spark: SparkSession, path: str) -> list[list[tuple[str, s
     schema = "pass int, ord int, key string, replacement string"
     # A replacement may begin or end with a blank, and that blank counts.
     df = spark.read.schema(schema).option("header", True).option("escape", '"').csv(path)
-    rows = df.orderBy("pass", "ord").limit(MAX_DICTIONARY + 1).collect()
-    if len(rows) > MAX_DICTIONARY:
-        raise ValueError(f"a dictionary may hold {MAX_DICTIONARY} entries at most")
+    rows = df.orderBy("pass", "ord").collect()  # becomes constants of the plan
     passes: dict[int, list[tuple[str, str]]] = {}
     for r in rows:
         passes.setdefault(r["pass"], []).append((r["key"], r["replacement"] or ""))

@@ -11,7 +11,6 @@ TABLES = (
     "benchmark labels conversations"
 ).split()
 QUERIES = all_queries()
-SLOW = {"manual_forest_summary", "manual_forest_importances", "embedding_forest_report"}
 
 
 @pytest.fixture(scope="module")
@@ -38,7 +37,7 @@ def test_matches_sql(spark, folder, duck, name):
     assert got == rows_of(names, cursor.fetchall())
 
 
-@pytest.mark.parametrize("name", [n for n, q in QUERIES.items() if q.sql is None and n not in SLOW])
+@pytest.mark.parametrize("name", [n for n, q in QUERIES.items() if q.sql is None])
 def test_runs_without_sql(spark, folder, name):
     assert QUERIES[name].run(spark, folder).count() > 0
 
