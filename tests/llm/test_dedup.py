@@ -108,9 +108,10 @@ def test_tree_finds_every_link():
     assert (same(up) == same(plain)).all() and len(set(plain)) < 80
 
 
-def test_components(spark):
+@pytest.mark.parametrize("per_task", [1_000_000, 5])
+def test_components(spark, per_task):
     edges = [(1, 2), (2, 3), (9, 3), (5, 4), (7, 7)] + [(100 + i, 101 + i) for i in range(30)]
-    got = {tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long"), per_task).collect()}
     assert {(1, 1), (2, 1), (3, 1), (9, 1), (4, 4), (5, 4), (130, 100)} <= got and len(got) == 6 + 31
 
 
