@@ -1,7 +1,7 @@
 """Removal of repeated passages: every byte covered by a 100-byte string that also starts earlier.
 
 Documents are dealt over blocks by a hash. In each block every 100-byte window is filed under its anchor, the
-32-byte string inside it with the smallest hash (leftmost among equals), so equal windows lie under
+48-byte string inside it with the smallest hash (leftmost among equals), so equal windows lie under
 equal anchors wherever they stand, and neighbouring windows mostly share one. Blocks send each of
 their distinct anchors once and hear which ones a different text holds as well. The stretches of text
 under those anchors go, each distinct stretch once per block, to the anchor's bucket. There, equal
@@ -42,7 +42,7 @@ class RepeatSettings:
     """Bytes of a window and of an anchor, bytes of a block, and shards of a bucket."""
 
     window: int = 100
-    anchor: int = 32
+    anchor: int = 48
     block_bytes: int = 4_000_000
     shards: int = 4
 
@@ -112,7 +112,7 @@ def stretches(texts: Texts, s: RepeatSettings) -> Stretches:
     """Every window start of the block's documents, under its anchor."""
     begins = np.concatenate([[0], texts.ends[:-1]])
     parts = []
-    piece = 4_000_000  # bytes looked at together
+    piece = 500_000  # bytes looked at together; bounds the memory whatever the size of a text
     for at in range(0, len(texts.data), piece):
         data = texts.data[at : at + piece + s.window - 1]
         if len(data) < s.window:
@@ -323,8 +323,13 @@ def _repeated_windows(kept, raw, ends, size, order, block, doc, place, s: Repeat
     by = np.lexsort((at, rank[who], cls))
     later = np.zeros(len(cls), bool)
     later[1:] = cls[by][1:] == cls[by][:-1]
-    hit = by[later]
-    return block[who[hit]], doc[who[hit]], at[hit], np.ones(len(hit), np.int64)
+    gone = np.zeros(len(cls) + 2, bool)
+    gone[by[later] + 1] = True
+    # Neighbouring windows of one string go as one run.
+    same = np.r_[False, who[1:] == who[:-1], False]
+    begins = np.flatnonzero(gone[1:-1] & ~(gone[:-2] & same[:-1]))
+    lasts = np.flatnonzero(gone[1:-1] & ~(gone[2:] & same[1:]))
+    return block[who[begins]], doc[who[begins]], at[begins], lasts - begins + 1
 
 
 def _spread(room: np.ndarray, used: np.ndarray) -> np.ndarray:
@@ -351,7 +356,7 @@ def _cut(s: RepeatSettings, with_text: bool):
             doc, place, count = blob.reshape(3, -1)
             np.add.at(covered, begins[doc] + place, 1)
             np.add.at(covered, begins[doc] + place + count + s.window - 1, -1)
-        gone = np.cumsum(covered[:-1]) > 0
+        gone = np.cumsum(covered[:-1], dtype=np.int32) > 0
         number = {k: n for n, k in enumerate(zip(texts.keys.tolist(), texts.signs.tolist()))}
         made: dict[int, tuple] = {}
         rows = []
@@ -408,7 +413,8 @@ def without_repeats(docs: DataFrame, s: RepeatSettings = RepeatSettings(), with_
     )
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, size // s.block_bytes)
-    n = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Buckets of strings are about as large as blocks, so that a bucket's transforms fit a task.
+    n = max(int(2 * n_blocks), 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("key", "sign_a"), F.lit(n_blocks)).cast("int"))
     by_block = dealt.groupBy("block")
     anchors = by_block.applyInArrow(_tell_anchors(s, n), _ANCHORS)
