@@ -74,6 +74,20 @@ def coverage(frequencies: DataFrame, share: float = 0.9, mode: str = "reference"
     )
 
 
+def word_and_length_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """Counts of corpus words (word, NULL, n) and of text lengths (NULL, length, n) in one pass."""
+    text = F.col(text_col)
+    length = tx.word_total(text)
+    kind = "struct<word:string,length:bigint>"
+    words = F.transform(
+        tx.corpus_words(F.coalesce(text, F.lit(""))),
+        lambda w: F.struct(w.alias("word"), F.lit(None).cast("bigint").alias("length")).cast(kind),
+    )
+    one = F.array(F.struct(F.lit(None).cast("string").alias("word"), length.cast("bigint").alias("length")).cast(kind))
+    rows = df.select(F.explode(F.concat(words, one)).alias("r")).select("r.*")
+    return rows.groupBy("word", "length").agg(F.count("*").alias("n"))
+
+
 def length_histogram(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Number of texts per word count."""
     return (
@@ -88,7 +102,12 @@ def length_stats(df: DataFrame, text_col: str = "text") -> DataFrame:
 
     Quantiles interpolate and are exact; they run over the histogram of lengths.
     """
-    hist = length_histogram(df, text_col).filter(F.col("length").isNotNull())
+    return histogram_stats(length_histogram(df, text_col))
+
+
+def histogram_stats(histogram: DataFrame) -> DataFrame:
+    """The same from rows (length, n)."""
+    hist = histogram.filter(F.col("length").isNotNull())
     return hist.agg(
         (F.sum(F.col("length") * F.col("n")) / F.sum("n")).alias("mean_length"),
         F.percentile("length", F.lit(0.5), F.col("n")).alias("median_length"),

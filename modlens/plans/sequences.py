@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from modlens.operators import metrics, profile
 from modlens.operators.sequences import SequenceEncoder
 from modlens.operators.splits import stratified_split
+from modlens.session import checkpointed
 
 
 @dataclass(frozen=True)
@@ -25,9 +26,11 @@ class EncodedSplit:
 
 
 def corpus_sizing(df: DataFrame, text_col: str = "text", mode: str = "reference") -> DataFrame:
-    """One row: max_features, maxlen, embed_size."""
-    covered = profile.coverage(profile.word_frequencies(df, text_col), mode=mode)
-    return profile.sizing(covered, profile.length_stats(df, text_col))
+    """One row: max_features, maxlen, embed_size. The texts are read once."""
+    counts = checkpointed(profile.word_and_length_counts(df, text_col))
+    words = counts.filter(F.col("word").isNotNull()).select("word", "n")
+    lengths = counts.filter(F.col("word").isNull()).select("length", "n")
+    return profile.sizing(profile.coverage(words, mode=mode), profile.histogram_stats(lengths))
 
 
 def prepare(
@@ -35,6 +38,7 @@ def prepare(
     test_share: float = 0.2, seed: int = 42,
 ) -> EncodedSplit:
     """Size the vocabulary, split, fit the word ids on the training rows, encode both parts."""
+    comments = checkpointed(comments)  # read for the sizes, the word ids and the sequences
     size = corpus_sizing(comments, text_col).first()
     split = stratified_split(comments, stratum, test_share, key, seed)
     train_rows, test_rows = split.filter(~F.col("is_test")), split.filter("is_test")
