@@ -129,7 +129,8 @@ def stretches(texts: Texts, s: RepeatSettings) -> Stretches:
         count = np.diff(np.r_[first, len(place)])
         ok = inside[first]
         first, count = first[ok], count[ok]
-        parts.append((first + at, count, hashes[place[first]], doc[first]))
+        # Anchors are small hashes; mixed again, they spread over all buckets.
+        parts.append((first + at, count, mix(hashes[place[first]]), doc[first]))
     if not parts:
         none = np.zeros(0, np.int64)
         return Stretches(none, none, np.zeros(0, np.uint64), none)
