@@ -162,7 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, s: ToxicitySettings) -> Model:
     spark = docs.sparkSession
     spot = F.xxhash64("doc_id")
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    known = known.select("doc_id", F.col("toxic").cast("int").alias("toxic"), spot.alias("spot"))
+    known = known.select("doc_id", F.col("toxic").cast("int").alias("toxic"), spot.alias("spot")).distinct()
     sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     chosen = top_k_per(known, ["toxic"], [F.col("spot").asc(), F.col("doc_id").asc()], s.per_class)
     # At most two times per_class rows of 24 bytes.
@@ -196,8 +196,9 @@ def train(docs: DataFrame, labels: DataFrame, s: ToxicitySettings) -> Model:
     if not vocabulary:
         return flat
     idf = frequencies(docs, vocabulary)
-    inside = rows.filter(F.col("term").isin(vocabulary)).groupBy("doc_id", "toxic", "spot")
-    vectors = inside.agg(F.map_from_entries(F.collect_list(F.struct("term", "n"))).alias("counts"))
+    inside = rows.filter(F.col("term").isin(vocabulary)).groupBy("doc_id", "toxic", "spot", "term")
+    pairs = inside.agg(F.max("n").alias("n")).groupBy("doc_id", "toxic", "spot")
+    vectors = pairs.agg(F.map_from_entries(F.collect_list(F.struct("term", "n"))).alias("counts"))
     held = vectors.collect()  # at most two times per_class rows of a few terms
     held.sort(key=lambda r: (r["spot"], r["doc_id"]))
     fits = [r for r in held if r["spot"] % s.fit_share == 0]

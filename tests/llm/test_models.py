@@ -98,8 +98,8 @@ def planted(n=240):
 
 def test_toxicity_of_planted_words(spark):
     rows, labels = planted()
-    docs = frame(spark, rows)
-    known = spark.createDataFrame(labels + [(None, 1, 1), (7777, 0, None)], "doc_id long, quality int, toxic int")
+    docs = frame(spark, rows + rows[:12])
+    known = spark.createDataFrame(labels + labels[:30] + [(None, 1, 1), (7777, 0, None)], "doc_id long, quality int, toxic int")
     model = toxicity.train(docs, known, toxicity.ToxicitySettings(evidence=10.0))
     got = {r["doc_id"]: r for r in toxicity.scored(docs, model).collect()}
     for key, _, toxic in labels:
