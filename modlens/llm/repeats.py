@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from modlens.llm.bwt import merge
 from modlens.llm.common import table
@@ -340,49 +341,45 @@ def _spread(room: np.ndarray, used: np.ndarray) -> np.ndarray:
     return np.arange(int(used.sum())) + np.repeat(begin - first, used)
 
 
-_RESULT = "doc_id long, sign_a long, sign_b long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+_RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
 def _cut(s: RepeatSettings, with_text: bool):
-    """A block's documents without the windows to remove."""
+    """A block's documents without the windows to remove, row by row as they came."""
 
     def run(t: pa.Table, cuts: pa.Table) -> pa.Table:
-        names = ["doc_id", "sign_a", "sign_b", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text
-        if not t.num_rows:
-            return pa.table([pa.array([], f.type) for f in _schema(with_text)], names)
-        texts = Texts.of(t)
+        texts = Texts.of(t) if t.num_rows else Texts(*[np.zeros(0, np.int64)] * 4)
         begins = np.concatenate([[0], texts.ends[:-1]])
         covered = np.zeros(len(texts.data) + 1, np.int32)
-        for blob in _blobs(cuts.column("cut"), "<i8") if cuts.num_rows else []:
-            doc, place, count = blob.reshape(3, -1)
-            np.add.at(covered, begins[doc] + place, 1)
-            np.add.at(covered, begins[doc] + place + count + s.window - 1, -1)
-        gone = np.cumsum(covered[:-1], dtype=np.int32) > 0
-        number = {k: n for n, k in enumerate(zip(texts.keys.tolist(), texts.signs.tolist()))}
-        made: dict[int, tuple] = {}
-        rows = []
-        ids = t.column("doc_id").to_pylist()
-        pairs = zip(ids, t.column("key").to_pylist(), t.column("sign_a").to_pylist(), t.column("sign_b").to_pylist())
-        for key, k, a, b in pairs:
-            n = number[(k, a)]
-            if n not in made:
-                x, y = int(begins[n]), int(texts.ends[n])
-                flags = gone[x:y]
-                kept = texts.data[x:y][~flags].tobytes()
-                spans = int((np.diff(flags.astype(np.int8), prepend=0) == 1).sum())
-                left = kept.decode("utf-8", "ignore") if with_text else None
-                made[n] = (y - x, int(flags.sum()), spans, hashlib.sha256(kept).hexdigest(), left)
-            rows.append((key, a, b, *made[n][: 5 if with_text else 4]))
-        return pa.table([pa.array(list(c), f.type) for c, f in zip(zip(*rows), _schema(with_text))], names)
+        whole = set()
+        for cut, gone in zip(cuts.column("cut").to_pylist(), cuts.column("gone").to_pylist()):
+            whole.update((g["key"], g["sign_a"]) for g in gone or [])
+            if cut and t.num_rows:
+                doc, place, count = np.frombuffer(cut, "<i8").reshape(3, -1)
+                np.add.at(covered, begins[doc] + place, 1)
+                np.add.at(covered, begins[doc] + place + count + s.window - 1, -1)
+        removed = np.cumsum(covered[:-1], dtype=np.int32) > 0
+        made = {}
+        for n, name in enumerate(zip(texts.keys.tolist(), texts.signs.tolist())):
+            x, y = int(begins[n]), int(texts.ends[n])
+            if name in whole:
+                removed[x:y] = True
+            flags = removed[x:y]
+            kept = texts.data[x:y][~flags].tobytes()
+            spans = int((np.diff(flags.astype(np.int8), prepend=0) == 1).sum())
+            left = kept.decode("utf-8", "ignore") if with_text else None
+            made[name] = (y - x, int(flags.sum()), spans, hashlib.sha256(kept).hexdigest(), left)
+        rows = [made[name] for name in zip(t.column("key").to_pylist(), t.column("sign_a").to_pylist())]
+        kinds = [pa.int64()] * 3 + [pa.string()] * (2 if with_text else 1)
+        columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
+        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+        if with_text:
+            return pa.table([t.column("doc_id"), *columns, t.column("rest")], [*names, "kept", "rest"])
+        return pa.table([t.column("doc_id"), *columns], names)
 
     return run
 
 
-def _schema(with_text: bool) -> list[pa.Field]:
-    kinds = [pa.int64()] * 6 + [pa.string()] + [pa.string()] * with_text
-    return [pa.field("x", k) for k in kinds]
-
-
 def signs(text: Column) -> dict[str, Column]:
     """Two hashes of a text; null counts as empty."""
     t = F.coalesce(text, F.lit(""))
@@ -390,28 +387,28 @@ def signs(text: Column) -> dict[str, Column]:
 
 
 def cut_documents(docs: DataFrame, s: RepeatSettings = RepeatSettings()) -> DataFrame:
-    """The documents with repeated passages cut out of ``text``; ``n_chars`` follows; other columns stay."""
+    """The documents with repeated passages cut out of ``text``; ``n_chars`` follows; other columns stay.
+
+    Characters of which a byte is gone go as a whole. The other columns travel with the text.
+    """
     out = without_repeats(docs, s, with_text=True)
-    out = out.select(F.col("doc_id").alias("_id"), F.col("sign_a").alias("_a"), F.col("sign_b").alias("_b"), F.col("kept").alias("_kept"))
-    own = signs(docs["text"])
-    on = docs["doc_id"].eqNullSafe(out["_id"]) & (own["sign_a"] == out["_a"]) & (own["sign_b"] == out["_b"])
-    joined = docs.join(out.dropDuplicates(["_id", "_a", "_b"]), on)
-    cut = joined.withColumn("text", F.when(F.col("text").isNotNull(), F.col("_kept")))
+    text = F.when(F.col("rest._has_text"), F.col("kept"))
+    columns = {c: F.col("rest").getField(c) for c in docs.columns} | {"doc_id": F.col("doc_id"), "text": text}
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast(docs.schema["n_chars"].dataType))
-    return cut.select(docs.columns)
+        columns["n_chars"] = F.length(F.coalesce(text, F.lit(""))).cast(docs.schema["n_chars"].dataType)
+    return out.select([columns[c].alias(c) for c in docs.columns])
 
 
 def without_repeats(docs: DataFrame, s: RepeatSettings = RepeatSettings(), with_text: bool = False) -> DataFrame:
-    """Per row: doc_id, the signs of its text, n_bytes, n_removed, n_spans, kept_sha256 (and ``kept``).
+    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
-    ``kept`` is the text that is left, without characters of which a byte is gone.
+    With ``with_text`` also ``kept``, the text that is left, and ``rest``, the other columns of the row.
     """
     spark = docs.sparkSession
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", text.alias("text")).withColumns(
-        {"key": F.coalesce("doc_id", F.lit(LEAST)), **signs(F.col("text"))}
-    )
+    others = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")] if with_text else []
+    rest = F.struct(F.col("text").isNotNull().alias("_has_text"), *others).alias("rest")
+    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *[rest] * with_text)
+    rows = base.withColumns({"key": F.coalesce("doc_id", F.lit(LEAST)), **signs(F.col("text"))})
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, size // s.block_bytes)
     # Buckets of strings are about as large as blocks, so that a bucket's transforms fit a task.
@@ -422,26 +419,23 @@ def without_repeats(docs: DataFrame, s: RepeatSettings = RepeatSettings(), with_
     shared = anchors.groupBy("bucket").applyInArrow(_answer_anchors, "block int, a binary")
     strings = by_block.cogroup(shared.groupBy("block")).applyInArrow(_tell_strings(s, n), _STRINGS_DDL)
     cuts = strings.groupBy("bucket").applyInArrow(_compare_strings(s), "block int, cut binary")
-    out = by_block.cogroup(cuts.groupBy("block")).applyInArrow(
-        _cut(s, with_text), _RESULT + ", kept string" * with_text
-    )
     # Of equal texts, all windows of the later ones start earlier in the first.
     sign = ["sign_a", "sign_b"]
     firsts = rows.groupBy(*sign).agg(F.min("key").alias("first"), F.count("*").alias("copies")).filter("copies > 1")
-    joined = out.join(firsts.drop("copies"), sign, "left")
-    whole = (F.coalesce("doc_id", F.lit(LEAST)) > F.col("first")) & (F.col("n_bytes") >= s.window)
-    whole = F.coalesce(whole, F.lit(False))
-    columns = {
-        "n_removed": F.when(whole, F.col("n_bytes")).otherwise(F.col("n_removed")),
-        "n_spans": F.when(whole, 1).otherwise(F.col("n_spans")).cast("long"),
-        "kept_sha256": F.when(whole, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.col("kept_sha256")),
-    }
+    long = dealt.filter(F.octet_length("text") >= s.window).select("key", *sign, "block")
+    later = long.join(firsts, sign).filter("key > first").groupBy("block").agg(
+        F.collect_list(F.struct("key", "sign_a")).alias("gone")
+    )
+    kind = later.schema["gone"].dataType
+    told = cuts.withColumn("gone", F.lit(None).cast(kind)).unionByName(
+        later.select("block", F.lit(None).cast("binary").alias("cut"), "gone")
+    )
+    schema = T.StructType.fromDDL(_RESULT)
     if with_text:
-        columns["kept"] = F.when(whole, F.lit("")).otherwise(F.col("kept"))
-    return joined.withColumns(columns).drop("first")
+        schema = schema.add("kept", "string").add("rest", base.schema["rest"].dataType)
+    return by_block.cogroup(told.groupBy("block")).applyInArrow(_cut(s, with_text), schema)
 
 
 def op6(spark, folder):
     """All documents without their repeated passages."""
-    out = without_repeats(table(spark, folder, "documents"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return without_repeats(table(spark, folder, "documents"))
