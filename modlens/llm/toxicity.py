@@ -33,6 +33,7 @@ from modlens.session import checkpointed
 
 TERM = re.compile(r"[^\W\d_]+")
 BLOCK = 64
+LOOKS = 12  # blocks, and terms, that are looked at one by one
 
 
 @dataclass(frozen=True)
@@ -68,6 +69,7 @@ class Index:
     vectors: list[dict[str, float]]
     postings: dict[str, dict[int, tuple[np.ndarray, np.ndarray]]] = field(default_factory=dict)
     peaks: dict[str, np.ndarray] = field(default_factory=dict)
+    flat: dict[str, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         blocks = -(-len(self.vectors) // BLOCK)
@@ -82,19 +84,31 @@ class Index:
                 at, w = zip(*rows)
                 self.postings[t][b] = np.array(at), np.array(w)
                 self.peaks[t][b] = max(w)
+            parts = sorted(self.postings[t].items())
+            self.flat[t] = (
+                np.concatenate([b * BLOCK + at for b, (at, _) in parts]),
+                np.concatenate([w for _, (_, w) in parts]),
+            )
         self.vectors = []
 
     def nearest(self, vector: dict[str, float], near: int) -> list[tuple[float, int]]:
-        """The ``near`` examples of highest positive cosine, as (cosine, number)."""
+        """The ``near`` examples of highest positive cosine, as (cosine, number).
+
+        A few blocks are scored one by one, from the highest bound down; if others may still hold
+        nearer examples, or the text has many terms, the rest is scored in one sweep per term.
+        """
         known = [(t, w) for t, w in sorted(vector.items()) if t in self.peaks]
         if not known:
             return []
         bound = sum(w * self.peaks[t] for t, w in known)
         best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
+        looks = LOOKS if len(known) <= LOOKS else 0
+        for n, b in enumerate(np.argsort(-bound, kind="stable").tolist()):
             # A little slack, as sums in another order may differ in the last digit.
             if bound[b] <= 0 or (len(best) == near and bound[b] < -best[-1][0] - 1e-9):
                 break
+            if n >= looks:
+                return self._sweep(known, near)
             score = np.zeros(BLOCK)
             for t, w in known:
                 if b in self.postings[t]:
@@ -106,6 +120,19 @@ class Index:
             best = sorted(best)[:near]
         return [(-s, n) for s, n in best]
 
+    def _sweep(self, known: list[tuple[str, float]], near: int) -> list[tuple[float, int]]:
+        score = np.zeros(len(next(iter(self.peaks.values()))) * BLOCK)
+        for t, w in known:
+            at, weights = self.flat[t]
+            score[at] += w * weights
+        score = np.round(score, 9)
+        found = np.flatnonzero(score > 0)
+        if len(found) > near:
+            floor = np.partition(score[found], len(found) - near)[len(found) - near]
+            found = found[score[found] >= floor]
+        found = found[np.lexsort((found, -score[found]))[:near]]
+        return [(float(score[i]), int(i)) for i in found]
+
 
 def unit_vector(counts: dict[str, int], idf: dict[str, float]) -> dict[str, float]:
     """TF-IDF of length one: (1 + ln tf) x idf."""

@@ -69,8 +69,8 @@ def test_nearest_is_exact():
         toxicity.unit_vector(Counter(rng.choice(terms, rng.integers(1, 6)).tolist()), idf) for _ in range(700)
     ]
     index = toxicity.Index(idf, np.arange(700), np.zeros(700), list(vectors))
-    for _ in range(60):
-        q = toxicity.unit_vector(Counter(rng.choice(terms, 4).tolist()), idf)
+    for n in range(60):
+        q = toxicity.unit_vector(Counter(rng.choice(terms, 30 if n % 3 == 0 else 4).tolist()), idf)
         plain = [(-round(sum(w * v.get(t, 0.0) for t, w in q.items()), 9), n) for n, v in enumerate(vectors)]
         plain = [(-s, n) for s, n in sorted(p for p in plain if p[0] < 0)[:15]]
         got = index.nearest(q, 15)
