@@ -108,6 +108,45 @@ def test_packing_of_nothing(empty):
     assert packing.pack(packing.pieces(empty, WORD, 1, 4096)).count() == 0
 
 
+def pieces_frame(spark, lengths):
+    rows = [(i, 0, 0, n, 0) for i, n in enumerate(lengths)]
+    return spark.createDataFrame(rows, packing.PIECE)
+
+
+@pytest.mark.parametrize("lengths", [[1300] * 1300 + [2500] * 650, [40] * 3000, [1] * 2000])
+def test_packing_keeps_shards_bounded_where_sequences_stay_open(spark, monkeypatch, lengths):
+    s, sizes, plain = packing.PackSettings(shard=100), [], packing.pack_shards
+    if lengths[0] == 1:
+        s = packing.PackSettings(size=100, shard=100)
+
+    def watched(items, settings):
+        sizes.append(max(r["count"] for r in items.groupBy("shard").count().collect()))
+        return plain(items, settings)
+
+    monkeypatch.setattr(packing, "pack_shards", watched)
+    fill = {}
+    rows = packing.pack(pieces_frame(spark, lengths), s).collect()
+    for r in rows:
+        fill[r["sequence_id"]] = fill.get(r["sequence_id"], 0) + r["length"]
+    assert sorted(r["doc_id"] for r in rows) == list(range(len(lengths))) and max(fill.values()) <= s.size
+    assert max(sizes) < 1.7 * s.shard
+    whole = packing.Packing(np.array(lengths), s.size)
+    whole.best_fit(packing.falling(whole.lengths, 0.0, np.random.default_rng(1)))
+    assert len(fill) <= 1.05 * len(whole.bins) + 1
+
+
+def test_sequences_of_two_shards_never_share_a_number(spark, monkeypatch):
+    def two_shards(items, s):
+        return spark.createDataFrame(
+            [(r["item"], n, r["length"], (1 - n) << 20) for n, r in enumerate(items.collect())],
+            "item long, shard long, length long, bin long",
+        )
+
+    monkeypatch.setattr(packing, "pack_shards", two_shards)
+    rows = packing.pack(pieces_frame(spark, [4096, 4096]), packing.PackSettings(shard=1)).collect()
+    assert len({r["sequence_id"] for r in rows}) == 2 and {r["offset"] for r in rows} == {0}
+
+
 def test_children_are_packings():
     rng = np.random.default_rng(0)
     s = packing.PackSettings(size=100, children=6)
