@@ -9,7 +9,8 @@ Host rules fit a host and its subdomains when the path starts with the rule's pa
 rule wins. Pattern rules are the method's own verdict on urls that no host rule fits.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path and is allowed.
-Repeated rows are judged alike and all returned. A rule without a whole literal token is an error.
+Repeated rows are judged alike and all returned. A rule without a whole literal token, or with
+one that its expression does not require, is an error.
 Two fitting rules of one length: the first in text order wins. An empty table gives an empty result.
 """
 
@@ -31,10 +32,10 @@ HOST_RULES = [
     ("example.com/de/", "block"),
     ("org/fr/", "allow"),
 ]
-# (literal words that stand as whole tokens in the host, regular expression of the host): blocked.
+# (literal words that stand as whole tokens in each host that fits, regular expression of the host): blocked.
 PATTERN_RULES = [
     (("casino", "win"), r"(^|[.-])casino-win([.-]|$)"),
-    (("free", "bets"), r"(^|[.-])free-bets?([.-]|$)"),
+    (("free",), r"(^|[.-])free-bets?([.-]|$)"),
     (("cheap", "pills"), r"(^|[.-])cheap-pills([.-]|$)"),
     (("spam", "farm"), r"(^|[.-])spam-farm([.-]|$)"),
     (("ads", "track"), r"(^|[.-])ads-track([.-]|$)"),
@@ -57,6 +58,19 @@ def tokens_of(address: Column) -> Column:
     return F.array_distinct(F.filter(F.split(address, "[^A-Za-z0-9]+"), lambda t: t != ""))
 
 
+def required_tokens(pattern: str) -> set[str]:
+    """Literals that each text the expression fits holds as whole tokens; none where that is not plain to see."""
+    if re.search(r"\(\?[a-zA-Z]*[ix]", pattern):
+        return set()
+    rest = pattern.replace("(^|[.-])", "-").replace("([.-]|$)", "-")
+    rest = re.sub(r"\\[.-]", "-", rest)
+    # Other escapes, classes and groups stand for something unknown.
+    rest = re.sub(r"\\.|\[[^\]]*\]", "\0", rest)
+    while rest != (rest := re.sub(r"\([^()]*\)", "\0", rest)):
+        pass
+    return set() if "|" in rest else set(re.findall(r"(?<=-)[A-Za-z0-9]+(?=-(?![?*{]))", rest))
+
+
 def rule_rows(
     host_rules: Sequence[tuple[str, str]], patterns: Sequence[tuple[Sequence[str], str]]
 ) -> list[tuple[str, str, str, bool, list[str]]]:
@@ -68,6 +82,8 @@ def rule_rows(
         whole = re.findall(r"[A-Za-z0-9]+(?=[^A-Za-z0-9])", f"{host}/{path}")
         rows.append((rule, verdict, rf"(?s)^([^/]*\.)?{re.escape(host)}/{re.escape(path)}", True, whole))
     for words, pattern in patterns:
+        if loose := set(words) - required_tokens(pattern):
+            raise ValueError(f"rule {pattern} also fits without the tokens {sorted(loose)}")
         inside = pattern.replace("|$)", "|/|$)").replace("(^|[.-])", r"^([^/]*[.-])?")
         rows.append((pattern, "block", f"(?s){inside}", False, list(words)))
     for row in rows:

@@ -88,6 +88,26 @@ def test_url_rules_edge_cases(spark):
     assert ordered(got.columns, [tuple(r) for r in got.collect()]) == from_duck(con, url_rules.SQL)
 
 
+def test_url_rules_find_hosts_without_the_optional_letter(spark):
+    hosts = ["free-bet.example.com", "a.free-bet", "x-free-bet.org", "free-bets.com", "free-betsy.com", "free.bet.com"]
+    for chosen in (hosts, [h for h in hosts if "bets" not in h]):
+        pages = spark.createDataFrame([(i, f"http://{h}/a") for i, h in enumerate(chosen)], "page_id long, url string")
+        got = url_rules.judge(pages).select("page_id", "host", "path", "rule", "verdict")
+        con = duckdb.connect()
+        con.register("pages", pages.toArrow())
+        rows = [tuple(r) for r in got.collect()]
+        assert ordered(got.columns, rows) == from_duck(con, url_rules.SQL)
+        assert [r[4] for r in sorted(rows)][:3] == ["block"] * 3
+
+
+@pytest.mark.parametrize(
+    "pattern", [r"(^|[.-])free-bets?([.-]|$)", r"(^|[.-])(free-)?bets*([.-]|$)", r"x-bets-|y", r"(^|[.-])a[-bets-]", r"-bets-?x"]
+)
+def test_url_rules_need_tokens_that_must_stand(pattern):
+    with pytest.raises(ValueError):
+        url_rules.rule_rows([], [(("bets",), pattern)])
+
+
 def test_url_rules_need_a_token():
     with pytest.raises(ValueError):
         url_rules.rule_rows([], [((), "x+")])
