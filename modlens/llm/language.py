@@ -6,8 +6,9 @@ no match can go on, a phrase ends and the next begins. The language whose sample
 phrases, each counted with the bits that point into the sample, wins.
 
 Every text is parsed whole, in stretches of ``STRETCH`` characters that all languages see alike. A
-task parses all stretches of a batch at once, one character a step, with the automata laid out as
-one transition table; the table's size is bounded by the sample and the number of languages.
+task parses all stretches of a batch at once, one character a step. Every letter of the samples has
+a symbol. The transitions by the most frequent letters are laid out as one table, those by the others
+as sorted keys; the size of both is bounded by the sample and the number of languages.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; so is every text when
 no language can be learned. Of equally good languages the first by name wins. Repeated rows are
@@ -31,7 +32,7 @@ from modlens.llm.common import held_out, table
 from modlens.operators.ranking import top_k_per
 
 STRETCH = 512
-LETTERS = 60  # letters with a symbol of their own; the others share one
+LETTERS = 60  # letters with a column in the transition table; those of the others are searched
 GAP, OTHER, PAD = 0, 1, 2
 BATCH = 1000
 
@@ -105,13 +106,36 @@ class SuffixAutomaton:
 
 @dataclass
 class Parser:
-    """The automata as one table; ``table[state + symbol]`` is 2 x next state, +1 where a phrase began."""
+    """The automata as one table; ``table[state + symbol]`` is 2 x next state, +1 where a phrase began.
+
+    Symbols from ``width`` on are not in the table: of ``rare_keys`` (state x number of symbols + symbol, in
+    order) ``rare_moves`` has 2 x next state. OTHER stands for letters that no sample holds.
+    """
 
     names: list[str]
     symbol_of: np.ndarray
     table: np.ndarray
     start: np.ndarray
     bits: np.ndarray
+    width: int
+    n_symbols: int
+    roots: np.ndarray
+    rare_keys: np.ndarray
+    rare_moves: np.ndarray
+
+    def _known(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        # Moves by symbols that are not in the table; -1 where there is none.
+        key = state.astype(np.int64) * self.n_symbols + symbol
+        spot = np.minimum(np.searchsorted(self.rare_keys, key), len(self.rare_keys) - 1)
+        return np.where(self.rare_keys[spot] == key, self.rare_moves[spot], -1)
+
+    def _rare(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        # The moves of all languages (rows) by symbols that are not in the table.
+        move = self._known(state, symbol)
+        ends = move < 0
+        begin = self._known(np.broadcast_to(self.roots[:, None], state.shape)[ends], np.broadcast_to(symbol, state.shape)[ends])
+        move[ends] = np.where(begin >= 0, begin, np.broadcast_to(self.start[:, None] * 2, state.shape)[ends]) + 1
+        return move
 
     def phrases(self, row: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
         """Phrases per text (n) and language of a row of symbols."""
@@ -129,9 +153,16 @@ class Parser:
         live = np.searchsorted(-sizes, -np.arange(1, sizes[0] + 1), side="right")
         state = np.repeat(self.start[:, None], len(starts), 1)
         count = np.zeros(state.shape, np.int32)
+        has_rare = int(row.max()) >= self.width
         for step in range(int(sizes[0])):
             k = live[step]
-            move = self.table[state[:, :k] + row[starts[:k] + step]]
+            symbol = row[starts[:k] + step]
+            rare = np.flatnonzero(symbol >= self.width) if has_rare else ()
+            if len(rare):
+                move = self.table[state[:, :k] + np.where(symbol < self.width, symbol, GAP)]
+                move[:, rare] = self._rare(state[:, rare], symbol[rare].astype(np.int64))
+            else:
+                move = self.table[state[:, :k] + symbol]
             count[:, :k] += move & 1
             state[:, :k] = move >> 1
         np.add.at(out, owner[starts], count.T)
@@ -144,11 +175,13 @@ def learn(samples: dict[str, list[str]], s: LanguageSettings) -> Parser:
     points, _ = code_points([" ".join(samples[n]) for n in names])
     is_letter = letter_table()
     found, counts = np.unique(points[is_letter[points]], return_counts=True)
-    own = found[np.lexsort((found, -counts))][:LETTERS]
+    own = found[np.lexsort((found, -counts))]
     symbol_of = np.where(is_letter, OTHER, GAP).astype(np.int64)
     symbol_of[own] = np.arange(len(own)) + PAD + 1
-    width = len(own) + PAD + 1
-    rows, roots, bits, at = [], [], [], 0
+    n_symbols = len(own) + PAD + 1
+    width = min(n_symbols, LETTERS + PAD + 1)
+    rows, begins, roots, bits, at = [], [], [], [], 0
+    rare: list[tuple[int, int]] = []
     for name in names:
         points, owner = code_points([" ".join(samples[name])])
         row = symbols(points, owner, symbol_of)[0][: s.sample_chars]
@@ -156,18 +189,27 @@ def learn(samples: dict[str, list[str]], s: LanguageSettings) -> Parser:
         moves = np.full((len(auto.next) + 1, width), -1, np.int64)
         for state, out in enumerate(auto.next):
             for c, to in out.items():
-                moves[state, c] = (at + to * width) * 2
+                if c < width:
+                    moves[state, c] = (at + to * width) * 2
+                else:
+                    rare.append(((at + state * width) * n_symbols + c, (at + to * width) * 2))
         # Where no match goes on, a phrase ends and the symbol begins the next one; a symbol that
         # the sample lacks is a phrase alone, after which nothing goes on.
         alone = at + (len(moves) - 1) * width
         begin = np.where(moves[0] >= 0, moves[0], alone * 2) + 1
         rows.append(np.where(moves >= 0, moves, begin[None, :]).ravel())
-        roots.append(alone)
+        begins.append(alone)
+        roots.append(at)
         bits.append(np.log2(max(2, len(row))))
         at += moves.size
     flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
     small = np.int32 if 2 * at < 2**31 else np.int64
-    return Parser(names, symbol_of.astype(np.uint8), flat.astype(small), np.array(roots, small), np.array(bits))
+    keys, to = np.array(sorted(rare), np.int64).reshape(-1, 2).T
+    kind = np.uint8 if n_symbols <= 256 else np.uint16 if n_symbols <= 65536 else np.int32
+    return Parser(
+        names, symbol_of.astype(kind), flat.astype(small), np.array(begins, small), np.array(bits),
+        width, n_symbols, np.array(roots, np.int64), keys.copy(), to.astype(small),
+    )
 
 
 def sample(docs: DataFrame, s: LanguageSettings) -> dict[str, list[str]]:

@@ -41,6 +41,38 @@ def test_phrases_are_longest_matches():
             assert got[n, s] == sum(plain_phrases(t, sample) for t in parts)
 
 
+def in_script(first, letters, seed, words):
+    """Words of two or three letters of a script, from a vocabulary of 600."""
+    rng, known = np.random.default_rng(first), np.random.default_rng(seed)
+    vocabulary = ["".join(chr(first + c) for c in rng.integers(0, letters, rng.integers(2, 4))) for _ in range(600)]
+    return " ".join(vocabulary[w] for w in known.integers(0, 600, words))
+
+
+SCRIPTS = {"am": (0x1200, 70), "ar": (0x628, 18), "el": (0x3B1, 17), "ka": (0x10D0, 33), "ko": (0xAC00, 900), "zh": (0x4E00, 900)}
+
+
+def test_languages_of_other_scripts_beside_latin():
+    samples = {n: [in_script(*of, k, 60) for k in range(75)] for n, of in SCRIPTS.items()}
+    samples |= {"en": [prose(k, 60) for k in range(75)] * 3}
+    p = language.learn(samples, language.LanguageSettings())
+    texts = [(n, in_script(*of, 1000 + k, 20)) for n, of in SCRIPTS.items() for k in range(20)]
+    texts += [("en", prose(1000 + k, 20)) for k in range(20)]
+    got, score = language.judge(p, [t for _, t in texts])
+    assert got == [n for n, _ in texts] and score.min() > 0.9
+    # Phrases against a plain search, also with letters that no sample holds.
+    mixed = [" ".join([texts[5][1], texts[105][1], "Ж" * 3, texts[-1][1]]), in_script(0x4E00, 1800, 3, 200)]
+    points, owner = language.code_points(mixed)
+    row, owner = language.symbols(points, owner, p.symbol_of)
+    found = p.phrases(row, owner, len(mixed))
+    for s, name in enumerate(p.names):
+        symbols = language.symbols(*language.code_points([" ".join(samples[name])]), p.symbol_of)[0][:30_000]
+        sample = "".join(map(chr, symbols.tolist()))
+        for n in range(len(mixed)):
+            own = "".join(map(chr, row[owner == n].tolist()))
+            parts = [own[i : i + language.STRETCH] for i in range(0, len(own), language.STRETCH)]
+            assert found[n, s] == sum(plain_phrases(t, sample) for t in parts)
+
+
 def test_language_on_the_table(spark, folder):
     lang = dict(duckdb.sql(f"select doc_id, lang from '{folder}/documents.parquet'").fetchall())
     rows = QUERIES["op8_language"].run(spark, folder).collect()
