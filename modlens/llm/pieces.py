@@ -3,15 +3,15 @@
 A text is cut into units (blanks and the characters behind them); no piece of the vocabulary reaches
 across the start of a unit. In a unit, the agenda holds every pair of neighbours whose
 concatenation is a piece; the pair of best score, leftmost among equals, is merged first. With
-dropout, a pair is passed over when a hash keyed by the seed, the document's variant, the unit, the place and
-the two pieces falls below the rate, so a run repeats itself exactly wherever its tasks run. Each
-document draws one of ``variants`` segmentations per unit from its key; a worker keeps those it
-has made, up to a bound. Many units are worked off together as arrays, one merge of each per step;
-units with very many symbols have an agenda of their own.
+dropout, a pair is passed over when a hash keyed by the seed, the document's key, the unit, the place in
+the unit and the two pieces falls below the rate, so a run repeats itself exactly wherever its tasks run.
+Every document draws its own segmentation of each of its units; a unit that stands several times in
+one document has the same pieces there. Many units are worked off together as arrays, one merge of
+each per step; units with very many symbols have an agenda of their own.
 
 Defined cases: a null or empty text has no pieces. A character outside the vocabulary, and the
 character that stands for a blank inside pieces, become byte pieces, so every text decodes to
-itself. Documents that share a key share a variant. A null key is a key. An empty table gives an
+itself. Documents that share a key draw alike. A null key is a key. An empty table gives an
 empty result. With rate 0 the pieces are those of the plain model.
 """
 
@@ -22,7 +22,6 @@ import heapq
 import re
 import sys
 import zlib
-from array import array
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from itertools import chain
@@ -39,7 +38,7 @@ BLANK = "▁"
 WIDTHS = (8, 16, 32, 64)  # units of up to so many symbols are worked off together
 NEVER = np.iinfo(np.int32).max
 BATCH = 400
-MOST_UNITS = 900_000
+UNITS = 30_000  # units worked off together; bounds the memory
 _UNIT = re.compile(" *[^ ]+| +$")
 _M1, _M2, _STEP = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15
 _ALL = 2**64 - 1
@@ -47,11 +46,10 @@ _ALL = 2**64 - 1
 
 @dataclass(frozen=True)
 class DropoutSettings:
-    """Share of merges passed over, seed, and segmentations per unit that documents draw from."""
+    """Share of merges passed over, and seed."""
 
     rate: float = 0.1
     seed: int = 1
-    variants: int = 4
 
 
 def mixed(x):
@@ -145,7 +143,7 @@ class Segmenter:
         self.floor = int(s.rate * 2**64)
 
     def keys(self, flat: np.ndarray, sizes: np.ndarray, variants: np.ndarray) -> np.ndarray:
-        """The hash that all merges of a unit start from: its symbols, the variant and the seed."""
+        """The hash that all merges of a unit start from: its symbols, the document's hash and the seed."""
         ends = np.cumsum(sizes)
         place = np.arange(len(flat)) - np.repeat(ends - sizes, sizes)
         with np.errstate(over="ignore"):
@@ -276,16 +274,11 @@ class Segmenter:
 
 
 class Encoder:
-    """Texts to pieces, with the units already segmented kept per variant."""
+    """Texts to pieces, each distinct unit of a document once."""
 
     def __init__(self, path: str, s: DropoutSettings):
         self.p, self.s = Pieces(path), s
         self.segmenter = Segmenter(self.p, s)
-        self._empty()
-
-    def _empty(self) -> None:
-        self.index: list[dict[str, int]] = [{} for _ in range(self.s.variants)]
-        self.start, self.ids = array("q", [0]), array("i")
 
     def units(self, text: str) -> list[str]:
         """Units of a text: a blank is put in front of it, line ends begin units too."""
@@ -297,33 +290,26 @@ class Encoder:
         return [p if p[0] == "\n" and n else " " + p for n, p in enumerate(parts)]
 
     def variant(self, key) -> int:
-        """The variant a document draws."""
-        return xxhash.xxh3_64_intdigest(f"{self.s.seed}:{key}".encode()) % self.s.variants
+        """The document's hash."""
+        return xxhash.xxh3_64_intdigest(f"{self.s.seed}:{key}".encode())
 
     def encode(self, keys: Sequence, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """Pieces of all texts in a row, and the end of each text's pieces."""
-        if sum(map(len, self.index)) > MOST_UNITS:
-            self._empty()
-        variants = [self.variant(k) for k in keys]
+        hashes = np.array([self.variant(k) for k in keys], np.uint64)
         split = [self.units(t) for t in texts]
-        fresh: list[set] = [set() for _ in self.index]
-        for v, units in zip(variants, split):
-            fresh[v].update(units)
-        new = [own - known.keys() for own, known in zip(fresh, self.index)]
-        units = [u for own in new for u in own]
-        if units:
-            of = np.repeat(np.arange(len(new)), [len(own) for own in new])
-            ids, sizes = self.segmenter.segment(units, of)
-            at = len(self.start) - 1
-            self.start.frombytes((len(self.ids) + np.cumsum(sizes)).astype(np.int64).tobytes())
-            self.ids.frombytes(ids.astype(np.int32).tobytes())
-            for known, own in zip(self.index, new):
-                known.update(zip(own, range(at, at + len(own))))
-                at += len(own)
+        own = [list(dict.fromkeys(units)) for units in split]
+        many = np.fromiter(map(len, own), np.int64, len(own))
+        units = list(chain.from_iterable(own))
+        of = np.repeat(hashes, many)
+        made = [self.segmenter.segment(units[x : x + UNITS], of[x : x + UNITS]) for x in range(0, len(units), UNITS)]
+        flat = np.concatenate([np.zeros(0, np.int32), *[ids for ids, _ in made]])
+        start = np.concatenate([[0], *[sizes for _, sizes in made]]).astype(np.int64).cumsum()
         counts = np.fromiter(map(len, split), np.int64, len(split))
-        places = chain.from_iterable(map(self.index[v].__getitem__, units) for v, units in zip(variants, split))
+        places = chain.from_iterable(
+            map(dict(zip(known, range(x, x + len(known)))).__getitem__, units)
+            for x, known, units in zip((many.cumsum() - many).tolist(), own, split)
+        )
         at = np.fromiter(places, np.int64, int(counts.sum()))
-        start, flat = np.frombuffer(self.start, np.int64), np.frombuffer(self.ids, np.int32)
         first, size = start[at], start[at + 1] - start[at]
         ends = np.cumsum(size)
         total = int(ends[-1]) if len(ends) else 0

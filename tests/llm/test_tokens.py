@@ -200,6 +200,15 @@ def test_merge_dropout_on_the_table(spark, folder, texts):
         assert (rows[key]["n_tokens"], rows[key]["ids_crc32"]) == (len(ids), crc(ids))
 
 
+def test_merge_dropout_draws_for_every_document():
+    enc = pieces.Encoder(token_files.vocabulary("piece_bpe_32k.model"), pieces.DropoutSettings())
+    ids, ends = enc.encode(range(300), [prose(5, 60)] * 300)
+    drawn = {tuple(own.tolist()) for own in np.split(ids, ends[:-1])}
+    assert len(drawn) > 290 and {enc.p.decode(own) for own in drawn} == {prose(5, 60)}
+    words, ends = enc.encode(range(2000), ["moderation"] * 2000)
+    assert len({tuple(own.tolist()) for own in np.split(words, ends[:-1])}) > 4
+
+
 def test_merge_dropout_on_odd_rows(odd, empty):
     path = token_files.vocabulary("piece_bpe_32k.model")
     rows = pieces.encode(odd, path, pieces.DropoutSettings(rate=0.5)).collect()
