@@ -4,8 +4,10 @@ Terms are runs of letters, lower-cased. The vector space holds the terms whose p
 the label in a bounded sample of labelled documents; their document frequencies are counted over
 all documents. Labelled examples of the sample form an inverted index in blocks: per term and
 block, the postings and their greatest weight. A text's terms give every block an upper bound of
-its cosine; blocks are scored from the highest bound down until no block can hold a nearer example
-than the ``near`` already found, so the nearest examples are exact. Their votes, weighted by cosine, are
+its cosine; up to ``LOOKS`` blocks are scored from the highest bound down, and it ends there if no other
+block can hold a nearer example than the ``near`` already found. Otherwise, and at once for a text of
+more than ``LOOKS`` terms, all postings of the text's terms are scored in one sweep. The nearest
+examples are exact either way. Their votes, weighted by cosine, are
 mapped to a share of toxic documents by a monotone fit on sampled documents outside the index,
 each counted as many times as it stands for. The nearest examples are the evidence.
 
