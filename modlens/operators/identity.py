@@ -113,10 +113,11 @@ def term_statistics(
     texts stay where they are; texts without a label are left out.
 
     Counts are case-sensitive substrings, so "man" counts in "woman"; ``word_boundary`` counts
-    whole words of any case instead. One pass: only the terms a text holds are exploded, and counts are
-    summed per partition before the shuffle of at most one row per term.
+    whole words of any case instead. One pass: the text, which may come out of a costly chain, and
+    its counts are each made once per row, only the terms a text holds are exploded, and counts
+    are summed per partition before the shuffle of at most one row per term.
     """
-    text = F.col(text_col)
+    text = F.col("_text")
     if word_boundary:
         one = F.lit(1).cast("bigint").alias("n")
         every = idf.mentions(text, lexicon)
@@ -125,11 +126,13 @@ def term_statistics(
         )
     else:
         found = idf.term_counts(text, lexicon)
+    own = key if labels is not None else label
+    df = with_fields(df.select(own, F.col(text_col).alias("_text")), {"_text": text})
+    df = with_fields(df.select(own, "_text"), {"_found": found}).select(own, "_found")
     if labels is not None:
-        df = df.select(key, found.alias("_found")).join(labels.select(key, label), key)
-        found = F.col("_found")
+        df = df.join(labels.select(key, label), key)
     counted = (
-        df.select((F.col(label) == 1).alias("_pos"), F.explode(found).alias("m"))
+        df.select((F.col(label) == 1).alias("_pos"), F.explode("_found").alias("m"))
         .groupBy("m.category", "m.term")
         .agg(
             F.sum("m.n").alias("total_mentions"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -101,20 +102,55 @@ def correlation_histogram(correlations: DataFrame, bins: int = 50) -> DataFrame:
     return edges.join(counts, "bin", "left").fillna({"n": 0})
 
 
+def gram(df: DataFrame, vector_col: str = "embedding") -> DataFrame:
+    """Per dimension ``i``: n, the sum of the dimension, and its products with all dimensions.
+
+    Each partition multiplies its vectors batch by batch into one matrix and gives a row per
+    dimension; the rows are summed in a shuffle of partitions x dimensions rows. Null vectors are
+    left out; vectors of different lengths stop the job.
+    """
+
+    def multiply(batches):
+        n, sums, products = 0, None, None
+        for batch in batches:
+            rows = batch.column(0).drop_null()
+            if not len(rows):
+                continue
+            x = np.asarray(rows.flatten().to_numpy(zero_copy_only=False), np.float64)
+            size = len(rows[0]) if sums is None else len(sums)
+            if (np.asarray(rows.value_lengths()) != size).any():
+                raise ValueError("vectors of different lengths")
+            x = x.reshape(len(rows), size)
+            if sums is None:
+                sums, products = np.zeros(size), np.zeros((size, size))
+            n += len(x)
+            sums += x.sum(axis=0)
+            products += x.T @ x
+        if n:
+            arrays = [
+                pa.array(range(len(sums)), pa.int32()), pa.array([n] * len(sums), pa.int64()),
+                pa.array(sums), pa.array(list(products), pa.list_(pa.float64())),
+            ]
+            yield pa.RecordBatch.from_arrays(arrays, ["i", "n", "s", "products"])
+
+    schema = "i int, n long, s double, products array<double>"
+    parts = df.select(F.col(vector_col).cast("array<double>").alias("x")).mapInArrow(multiply, schema)
+    rows = parts.select("i", "n", "s", array_to_vector("products").alias("v"))
+    return rows.groupBy("i").agg(
+        F.sum("n").alias("n"), F.sum("s").alias("s"), vector_to_array(Summarizer.sum(F.col("v"))).alias("products")
+    )
+
+
 def covariance(df: DataFrame, vector_col: str = "embedding") -> np.ndarray:
-    """Sample covariance of the dimensions; their pairs are summed on the executors.
+    """Sample covariance of the dimensions, from the Gram matrices of the partitions.
 
-    A row gives the products of its dimensions, which are summed per partition; the driver gets
-    dimensions x dimensions numbers.
+    The driver gets dimensions x dimensions numbers.
     """
-    x = F.col(vector_col).cast("array<double>")
-    pair = df.select(F.posexplode(x).alias("i", "a"), x.alias("_x")).select("i", "a", F.posexplode("_x").alias("j", "b"))
-    rows = pair.groupBy("i", "j").agg(F.covar_samp("a", "b").alias("c")).collect()
-    size = max((r["i"] for r in rows), default=-1) + 1
-    out = np.zeros((size, size))
-    for r in rows:
-        out[r["i"], r["j"]] = r["c"]
-    return out
+    rows = gram(df, vector_col).orderBy("i").collect()
+    if not rows:
+        return np.zeros((0, 0))
+    n, mean = rows[0]["n"], np.array([r["s"] / r["n"] for r in rows])
+    return (np.array([r["products"] for r in rows]) - n * np.outer(mean, mean)) / (n - 1)
 
 
 def component_axes(df: DataFrame, k: int = 2, vector_col: str = "embedding") -> np.ndarray:

@@ -2,6 +2,8 @@
 
 import re
 
+import bench
+import numpy as np
 import pytest
 from conftest import table
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from modlens import lexicons as lx
 from modlens.operators import metrics, models, splits, vectors
 from modlens.operators.sequences import SequenceEncoder, word_index
 from modlens.registry import all_queries
+from modlens.registry.tables import _processed
 from modlens.sources.tables import read_comments
 
 QUERIES = all_queries()
@@ -49,6 +52,38 @@ def test_no_text_is_shuffled(spark, folder, name):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+CLEANED_ONCE = [n for n in bench.HEADLINE if "forest" not in n and "stream" not in n and "csv" not in n]
+
+
+@pytest.mark.parametrize("name", CLEANED_ONCE)
+def test_a_text_is_cleaned_once(spark, folder, name):
+    spark.conf.set("spark.sql.debug.maxToStringFields", "100000")
+    try:
+        if name.startswith("processed"):
+            frames = _processed(spark, folder)
+        else:
+            frames = [QUERIES[name].run(spark, folder)]
+        for df in frames:
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            # The chain's first step stands in the plan at most once for each time the texts are read.
+            reads = max(1, plan.count("FileScan parquet [doc_id") + plan.count("FileScan parquet [text"))
+            assert plan.count("https?") <= reads
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+
+
+def test_covariance_by_gram_matrices(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 7)) @ rng.normal(size=(7, 7)) + 3
+    rows = [(i, r.tolist()) for i, r in enumerate(x)] + [(1000, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    assert np.allclose(vectors.covariance(df), np.cov(x.T))
+    assert "Generate" not in vectors.gram(df)._jdf.queryExecution().executedPlan().toString()
+    assert vectors.covariance(df.limit(0)).shape == (0, 0)
+    with pytest.raises(Exception, match="different lengths"):
+        vectors.covariance(df.unionByName(spark.createDataFrame([(7, [1.0])], df.schema)).coalesce(1))
+
+
 def test_sequences_with_a_text_key(spark):
     df = table(spark, ["b a a c", "c b d", None, ""]).withColumn("doc_id", F.concat(F.lit("k"), F.col("doc_id")))
     ids = {r["word"]: r["word_id"] for r in word_index(df, 10).collect()}
