@@ -3,11 +3,12 @@
 Documents are put into ascending key order over range partitions; each partition is encoded and
 written by one task as one file through Spark's text sink, so the folder may be in any store and a
 lost task is simply run again. A file holds, from its first byte on, the ids of its documents as
-little-endian unsigned integers (2 bytes each where the vocabulary allows, else 4), each document
-closed by the end id; a reader may map that part into memory as it is. Behind the ids stands a
+little-endian unsigned integers of ``width`` bytes (2 or 4; an id that does not fit stops the job),
+each document closed by the end id; ``mapped`` maps that part into memory as it is. Behind the ids stands a
 trailer of 64-bit integers: the keys, their presence (1, or 0 for a null key), the offsets of the
 documents in the file's ids, and the number of documents; the end id closes the file. The first
 offset of every file in the whole collection, its base, is the prefix sum over the files' sizes.
+The number of files follows from the bytes of the texts, so that none grows with the table.
 
 Defined cases: a null text counts as empty and has the end id alone. A null key sorts first. Rows
 that share a key are ordered by a hash of their text; equal rows are all written. An empty table
@@ -29,6 +30,7 @@ from modlens.llm.tokens import word_ids
 from modlens.session import run_dir
 
 BATCH = 400  # texts encoded at a time
+FILE_BYTES = 64 << 20  # of text that a file is made for
 
 
 def vocabulary(name: str) -> str:
@@ -52,11 +54,15 @@ def write_token_files(
     docs: DataFrame, folder: str, tokenizer: str, spaced: bool, end_id: int, key: str = "doc_id", width: int = 2
 ) -> None:
     """Write the ids of all texts in ascending key order."""
-    kind = f"<u{width}"
+    kind, most = f"<u{width}", 256**width - 1
+    if end_id > most:
+        raise ValueError(f"end id {end_id} does not fit into {width} bytes")
 
     def rows(batches):
         keys, known, lengths = [], [], []
         for part, ids, ends in encoded_batches(batches, tokenizer, spaced):
+            if len(ids) and ids.max() > most:
+                raise ValueError(f"token id {ids.max()} does not fit into {width} bytes")
             flat, last, out = ids.astype(kind), 0, []
             for end in ends:
                 out.append(flat[last:end].tobytes())
@@ -74,7 +80,9 @@ def write_token_files(
     ordered = docs.select(
         F.col(key).cast("long").alias("key"), "text", F.xxhash64("text").alias("tie")
     )
-    ordered = ordered.repartitionByRange("key", "tie").sortWithinPartitions("key", "tie")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = ordered.repartitionByRange(max(parts, -(-size // FILE_BYTES)), "key", "tie").sortWithinPartitions("key", "tie")
     files = ordered.select("key", "text").mapInArrow(rows, "value binary")
     end = end_id.to_bytes(width, "little").decode("latin-1")
     # The separator that the sink puts behind each row is the end id.
@@ -83,6 +91,18 @@ def write_token_files(
     ).text(folder)
 
 
+def mapped(path: str, width: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A file in a local or mounted folder: its ids, mapped into memory, its keys and its offsets.
+
+    Only the pages that a reader touches are loaded. Keys of null are masked.
+    """
+    raw = np.memmap(path, np.uint8, "r")
+    n = int(raw[len(raw) - 8 - width : len(raw) - width].view("<i8")[0])
+    at = len(raw) - width - 8 - 24 * n
+    keys, known, offsets = np.array(raw[at : at + 24 * n]).view("<i8").reshape(3, n)
+    return raw[:at].view(f"<u{width}"), np.ma.array(keys, mask=known == 0), offsets
+
+
 def read_token_files(spark: SparkSession, folder: str, width: int = 2) -> DataFrame:
     """Per document of the files: key, start (ids before it), n_tokens, ids_crc32."""
     files = spark.read.format("binaryFile").load(folder).filter(F.col("length") > 0)

@@ -17,6 +17,45 @@ ODD = [
 ]
 
 
+SCRAPS = [
+    "a", "Hello", "WORLD", "don't", "I'LL", "<|", "|>", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "<", "\0",
+    " ", " ", " ", "  ", "\n", "\t", "\r", "\x0b", "\x1c", "\x1f", "\x85", "\u00a0", "\u2003", "\u2028", "\u3000", "\ufeff",
+    "e\u0301", "\u0301", "\u00c9", "\u00bd", "\u03a3", "\u0130", "\u65e5\u672c", "\U0001f600", "7", "2024", ".", ",", "...", "_", "-", "'s", '"', "(", ")",
+]
+
+
+def random_texts(n, seed):
+    rng = np.random.default_rng(seed)
+    return ["".join(rng.choice(SCRAPS, rng.integers(0, 14)).tolist()) for _ in range(n)]
+
+
+@pytest.mark.parametrize(("path", "spaced"), [(BYTE, True), (WORD, False)])
+def test_random_texts_get_the_ids_of_the_library(path, spaced):
+    store = WordIds(path, spaced)
+    assert store.by_words
+    group = random_texts(6000, 11) + [f"{a} {b}" for a in SCRAPS for b in SCRAPS]
+    group += ["if (A <|> B) Then Print", "Hello World, this is Plain prose <| Foo Bar", "HELLO <|endoftext|> The End", "abc \0 def"]
+    for at in range(0, len(group), 500):
+        part = group[at : at + 500]
+        ids, ends = store.encode(part)
+        for text, own, plain in zip(part, np.split(ids, ends[:-1]), store.whole(part)):
+            assert own.tolist() == plain, repr(text)
+
+
+def test_other_tokenizers_see_whole_texts(tmp_path):
+    import json
+
+    # The same model, but its texts lose their capitals.
+    spec = json.loads(open(BYTE).read())
+    spec["normalizer"] = {"type": "Lowercase"}
+    (tmp_path / "t.json").write_text(json.dumps(spec))
+    store = WordIds(str(tmp_path / "t.json"), True)
+    assert not store.by_words
+    group = random_texts(200, 3) + [""]
+    ids, ends = store.encode(group)
+    assert [o.tolist() for o in np.split(ids, ends[:-1])] == store.whole(group)
+
+
 def ids_of(path, text):
     return Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids
 
@@ -59,8 +98,18 @@ def test_token_files_map_into_memory(spark, texts, folder):
     import glob
 
     (name,) = [p for p in glob.glob(path.removeprefix("file:") + "/part-*") if np.memmap(p, "u1").size]
-    ids = ids_of(BYTE, docs.coalesce(1).limit(1).first()["text"]) + [2]
-    assert np.memmap(name, "<u2", shape=len(ids)).tolist() == ids
+    one = docs.coalesce(1).limit(1).first()
+    want = ids_of(BYTE, one["text"]) + [2]
+    ids, keys, offsets = token_files.mapped(name)
+    assert isinstance(ids, np.memmap) and ids.tolist() == want
+    assert keys.tolist() == [one["doc_id"]] and offsets.tolist() == [0]
+
+
+def test_ids_beyond_the_width_stop_the_job(spark, odd, tmp_path):
+    with pytest.raises(ValueError, match="does not fit"):
+        token_files.write_token_files(odd, str(tmp_path / "a"), BYTE, True, 1 << 16)
+    with pytest.raises(Exception, match="does not fit"):
+        token_files.write_token_files(odd, str(tmp_path / "b"), BYTE, True, 2, width=1)
 
 
 def test_token_files_of_nothing(spark, empty):
