@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from modlens.llm import (
-    exact_dedup, language, packing, pieces, quality, repeats, signature_join, token_files, toxicity, url_rules,
+    exact_dedup, language, lexical, packing, pieces, quality, quality_model, repeats, resampling, signature_join,
+    token_files, toxicity, url_rules,
 )
 from modlens.registry.inputs import Query
 
@@ -18,4 +19,7 @@ QUERIES = {
     "op8_language": Query(language.op8),
     "op9_url_rules": Query(url_rules.op9, url_rules.SQL),
     "op10_quality_rules": Query(quality.op10, quality.SQL),
+    "op11_quality_model": Query(quality_model.op11),
+    "op12_lexical_search": Query(lexical.op12, lexical.SQL),
+    "op13_resampling": Query(resampling.op13, resampling.SQL),
 }
