@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,6 +57,10 @@ def train(
     )
     train_rows = table.filter(~F.col("is_test"))
     test_rows = table.filter("is_test")
-    scaled = models.scale(train_rows, [train_rows, test_rows], columns)
-    train_v, test_v = (models.assemble(f, columns) for f in scaled)
-    return models.train_and_evaluate(train_v, test_v, labels, settings, columns, key=key)
+    by = models.moments(train_rows, columns)
+
+    def prepare(df: DataFrame) -> DataFrame:
+        return models.assemble(models.centred(df, by), columns)
+
+    run = models.train_and_evaluate(prepare(train_rows), prepare(test_rows), labels, settings, columns, key=key)
+    return replace(run, prepare=prepare)
