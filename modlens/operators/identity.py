@@ -10,8 +10,12 @@ from modlens.functions import identity as idf
 from modlens.functions import text as tx
 from modlens.functions.arrays import let, string_array, with_fields
 from modlens.functions.identity import Lexicon, Sentiment, no_sentiment
+from modlens.operators.term_index import categories, held_terms
 from modlens.sources.tables import small_table
 
+# Terms from which on a lexicon is searched through an index; below, one pass per term is cheaper.
+INDEX_FROM = 200
+
 
 def lexicon_table(spark: SparkSession, lexicon: Lexicon = lx.IDENTITY_TERMS) -> DataFrame:
     """The lexicon as rows (category, term)."""
@@ -118,6 +122,7 @@ def term_statistics(
     are summed per partition before the shuffle of at most one row per term.
     """
     text = F.col("_text")
+    own = key if labels is not None else label
     if word_boundary:
         one = F.lit(1).cast("bigint").alias("n")
         every = idf.mentions(text, lexicon)
@@ -126,13 +131,19 @@ def term_statistics(
         )
     else:
         found = idf.term_counts(text, lexicon)
-    own = key if labels is not None else label
     df = with_fields(df.select(own, F.col(text_col).alias("_text")), {"_text": text})
-    df = with_fields(df.select(own, "_text"), {"_found": found}).select(own, "_found")
+    if not word_boundary and sum(map(len, lexicon.values())) > INDEX_FROM:
+        # A row per term that a text holds, with the terms found by their q-grams.
+        pairs = categories(held_terms(df, "_text", {t for ts in lexicon.values() for t in ts}, [own], counts=True), lexicon)
+        pairs = pairs.select(own, F.struct("category", "term", "n").alias("m"))
+    else:
+        df = with_fields(df.select(own, "_text"), {"_found": found})
+        pairs = df.select(own, F.explode("_found").alias("m"))
     if labels is not None:
-        df = df.join(labels.select(key, label), key)
+        # Texts without a hit need no label.
+        pairs = pairs.join(labels.select(key, label), key)
     counted = (
-        df.select((F.col(label) == 1).alias("_pos"), F.explode("_found").alias("m"))
+        pairs.select((F.col(label) == 1).alias("_pos"), "m")
         .groupBy("m.category", "m.term")
         .agg(
             F.sum("m.n").alias("total_mentions"),
@@ -158,10 +169,15 @@ def phrase_term_pairs(
     key: str = "doc_id",
     lexicon: Lexicon = lx.IDENTITY_TERMS,
 ) -> DataFrame:
-    """Which phrase of which document holds which term as a substring."""
-    terms = string_array(lx.distinct_terms(lexicon))
+    """Which phrase of which document holds which term as a substring.
+
+    A large lexicon is searched through the q-grams of its terms, a small one term by term.
+    """
+    listed = lx.distinct_terms(lexicon)
     phrase = df.select(
         key, F.posexplode(tx.phrases(F.lower(F.col(text_col)))).alias("phrase_no", "phrase")
     )
-    held = F.filter(terms, lambda t: F.contains(F.col("phrase"), t))
+    if len(listed) > INDEX_FROM:
+        return held_terms(phrase, "phrase", listed, [key, "phrase_no"])
+    held = F.filter(string_array(listed), lambda t: F.contains(F.col("phrase"), t))
     return phrase.select(key, "phrase_no", F.explode(held).alias("term"))

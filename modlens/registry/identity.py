@@ -10,8 +10,9 @@ from modlens.functions import negation as ng
 from modlens.functions import text as tx
 from modlens.operators import identity as op
 from modlens.operators.normalise import toxic_with_identity
+from modlens.operators.term_index import held_terms
 from modlens.registry.inputs import (
-    CLEANED, SIX_LABELS, Query, cleaned, labels, quoted, sql_in, sql_words, with_labels,
+    CLEANED, SIX_LABELS, Query, cleaned, labels, quoted, read, sql_in, sql_words, with_labels,
 )
 from modlens.sources.tables import small_table
 
@@ -184,6 +185,16 @@ def _sql_term_stats(words: bool) -> str:
     )
 
 
+def benchmark_terms(spark, folder):
+    """How often, and in how many documents, each longer word of the benchmark stands in the documents."""
+    word = F.explode(tx.words(F.lower(F.col("text")))).alias("term")
+    rows = read(spark, folder, "benchmark").select(word).filter(F.length("term") >= 5).distinct().collect()
+    # A lexicon is a parameter, held by the driver; this one follows the table.
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    found = held_terms(docs, "text", [r["term"] for r in rows], ["doc_id"], counts=True)
+    return found.groupBy("term").agg(F.count("*").alias("texts"), F.sum("n").alias("n"))
+
+
 _KEPT_STOPS = [w for w in STOP_WORDS if w not in lx.distinct_terms(lx.IDENTITY_TERMS)]
 _TERM_LIST = ", ".join(f"({quoted(t)})" for t in lx.distinct_terms(lx.IDENTITY_TERMS))
 
@@ -220,6 +231,13 @@ QUERIES = {
         f" FROM cleaned), t AS (SELECT * FROM (VALUES {_TERM_LIST}) v(term))"
         " SELECT doc_id, term, count(*) AS phrases FROM ph JOIN t ON contains(phrase, term) GROUP BY 1, 2",
     ),
+    "benchmark_terms": Query(
+        benchmark_terms,
+        f"WITH t AS (SELECT DISTINCT term FROM (SELECT unnest({sql_words('lower(text)')}) AS term FROM benchmark)"
+        " WHERE length(term) >= 5), p AS (SELECT term, text FROM documents JOIN t ON contains(text, term))"
+        " SELECT term, count(*) AS texts,"
+        " CAST(sum((length(text) - length(replace(text, term, ''))) // length(term)) AS BIGINT) AS n FROM p GROUP BY 1",
+    ),
     "words_not_stopped": Query(
         words_not_stopped,
         f"WITH {CLEANED}, w AS (SELECT unnest({sql_words('lower(text)')}) AS word FROM cleaned)"
