@@ -93,22 +93,36 @@ def test_language_of_odd_rows(spark, odd, empty):
     assert {r["lang_pred"] for r in language.identify(odd, nothing).collect()} == {"und"}
 
 
+def plain_nearest(q, vectors, keys, labels, near):
+    """Cosine with every example, one after the other."""
+    found = [(-round(sum(w * v.get(t, 0.0) for t, w in q.items()), 9), int(k), y) for k, y, v in zip(keys, labels, vectors)]
+    return [(-s, k, y) for s, k, y in sorted(f for f in found if f[0] < 0)[:near]]
+
+
 def test_nearest_is_exact():
     rng = np.random.default_rng(4)
     terms = [f"t{i}" for i in range(40)]
     idf = {t: float(rng.uniform(1, 4)) for t in terms}
-    vectors = [
-        toxicity.unit_vector(Counter(rng.choice(terms, rng.integers(1, 6)).tolist()), idf) for _ in range(700)
-    ]
-    index = toxicity.Index(idf, np.arange(700), np.zeros(700), list(vectors))
-    for n in range(60):
-        q = toxicity.unit_vector(Counter(rng.choice(terms, 30 if n % 3 == 0 else 4).tolist()), idf)
-        plain = [(-round(sum(w * v.get(t, 0.0) for t, w in q.items()), 9), n) for n, v in enumerate(vectors)]
-        plain = [(-s, n) for s, n in sorted(p for p in plain if p[0] < 0)[:15]]
-        got = index.nearest(q, 15)
-        assert [n for _, n in got] == [n for _, n in plain]
-        assert np.allclose([s for s, _ in got], [s for s, _ in plain])
-    assert index.nearest({"unknown": 1.0}, 15) == []
+    draw = lambda n: toxicity.unit_vector(Counter(rng.choice(terms, n).tolist()), idf)
+    vectors = [draw(rng.integers(1, 6)) for _ in range(700)] + [{}] * 3
+    keys, labels = rng.permutation(703), rng.integers(0, 2, 703).astype(float)
+    index = toxicity.Index(idf, keys, labels, vectors)
+    asked = [draw(30 if n % 3 == 0 else 4) for n in range(600)] + [{"unknown": 1.0}, {}]
+    got = index.nearest(asked, 15)
+    for q, found in list(zip(asked, got))[::9] + [(asked[-1], got[-1]), (asked[-2], got[-2])]:
+        plain = plain_nearest(q, vectors, keys, labels, 15)
+        assert [(k, y) for _, k, y in found] == [(k, y) for _, k, y in plain]
+        assert np.allclose([c for c, _, _ in found], [c for c, _, _ in plain])
+    assert index.nearest([], 15) == []
+    # Bounds leave blocks out for most texts.
+    assert index.pruned > 0.5 * index.texts
+
+
+def test_equal_examples_count_each():
+    vectors = [{"a": 1.0}] * 40 + [{"b": 1.0}] * 3
+    index = toxicity.Index({"a": 1.0, "b": 2.0}, range(100, 143), [1.0] * 43, vectors)
+    got = index.nearest([{"a": 0.6, "b": 0.8}], 15)[0]
+    assert [k for _, k, _ in got] == [140, 141, 142, *range(100, 112)]
 
 
 def test_scores_rise_with_votes():
@@ -152,7 +166,39 @@ def test_toxicity_of_odd_rows(spark, odd, empty):
 
 
 def test_toxicity_on_the_table(spark, folder):
-    rows = QUERIES["op5_toxicity"].run(spark, folder).collect()
-    assert len(rows) == spark.read.parquet(f"{folder}/documents.parquet").count()
-    assert all(r["held_out"] == out_of_learning(r["doc_id"]) for r in rows)
-    assert all(r["predicted"] == int(r["score"] >= 0.3) and 0 <= r["score"] <= 1 for r in rows)
+    """Every row's score and evidence against plain cosines with all examples."""
+    rows = {r["doc_id"]: r for r in QUERIES["op5_toxicity"].run(spark, folder).collect()}
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert sorted(rows) == sorted(texts)
+    s = toxicity.ToxicitySettings()
+    kept = {}
+    plain, toxicity.Index = toxicity.Index, lambda *a: kept.setdefault("index", (a, plain(*a)))[1]
+    try:
+        model = toxicity.train(docs, spark.read.parquet(f"{folder}/labels.parquet"), s)
+    finally:
+        toxicity.Index = plain
+    for key, r in rows.items():
+        assert r["held_out"] == out_of_learning(key) and r["predicted"] == int(r["score"] >= 0.3)
+        if "index" not in kept or not kept["index"][0]:
+            assert r["score"] == model.without
+            continue
+        idf, keys, labels, vectors = kept["index"][0]
+        q = toxicity.unit_vector(Counter(t for t in toxicity.terms_of(texts[key]) if t in idf), idf)
+        found = plain_nearest(q, vectors, keys, labels, s.near)
+        assert r["evidence"] == [k for _, k, _ in found]
+        if not found:
+            assert r["score"] == model.without
+            continue
+        vote = sum(c * c * y for c, _, y in found) / sum(c * c for c, _, _ in found)
+        at = max(int(np.searchsorted(model.edges, vote + 1e-12, side="right")) - 1, 0)
+        assert np.isclose(r["score"], model.shares[at]) or np.isclose(vote, model.edges, atol=1e-9).any()
+
+
+def test_toxicity_of_documents_held_out(spark):
+    folder = "/root/testdata/sf0.1"
+    truth = dict(duckdb.sql(f"select doc_id, max(toxic) from '{folder}/labels.parquet' group by 1").fetchall())
+    got = QUERIES["op5_toxicity"].run(spark, folder).filter("held_out").collect()
+    held = [(r["predicted"], truth[r["doc_id"]]) for r in got if r["doc_id"] in truth]
+    toxic = [p for p, y in held if y]
+    assert sum(toxic) >= 0.85 * len(toxic) and sum(p != y for p, y in held) <= 0.04 * len(held)
