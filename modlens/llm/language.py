@@ -39,7 +39,10 @@ BATCH = 1000
 
 @dataclass(frozen=True)
 class LanguageSettings:
-    """The bounded sample of labelled text: documents per language, characters of each and in all."""
+    """The bounded sample of labelled text: documents per language, characters of each and in all.
+
+    More than ``languages`` labels stop the job: each takes a sample and an automaton of bounded size.
+    """
 
     sample_docs: int = 240
     doc_chars: int = 400
@@ -223,7 +226,10 @@ def sample(docs: DataFrame, s: LanguageSettings) -> dict[str, list[str]]:
     kept = top_k_per(rows, ["lang"], [F.col("spot").asc(), F.col("piece").asc()], s.sample_docs)
     kept = kept.filter(F.col("piece") != "")
     out: dict[str, list[str]] = {}
-    for r in kept.orderBy("lang", "rank").limit(s.sample_docs * s.languages).collect():
+    many = known.select("lang").distinct().count()
+    if many > s.languages:
+        raise ValueError(f"{many} languages are labelled; at most {s.languages} can be learned (languages=)")
+    for r in kept.orderBy("lang", "rank").collect():
         out.setdefault(r["lang"], []).append(r["piece"])
     return out
 

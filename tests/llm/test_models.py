@@ -5,6 +5,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pytest
 
 from modlens.llm import language, toxicity
 from modlens.llm.registry import QUERIES
@@ -73,6 +74,13 @@ def test_languages_of_other_scripts_beside_latin():
             assert found[n, s] == sum(plain_phrases(t, sample) for t in parts)
 
 
+def test_too_many_languages_stop_the_job(spark):
+    docs = frame(spark, [(i, prose(i, 20), f"l{i % 5}", "a") for i in range(40)])
+    assert len(language.sample(docs, language.LanguageSettings(languages=5))) == 5
+    with pytest.raises(ValueError, match="5 languages"):
+        language.sample(docs, language.LanguageSettings(languages=4))
+
+
 def test_language_on_the_table(spark, folder):
     lang = dict(duckdb.sql(f"select doc_id, lang from '{folder}/documents.parquet'").fetchall())
     rows = QUERIES["op8_language"].run(spark, folder).collect()
