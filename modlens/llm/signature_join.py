@@ -56,6 +56,7 @@ class JoinSettings:
     percent: int = 80
     filter_bits: int = 24  # the filter of step 2 has 2 ** filter_bits bits, whatever the input
     block_weight: int = 400_000  # shingles of a tree block, each document counting 200 more
+    bucket_bytes: int = 16 << 20  # of text whose fingerprints meet in one bucket
     bits: int = 2048  # of a token bitmap
     leaf: int = 16
 
@@ -63,8 +64,11 @@ class JoinSettings:
 # -- step 1 and 2: what documents share -----------------------------------------------------
 
 
-def _buckets(docs: DataFrame) -> int:
-    return 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _buckets(docs: DataFrame, s: JoinSettings) -> int:
+    """Buckets that fingerprints are dealt over: as many as the bytes of the texts ask for, so that none grows."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(2 * parts, -(-size // s.bucket_bytes))
 
 
 def _dealt(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -155,12 +159,11 @@ def _per_document(t: pa.Table) -> pa.Table:
     return pa.table([long_array(keys), *map(pa.array, (about[0], about[2], about[3], shared))], names)
 
 
-def document_sets(docs: DataFrame, s: JoinSettings) -> DataFrame:
+def document_sets(docs: DataFrame, s: JoinSettings, n: int) -> DataFrame:
     """Per row: doc_id, n_shingles, a sign of its set, and how many of its shingles others share.
 
     The number shared may be too large by a rare collision of fingerprints, never too small.
     """
-    n = _buckets(docs)
     rows = docs.select("doc_id", "text").mapInArrow(_first_rows(s, n), _FIRST)
     answers = rows.groupBy("bucket").applyInArrow(
         _shared_here, "block long, a binary, b binary, keys array<long>, about binary"
@@ -252,9 +255,8 @@ def _prefixes(percent: int):
     return run
 
 
-def candidate_sets(docs: DataFrame, reps: DataFrame, s: JoinSettings) -> DataFrame:
+def candidate_sets(docs: DataFrame, reps: DataFrame, s: JoinSettings, n: int) -> DataFrame:
     """doc_id, n, hashes and prefix (``a``) of the documents that may have a partner."""
-    n = _buckets(docs)
     bits = s.filter_bits
     chosen = docs.sparkSession.sparkContext.broadcast(_filter_of(reps, bits))
     bucket = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - bits).alias("bucket")
@@ -284,16 +286,28 @@ def candidate_sets(docs: DataFrame, reps: DataFrame, s: JoinSettings) -> DataFra
 def candidate_groups(sets: DataFrame) -> DataFrame:
     """(node, component): connected components of documents that share a prefix shingle."""
 
-    def tokens(batches) -> Iterator[pa.RecordBatch]:
+    def stars(batches) -> Iterator[pa.RecordBatch]:
+        # In a batch a token's documents hang on the first of them, and only that one is told with the token.
         for batch in batches:
             blobs = [np.frombuffer(v.as_buffer(), "<i8") for v in batch.column("a")]
             own = np.repeat(batch.column("doc_id").to_numpy(), [len(b) for b in blobs])
             flat = np.concatenate(blobs) if blobs else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(own)], ["token", "doc_id"])
-
-    rows = sets.select("doc_id", "a").mapInArrow(tokens, "token long, doc_id long")
-    first = rows.groupBy("token").agg(F.min("doc_id").alias("b"), F.count("*").alias("c")).filter("c > 1")
-    ties = rows.join(first, "token").select(F.col("doc_id").alias("a"), "b")
+            order = np.lexsort((own, flat))
+            token, doc = flat[order], own[order]
+            new = np.ones(len(token), bool)
+            new[1:] = token[1:] != token[:-1]
+            head = doc[new][np.cumsum(new) - 1] if len(token) else doc
+            ties = np.unique(np.stack([doc, head])[:, doc != head], axis=1)
+            none = pa.nulls(ties.shape[1], pa.int64())
+            columns = [pa.array(token[new]), pa.array(doc[new]), pa.nulls(int(new.sum()), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["token", "doc_id", "b"])
+            yield pa.RecordBatch.from_arrays([none, pa.array(ties[0]), pa.array(ties[1])], ["token", "doc_id", "b"])
+
+    rows = checkpointed(sets.select("doc_id", "a").mapInArrow(stars, "token long, doc_id long, b long"))
+    heads = rows.filter("token IS NOT NULL").select("token", "doc_id")
+    first = heads.groupBy("token").agg(F.min("doc_id").alias("b"), F.count("*").alias("c")).filter("c > 1")
+    ties = heads.join(first, "token").select(F.col("doc_id").alias("a"), "b")
+    ties = ties.unionByName(rows.filter("token IS NULL").select(F.col("doc_id").alias("a"), "b"))
     return components(ties)
 
 
@@ -454,9 +468,8 @@ def in_blocks(rows: DataFrame, s: JoinSettings) -> DataFrame:
     return both.withColumn("block", number).drop("place", "q")
 
 
-def links(sets: DataFrame, groups: DataFrame, s: JoinSettings) -> DataFrame:
+def links(sets: DataFrame, groups: DataFrame, s: JoinSettings, n: int) -> DataFrame:
     """Edges (a, b) whose components are those of all pairs that reach the similarity."""
-    n = _buckets(sets)
     rows = sets.select(F.col("doc_id").alias("node"), "n", "hashes").join(groups, "node")
     first = checkpointed(in_blocks(rows, s))
     schema = "a long, b long"
@@ -536,7 +549,8 @@ def across(rows: DataFrame, s: JoinSettings) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, s: JoinSettings = JoinSettings()) -> DataFrame:
     """Per row: doc_id, n_shingles and component_id."""
-    every = document_sets(docs, s)
+    n = _buckets(docs, s)
+    every = document_sets(docs, s, n)
     filled = every.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     sign = ["sign_a", "sign_b", "n_shingles"]
     classes = filled.groupBy(*sign).agg(
@@ -544,9 +558,9 @@ def near_duplicates(docs: DataFrame, s: JoinSettings = JoinSettings()) -> DataFr
     )
     classes = checkpointed(classes)
     reps = classes.filter(F.col("shared") * 100 >= F.col("n_shingles") * s.percent)
-    sets = candidate_sets(docs, reps.select(F.col("rep").alias("doc_id")), s)
+    sets = candidate_sets(docs, reps.select(F.col("rep").alias("doc_id")), s, n)
     sets = sets.dropDuplicates(["doc_id", "hashes"])
-    edges = links(sets, candidate_groups(sets), s)
+    edges = links(sets, candidate_groups(sets), s, n)
     # Copies hang on their first document; so do rows that share a doc_id.
     copies = filled.join(classes.filter("rows > 1"), sign).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     named = components(edges.unionByName(copies))
