@@ -7,7 +7,9 @@ their distinct anchors once and hear which ones a different text holds as well.
 under those anchors go, each distinct stretch once per block, to the anchor's bucket. There, equal
 stretches are one string; the strings of anchors with several are split over shards, whose
 Burrows-Wheeler transforms are merged (``bwt.merge``), and every repeated interval of 100 symbols is
-a class of equal windows, of which the earliest stays. The blocks take back which windows to
+a class of equal windows, of which the earliest stays. An anchor with very many different stretches, as at the
+rim of a passage that many documents hold, would fill one bucket: its stretches are cut into their windows, each
+filed under two hashes of itself, so that they spread over all buckets. The blocks take back which windows to
 remove. Texts are shuffled once, to their blocks; a text in very many copies or a passage in very
 many documents sends one row per block.
 
@@ -40,12 +42,14 @@ LEAST = -(2**63)  # stands for a null key
 
 @dataclass(frozen=True)
 class RepeatSettings:
-    """Bytes of a window and of an anchor, bytes of a block, and shards of a bucket."""
+    """Bytes of a window and of an anchor, bytes of a block, shards of a bucket, and the different stretches
+    from which on an anchor's windows go their own ways."""
 
     window: int = 100
     anchor: int = 48
     block_bytes: int = 4_000_000
     shards: int = 4
+    hot: int = 20_000
 
 
 @dataclass
@@ -149,7 +153,24 @@ def _print(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(20)).astype("<u4")
 
 
-_ANCHORS = "bucket int, block int, a binary, b binary"
+_ANCHORS = "bucket int, block int, a binary, b binary, c binary"
+
+
+def _different(texts: Texts, runs: Stretches, order: np.ndarray, group: np.ndarray, s: RepeatSettings) -> np.ndarray:
+    """About how many different stretches each group of runs holds, by their lengths and ends (at most 65,535)."""
+    if not len(order):
+        return np.zeros(0, "<u2")
+    start, count = runs.start[order], runs.count[order]
+    end = start + count + s.window - 1
+    sides = np.zeros(len(order), np.uint64)
+    for at in (start, end - 8):
+        for i in range(8):
+            sides = sides * np.uint64(0x100000001B3) + texts.data[at + i]
+    sides = sides * np.uint64(0x9E3779B97F4A7C15) + count.astype(np.uint64)
+    by = np.lexsort((sides, group))
+    new = np.ones(len(by), bool)
+    new[1:] = (sides[by][1:] != sides[by][:-1]) | (group[by][1:] != group[by][:-1])
+    return np.minimum(np.bincount(group[by], new), 0xFFFF).astype("<u2")
 
 
 def _tell_anchors(s: RepeatSettings, n: int):
@@ -170,12 +191,14 @@ def _tell_anchors(s: RepeatSettings, n: int):
         first, who = hashes[new], sign[new].copy()
         who[several[: len(who)]] = 0
         edges = _edges(first, n)
+        many = _different(texts, runs, order, group, s)
         block = t.column("block")[0].as_py()
         rows = [
-            (i, block, as_blob(_print(first[x:y])), as_blob(who[x:y]))
+            (i, block, as_blob(_print(first[x:y])), as_blob(who[x:y]), as_blob(many[x:y]))
             for i, (x, y) in enumerate(zip(edges, edges[1:])) if y > x
         ]
-        return _table(rows, [("bucket", pa.int32()), ("block", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
+        kinds = [("bucket", pa.int32()), ("block", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())]
+        return _table(rows, kinds)
 
     return run
 
@@ -189,31 +212,61 @@ def _blobs(column, kind: str) -> list[np.ndarray]:
     return [np.frombuffer(v.as_buffer(), kind) for v in column]
 
 
-def _answer_anchors(t: pa.Table) -> pa.Table:
-    """One bucket: per block, the prints of its anchors that another text or place holds."""
-    prints, signs = _blobs(t.column("a"), "<u4"), _blobs(t.column("b"), "<i8")
-    row = np.repeat(np.arange(len(prints)), [len(p) for p in prints])
-    low, who = np.concatenate(prints), np.concatenate(signs)
-    order = np.argsort(low, kind="stable")
-    low, who, row = low[order], who[order], row[order]
-    starts = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
-    size = np.diff(np.r_[starts, len(low)])
-    shared = (np.minimum.reduceat(who, starts) != np.maximum.reduceat(who, starts)) | (
-        np.bitwise_or.reduceat((who == 0).astype(np.int8), starts) > 0
-    )
-    hit = np.repeat(shared, size)
-    blocks = t.column("block").to_pylist()
-    low, row = low[hit], row[hit]
-    order = np.argsort(row, kind="stable")
-    low, row = low[order], row[order]
-    edges = np.searchsorted(row, np.arange(len(prints) + 1))
-    rows = [(blocks[r], as_blob(low[x:y])) for r, (x, y) in enumerate(zip(edges, edges[1:])) if y > x]
-    return _table(rows, [("block", pa.int32()), ("a", pa.binary())])
+def _answer_anchors(s: RepeatSettings):
+    """One bucket: per block, the prints of its anchors that another text or place holds, and which are hot."""
+
+    def run(t: pa.Table) -> pa.Table:
+        prints, signs, counts = _blobs(t.column("a"), "<u4"), _blobs(t.column("b"), "<i8"), _blobs(t.column("c"), "<u2")
+        row = np.repeat(np.arange(len(prints)), [len(p) for p in prints])
+        low, who, many = np.concatenate(prints), np.concatenate(signs), np.concatenate(counts)
+        order = np.argsort(low, kind="stable")
+        low, who, many, row = low[order], who[order], many[order], row[order]
+        starts = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
+        size = np.diff(np.r_[starts, len(low)])
+        shared = (np.minimum.reduceat(who, starts) != np.maximum.reduceat(who, starts)) | (
+            np.bitwise_or.reduceat((who == 0).astype(np.int8), starts) > 0
+        )
+        hot = np.repeat(np.add.reduceat(many.astype(np.int64), starts) > s.hot, size)
+        hit = np.repeat(shared, size)
+        blocks = t.column("block").to_pylist()
+        low, hot, row = low[hit], hot[hit], row[hit]
+        order = np.argsort(row, kind="stable")
+        low, hot, row = low[order], hot[order].astype(np.uint8), row[order]
+        edges = np.searchsorted(row, np.arange(len(prints) + 1))
+        rows = [
+            (blocks[r], as_blob(low[x:y]), as_blob(hot[x:y])) for r, (x, y) in enumerate(zip(edges, edges[1:])) if y > x
+        ]
+        return _table(rows, [("block", pa.int32()), ("a", pa.binary()), ("c", pa.binary())])
+
+    return run
+
+
+def _single_windows(texts: Texts, runs: Stretches, hot: np.ndarray, s: RepeatSettings):
+    """The windows of the runs ``hot``: two hashes, document and place of each, the block's first ones and the others."""
+    start, count = runs.start[hot], runs.count[hot]
+    ends = np.cumsum(count)
+    at = np.arange(int(ends[-1])) + np.repeat(start - (ends - count), count)
+    doc = np.repeat(runs.doc[hot], count)
+    one, two = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
+    for i in range(s.window):
+        byte = texts.data[at + i].astype(np.uint64) + np.uint64(1)
+        one = one * np.uint64(0x9E3779B97F4A7C15) + byte
+        two = (two ^ byte) * np.uint64(0xC2B2AE3D27D4EB4F)
+        two ^= two >> np.uint64(29)
+    one, two = mix(one), mix(two)
+    place = at - np.concatenate([[0], texts.ends[:-1]])[doc]
+    by = np.lexsort((at, two, one))  # documents stand in order, so places do
+    new = np.ones(len(by), bool)
+    new[1:] = (one[by][1:] != one[by][:-1]) | (two[by][1:] != two[by][:-1])
+    return one[by], two[by], doc[by], place[by], new
 
 
 # A block's word to a bucket: strings and, per string, anchor, length, key, sign, number and start.
-_STRINGS = [("bucket", pa.int32()), ("block", pa.int32()), ("text", pa.binary()), ("about", pa.binary()), ("cut", pa.binary())]
-_STRINGS_DDL = "bucket int, block int, text binary, about binary, cut binary"
+_STRINGS = [
+    ("bucket", pa.int32()), ("block", pa.int32()), ("text", pa.binary()), ("about", pa.binary()), ("cut", pa.binary()),
+    ("single", pa.binary()),  # of windows on their own: two hashes, key, sign, number and place
+]
+_STRINGS_DDL = "bucket int, block int, text binary, about binary, cut binary, single binary"
 
 
 def _tell_strings(s: RepeatSettings, n: int):
@@ -224,11 +277,13 @@ def _tell_strings(s: RepeatSettings, n: int):
             return _table([], _STRINGS)
         texts = Texts.of(t)
         runs = stretches(texts, s)
-        prints = _blobs(answers.column("a"), "<u4")
-        told = np.unique(np.concatenate(prints))
+        prints, flags = _blobs(answers.column("a"), "<u4"), _blobs(answers.column("c"), "u1")
+        told, at = np.unique(np.concatenate(prints), return_index=True)
+        hot = np.concatenate(flags)[at] > 0
         mine = _print(runs.hash)
         at = np.minimum(np.searchsorted(told, mine), len(told) - 1)
-        order = np.flatnonzero(told[at] == mine)
+        ours = told[at] == mine
+        order, alone = np.flatnonzero(ours & ~hot[at]), np.flatnonzero(ours & hot[at])
         raw = texts.data.tobytes()
         begins = np.concatenate([[0], texts.ends[:-1]])
         # Stretches come in document order, so the first of equal ones is the earliest.
@@ -256,8 +311,20 @@ def _tell_strings(s: RepeatSettings, n: int):
                 about = np.stack(
                     [hashes[w].view(np.int64), size, texts.keys[doc[w]], texts.signs[doc[w]], doc[w], place[keep_at[w]]]
                 )
-                rows.append((i, block, b"".join([strings[k] for k in w.tolist()]), as_blob(about.astype("<i8")), None))
-        rows.append((block % n, block, None, None, as_blob(removed)))
+                text = b"".join([strings[k] for k in w.tolist()])
+                rows.append((i, block, text, as_blob(about.astype("<i8")), None, None))
+        rows.append((block % n, block, None, None, as_blob(removed), None))
+        if len(alone):
+            one, two, doc, place, new = _single_windows(texts, runs, alone, s)
+            again = np.stack([doc[~new], place[~new], np.ones(int((~new).sum()), np.int64)])
+            rows.append((block % n, block, None, None, as_blob(again.astype("<i8")), None))
+            one, two, doc, place = one[new], two[new], doc[new], place[new]
+            edges = _edges(one, n)
+            about = np.stack([one.view(np.int64), two.view(np.int64), texts.keys[doc], texts.signs[doc], doc, place])
+            rows += [
+                (i, block, None, None, None, as_blob(about[:, x:y].astype("<i8")))
+                for i, (x, y) in enumerate(zip(edges, edges[1:])) if y > x
+            ]
         return _table(rows, _STRINGS)
 
     return run
@@ -269,6 +336,7 @@ def _compare_strings(s: RepeatSettings):
     def run(t: pa.Table) -> pa.Table:
         out_schema = [("block", pa.int32()), ("cut", pa.binary())]
         passed = [(b, c) for b, c in zip(t.column("block").to_pylist(), t.column("cut").to_pylist()) if c]
+        passed += _later_singles(t.filter(pa.compute.is_valid(t.column("single"))))
         own = t.filter(pa.compute.is_valid(t.column("about")))
         if not own.num_rows:
             return _table(passed, out_schema)
@@ -293,15 +361,33 @@ def _compare_strings(s: RepeatSettings):
         if len(kept):
             gone.append(_repeated_windows(kept, raw, ends, size, order, block, doc, place, s))
         b, d, p, c = (np.concatenate(x) for x in zip(*gone))
-        by = np.argsort(b, kind="stable")
-        b, cut = b[by], np.stack([d[by], p[by], c[by]]).astype("<i8")
-        edges = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else np.zeros(0, int)
-        rows = [(int(b[x]), as_blob(cut[:, x:y])) for x, y in zip(edges, np.r_[edges[1:], len(b)])]
+        rows = _by_block(b, np.stack([d, p, c]))
         return _table(passed + rows, out_schema)
 
     return run
 
 
+def _by_block(block: np.ndarray, cut: np.ndarray) -> list[tuple]:
+    by = np.argsort(block, kind="stable")
+    block, cut = block[by], cut[:, by].astype("<i8")
+    edges = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(block) else np.zeros(0, int)
+    return [(int(block[x]), as_blob(cut[:, x:y])) for x, y in zip(edges, np.r_[edges[1:], len(block)])]
+
+
+def _later_singles(t: pa.Table) -> list[tuple]:
+    """Windows on their own that an earlier document of another block holds, by block."""
+    if not t.num_rows:
+        return []
+    parts = [a.reshape(6, -1) for a in _blobs(t.column("single"), "<i8")]
+    block = np.repeat(t.column("block").to_numpy(), [p.shape[1] for p in parts])
+    one, two, key, sign, doc, place = np.concatenate(parts, axis=1)
+    by = np.lexsort((place, sign, key, two, one))
+    later = np.zeros(len(by), bool)
+    later[1:] = (one[by][1:] == one[by][:-1]) & (two[by][1:] == two[by][:-1])
+    gone = by[later]
+    return _by_block(block[gone], np.stack([doc[gone], place[gone], np.ones(len(gone), np.int64)]))
+
+
 def _repeated_windows(kept, raw, ends, size, order, block, doc, place, s: RepeatSettings):
     """Windows of the strings ``kept`` that an earlier string holds, by merged transforms."""
     rank = np.empty(len(order), np.int64)
@@ -416,7 +502,7 @@ def without_repeats(docs: DataFrame, s: RepeatSettings = RepeatSettings(), with_
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("key", "sign_a"), F.lit(n_blocks)).cast("int"))
     by_block = dealt.groupBy("block")
     anchors = by_block.applyInArrow(_tell_anchors(s, n), _ANCHORS)
-    shared = anchors.groupBy("bucket").applyInArrow(_answer_anchors, "block int, a binary")
+    shared = anchors.groupBy("bucket").applyInArrow(_answer_anchors(s), "block int, a binary, c binary")
     strings = by_block.cogroup(shared.groupBy("block")).applyInArrow(_tell_strings(s, n), _STRINGS_DDL)
     cuts = strings.groupBy("bucket").applyInArrow(_compare_strings(s), "block int, cut binary")
     # Of equal texts, all windows of the later ones start earlier in the first.

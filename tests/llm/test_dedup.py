@@ -142,9 +142,10 @@ def test_removal_on_the_table(spark, folder, texts):
     assert removal(QUERIES["op6_repeats"].run(spark, folder)) == plain_removal(texts)
 
 
+@pytest.mark.parametrize("hot", [20_000, 2, 0])
 @pytest.mark.parametrize("size", [4_000_000, 2_000])
-def test_removal_on_odd_rows(odd, size):
-    s = repeats.RepeatSettings(block_bytes=size)
+def test_removal_on_odd_rows(odd, size, hot):
+    s = repeats.RepeatSettings(block_bytes=size, hot=hot)
     got = removal(repeats.without_repeats(odd, s))
     first = sorted({(k, t) for k, t, _, _ in odd_rows()}, key=lambda r: (r[0] is not None, r[0] or 0))
     plain = plain_removal(first)
@@ -156,7 +157,9 @@ def test_removal_of_pieces(spark):
     parts = [prose(i, 40) for i in range(12)]
     rows = [(i, "|".join(parts[j][rng.integers(0, 80) :] for j in rng.integers(0, 12, 4)) + "é" * 3) for i in range(60)]
     df = frame(spark, [(k, t, "en", "a") for k, t in rows], clash=False)
-    assert removal(repeats.without_repeats(df, repeats.RepeatSettings(block_bytes=3000))) == plain_removal(rows)
+    for hot in (20_000, 3):
+        s = repeats.RepeatSettings(block_bytes=3000, hot=hot)
+        assert removal(repeats.without_repeats(df, s)) == plain_removal(rows)
     cut = repeats.cut_documents(df)
     assert cut.columns == df.columns
     kept = {r["doc_id"]: r["text"] for r in cut.collect()}
@@ -185,3 +188,33 @@ def test_merged_transforms_find_classes():
                     named[row[i : i + depth].tobytes()].add(int(found[i]))
         assert all(len(v) == 1 for v in named.values())
         assert len({next(iter(v)) for v in named.values()}) == len(named)
+
+
+def test_a_hot_anchor_spreads_over_the_buckets(spark, monkeypatch, tmp_path):
+    """A passage in a third of the rows, each time with its own surroundings."""
+    passage = prose(77, 60)
+    rows = [
+        (i, f"{prose(1000 + i, 30)} {passage} {prose(5000 + i, 30)}" if i % 3 == 0 else prose(9000 + i, 60)) for i in range(900)
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    plain, largest = repeats._compare_strings, []
+    for hot in (20_000, 30):
+        folder = tmp_path / str(hot)
+        folder.mkdir()
+
+        def watched(s, folder=str(folder)):
+            inner = plain(s)
+
+            def run(t):
+                size = sum(len(v.as_buffer()) for c in ("text", "single") for v in t.column(c) if v.is_valid)
+                open(f"{folder}/{t.column('bucket')[0].as_py()}", "w").write(str(size))
+                return inner(t)
+
+            return run
+
+        monkeypatch.setattr(repeats, "_compare_strings", watched)
+        got = removal(repeats.without_repeats(df, repeats.RepeatSettings(block_bytes=20_000, hot=hot)))
+        assert got == plain_removal(rows)
+        largest.append(max(int(f.read_text()) for f in folder.iterdir()))
+    # One anchor alone has 300 strings of over 100 bytes.
+    assert largest[0] > 30_000 and largest[1] < 0.6 * largest[0]
