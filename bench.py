@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 import time
 
 from pyspark.sql import SparkSession
@@ -88,6 +89,7 @@ def main() -> None:
         # The sink takes every row and writes none.
         known[name].run(spark, folder).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
+        print(name, times[name], file=sys.stderr, flush=True)
     line = {
         "metric": "headline_queries_total",
         "value": round(sum(times.values()), 3),

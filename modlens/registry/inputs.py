@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from modlens import lexicons as lx
 from modlens.functions.arrays import string_array
 from modlens.operators.normalise import clean_comments
+from modlens.streaming.enrich import read_stream
+from modlens.streaming.scoring import is_folder
 
 
 @dataclass(frozen=True)
@@ -70,6 +72,17 @@ def commented(df: DataFrame) -> DataFrame:
     return df.withColumn("text", F.concat_ws(" ", F.col("text"), pick))
 
 
+def document_stream(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
+    """The documents (doc_id, text) as a stream, whether their table is one file or a folder of files."""
+    path = f"{folder}/documents.parquet"
+    schema = read(spark, folder, "documents").schema
+    if is_folder(spark, path):
+        stream = read_stream(spark, path, schema, files_per_batch=files_per_batch)
+    else:
+        stream = read_stream(spark, folder, schema, "documents.parquet", files_per_batch)
+    return stream.select("doc_id", "text")
+
+
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     """Given documents: doc_id, text."""
     return read(spark, folder, "documents").select("doc_id", "text")

@@ -11,7 +11,8 @@ from modlens.registry.features import QUERIES as FEATURES
 from modlens.registry.identity import LABELLED, SQL_COUNTS, SQL_TOTAL
 from modlens.registry.identity import QUERIES as IDENTITY_QUERIES
 from modlens.registry.inputs import (
-    COMMENTS, PRINTABLE, SIX_LABELS, Query, cleaned, commented, comments, labelled, labels, read, sql_expanded,
+    COMMENTS, PRINTABLE, SIX_LABELS, Query, cleaned, commented, comments, document_stream, labelled, labels,
+    sql_expanded,
     with_labels,
 )
 from modlens.session import run_dir
@@ -19,7 +20,7 @@ from modlens.sources.tables import (
     comment_schema, load_processed, read_comments, read_substitutions, save_processed, small_table,
     write_csv,
 )
-from modlens.streaming.enrich import enrich, read_stream, write_available
+from modlens.streaming.enrich import enrich, write_available
 
 
 def csv_round_trip(spark, folder):
@@ -66,10 +67,7 @@ def dictionary_from_file(spark, folder):
 
 def stream_enrich(spark, folder):
     """The documents as a stream, enriched with all text columns and appended as Parquet."""
-    batch = read(spark, folder, "documents")
-    stream = read_stream(spark, folder, batch.schema, "documents.parquet")
-    stream = stream.select("doc_id", "text")
-    out = enrich(commented(stream))
+    out = enrich(commented(document_stream(spark, folder)))
     path = run_dir(spark, "enriched")
     query = write_available(out.select("doc_id", *lx.FEATURE_COLUMNS), path, run_dir(spark, "progress"))
     query.awaitTermination()

@@ -43,6 +43,11 @@ def is_there(spark: SparkSession, path: str) -> bool:
     return fs.exists(target)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    fs, target = _file_system(spark, path)
+    return fs.exists(target) and fs.getFileStatus(target).isDirectory()
+
+
 def write_batch(batch: DataFrame, batch_id: int, folder: str) -> bool:
     """A batch's rows and then its entry; False if the entry is there already."""
     spark = batch.sparkSession
