@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from modlens import lexicons as lx
 from modlens.functions.arrays import string_array
 from modlens.operators.normalise import clean_comments
+from modlens.sources.manifest import is_folder
 from modlens.streaming.enrich import read_stream
-from modlens.streaming.scoring import is_folder
 
 
 @dataclass(frozen=True)

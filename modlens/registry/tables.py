@@ -17,9 +17,10 @@ from modlens.registry.inputs import (
 )
 from modlens.session import run_dir
 from modlens.sources.tables import (
-    comment_schema, load_processed, read_comments, read_substitutions, save_processed, small_table,
-    write_csv,
+    comment_schema, load_processed, read_comments, read_comments_apart, read_substitutions, save_processed,
+    small_table, write_csv,
 )
+from modlens.sources.versions import load_version, save_version
 from modlens.streaming.enrich import enrich, write_available
 
 
@@ -55,6 +56,29 @@ def processed_statistics(spark, folder):
     return stats.select("category", "term", "total_mentions", "toxic_mentions")
 
 
+def saved_join(spark, folder):
+    """Features and labels saved as one bucketed unit, loaded and joined by key without a shuffle."""
+    features, _ = _processed(spark, folder)
+    path = run_dir(spark, "bucketed")
+    tables = {"features": features.drop(*lx.LABELS), "labels": labels(spark, folder)}
+    save_version(spark, tables, path, "doc_id", int(spark.conf.get("spark.sql.shuffle.partitions")))
+    saved = load_version(spark, path)
+    return saved["features"].join(saved["labels"], "doc_id").select("doc_id", "identity_term_count", *lx.LABELS)
+
+
+def records_apart(spark, folder):
+    """Labelled comments as CSV, each eleventh with a label that is no number: good rows, and the others by reason."""
+    df = labelled(spark, folder, clean=False).withColumn("text", F.concat(F.lit('"'), "text"))
+    wrong = F.when(F.col("doc_id") % 11 == 0, "yes").otherwise(F.col("threat").cast("string"))
+    path = run_dir(spark, "comments")
+    write_csv(df.withColumn("threat", wrong).select("doc_id", "text", *lx.LABELS), path)
+    good, bad = read_comments_apart(spark, path, comment_schema())
+    rows = good.select("doc_id", F.lit("good").alias("reason"), F.length("text").alias("n"))
+    # The key stands first in a record that is given as it was.
+    keys = F.from_csv("raw", "doc_id bigint", {"escape": '"', "mode": "PERMISSIVE"})["doc_id"]
+    return rows.unionByName(bad.select(keys.alias("doc_id"), "reason", F.lit(None).cast("int").alias("n")))
+
+
 def dictionary_from_file(spark, folder):
     """Shorthand expanded with a dictionary read from a file."""
     rows = [(i + 1, n, k, v) for i, p in enumerate(lx.SUBSTITUTION_PASSES) for n, (k, v) in enumerate(p)]
@@ -101,6 +125,16 @@ QUERIES = {
         "SELECT category, term, total_mentions, toxic_mentions FROM"
         f" ({IDENTITY_QUERIES['term_statistics'].sql})",
     ),
+    "saved_join": Query(
+        saved_join,
+        f"WITH {LABELLED}, ic AS (SELECT *, {SQL_COUNTS} FROM labelled)"
+        f" SELECT doc_id, {SQL_TOTAL} AS identity_term_count, {', '.join(lx.LABELS)} FROM ic",
+    ),
+    "records_apart": Query(
+        records_apart,
+        f"WITH {COMMENTS}, {SIX_LABELS} SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'threat' ELSE 'good' END AS reason,"
+        " CASE WHEN doc_id % 11 <> 0 THEN length(text) + 1 END AS n FROM raw JOIN six USING (doc_id)",
+    ),
     "dictionary_from_file": Query(dictionary_from_file, _sql_expanded_all()),
     "stream_enrich": Query(stream_enrich, FEATURES["full_feature_table"].sql),
 }

@@ -121,6 +121,15 @@ def kept_vectors(spark, folder):
     return _flat(cached_vectors(docs, path, shape_model()))
 
 
+def refreshed_vectors(spark, folder):
+    """Vectors kept of all documents, then again after the text of each third has changed."""
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    path = run_dir(spark, "vectors")
+    before = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("an earlier text "), "text")).otherwise(F.col("text"))
+    cached_vectors(docs.withColumn("text", before), path, shape_model())
+    return _flat(cached_vectors(docs, path, shape_model()))
+
+
 LONG = (
     "ev AS (SELECT vec_id, CAST(label >= 5 AS INT) AS y, unnest(embedding)::DOUBLE AS x,"
     " generate_subscripts(embedding, 1) - 1 AS dimension FROM embeddings), "
@@ -171,4 +180,5 @@ QUERIES = {
     ),
     "embedded_texts": Query(embedded_texts, _SHAPE),
     "kept_vectors": Query(kept_vectors, _SHAPE),
+    "refreshed_vectors": Query(refreshed_vectors, _SHAPE),
 }

@@ -25,6 +25,7 @@ def local_session(cpus: int | str = "*", memory: str = "12g", app: str = "modlen
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.scheduler.mode", "FAIR")
         .getOrCreate()
     )
 

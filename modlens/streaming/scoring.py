@@ -8,44 +8,15 @@ therefore leaves every batch there once or not at all, whatever store holds the
 
 from __future__ import annotations
 
-import json
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-Step = Callable[[DataFrame], DataFrame]
-
-
-def _file_system(spark: SparkSession, path: str):
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop
-    target = hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
-
-
-def put_entry(spark: SparkSession, path: str, entry: dict) -> None:
-    """One small JSON file that is either there as a whole or not at all."""
-    fs, target = _file_system(spark, path)
-    _, draft = _file_system(spark, f"{target.getParent()}/.{target.getName()}-{uuid.uuid4().hex}")
-    fs.mkdirs(target.getParent())
-    out = fs.create(draft, True)
-    out.write(bytearray(json.dumps(entry).encode()))
-    out.close()
-    if not fs.rename(draft, target):
-        # Another attempt of the same batch was first.
-        fs.delete(draft, False)
+from modlens.sources.manifest import is_there, put_entry
 
-
-def is_there(spark: SparkSession, path: str) -> bool:
-    fs, target = _file_system(spark, path)
-    return fs.exists(target)
-
-
-def is_folder(spark: SparkSession, path: str) -> bool:
-    fs, target = _file_system(spark, path)
-    return fs.exists(target) and fs.getFileStatus(target).isDirectory()
+Step = Callable[[DataFrame], DataFrame]
 
 
 def write_batch(batch: DataFrame, batch_id: int, folder: str) -> bool:
