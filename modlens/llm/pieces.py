@@ -3,11 +3,14 @@
 A text is cut into units (blanks and the characters behind them); no piece of the vocabulary reaches
 across the start of a unit. In a unit, the agenda holds every pair of neighbours whose
 concatenation is a piece; the pair of best score, leftmost among equals, is merged first. With
-dropout, a pair is passed over when a hash keyed by the seed, the document's key, the unit, the place in
-the unit and the two pieces falls below the rate, so a run repeats itself exactly wherever its tasks run.
-Every document draws its own segmentation of each of its units; a unit that stands several times in
-one document has the same pieces there. Many units are worked off together as arrays, one merge of
-each per step; units with very many symbols have an agenda of their own.
+dropout, a pair is passed over when a hash keyed by the seed, the document's key, the number of the unit
+in the document, the place in the unit and the two pieces falls below the rate, so a run repeats itself
+exactly wherever its tasks run. Every place of a word in a document draws its own segmentation.
+
+Each worker keeps the merges that a unit goes through without dropout. Where none of these is passed
+over, the best pair is the same at every step and so are the pieces; all other places are worked off by
+their agenda. Many units are worked off together as arrays, one merge of each per step; units with
+very many symbols have an agenda of their own.
 
 Defined cases: a null or empty text has no pieces. A character outside the vocabulary, and the
 character that stands for a blank inside pieces, become byte pieces, so every text decodes to
@@ -22,6 +25,7 @@ import heapq
 import re
 import sys
 import zlib
+from array import array
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from itertools import chain
@@ -39,6 +43,7 @@ WIDTHS = (8, 16, 32, 64)  # units of up to so many symbols are worked off togeth
 NEVER = np.iinfo(np.int32).max
 BATCH = 400
 UNITS = 30_000  # units worked off together; bounds the memory
+KNOWN = 300_000  # units whose plain merges a worker keeps
 _UNIT = re.compile(" *[^ ]+| +$")
 _M1, _M2, _STEP = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15
 _ALL = 2**64 - 1
@@ -142,25 +147,21 @@ class Segmenter:
         self.p, self.s = pieces, s
         self.floor = int(s.rate * 2**64)
 
-    def keys(self, flat: np.ndarray, sizes: np.ndarray, variants: np.ndarray) -> np.ndarray:
-        """The hash that all merges of a unit start from: its symbols, the document's hash and the seed."""
-        ends = np.cumsum(sizes)
-        place = np.arange(len(flat)) - np.repeat(ends - sizes, sizes)
+    def terms(self, at: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """What the merges of two pieces at a place add to the key of a unit."""
+        pair = left.astype(np.uint64) * np.uint64(self.p.size) + right.astype(np.uint64)
         with np.errstate(over="ignore"):
-            each = mixed(flat.astype(np.uint64) * np.uint64(_STEP) + place.astype(np.uint64) * np.uint64(_M1))
-            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(each, dtype=np.uint64)])
-            own = total[ends] - total[ends - sizes] + variants.astype(np.uint64) * np.uint64(_M2)
-            return mixed(own + np.uint64(self.s.seed * _STEP & _ALL))
+            return at.astype(np.uint64) * np.uint64(_STEP) + pair * np.uint64(_M1)
 
-    def passed_over(self, key, at, left, right):
-        """Whether the merge of two pieces at a place is skipped."""
+    def below(self, key: np.ndarray, terms: np.ndarray) -> np.ndarray:
+        """Whether merges are skipped, by the keys of their units and their terms."""
         if self.floor == 0:
-            return np.zeros(len(key), bool) if isinstance(key, np.ndarray) else False
-        if isinstance(key, np.ndarray):
-            with np.errstate(over="ignore"):
-                pair = left.astype(np.uint64) * np.uint64(self.p.size) + right.astype(np.uint64)
-                x = mixed(key + at.astype(np.uint64) * np.uint64(_STEP) + pair * np.uint64(_M1))
-            return x < np.uint64(min(self.floor, _ALL))
+            return np.zeros(len(key), bool)
+        with np.errstate(over="ignore"):
+            return mixed(key + terms) < np.uint64(min(self.floor, _ALL))
+
+    def passed_over(self, key: int, at: int, left: int, right: int) -> bool:
+        """Whether one merge of two pieces at a place is skipped."""
         x = mixed((key + at * _STEP + (left * self.p.size + right) * _M1) & _ALL)
         return x < min(self.floor, _ALL)
 
@@ -201,15 +202,19 @@ class Segmenter:
         pair = left.astype(np.int64) * self.p.size + right
         spot = np.minimum(np.searchsorted(self.p.keys, pair), len(self.p.keys) - 1)
         good = np.flatnonzero((self.p.keys[spot] == pair) & (left >= 0) & (right >= 0))
-        good = good[~self.passed_over(key[good], at[good], left[good], right[good])]
+        if self.floor:
+            good = good[~self.below(key[good], self.terms(at[good], left[good], right[good]))]
         rank, piece = np.full(len(pair), NEVER, np.int32), np.full(len(pair), -1, np.int32)
         rank[good], piece[good] = self.p.rank[spot[good]], self.p.merged[spot[good]]
         return rank, piece
 
     def together(
-        self, flat: np.ndarray, sizes: np.ndarray, keys: np.ndarray, width: int
+        self, flat: np.ndarray, sizes: np.ndarray, keys: np.ndarray, width: int, log: list | None = None
     ) -> tuple[np.ndarray, np.ndarray]:
-        """Units of up to ``width`` symbols, one merge of each per step: pieces, and how many each has."""
+        """Units of up to ``width`` symbols, one merge of each per step: pieces, and how many each has.
+
+        A ``log`` takes the units that merged in each step, and the terms of their merges.
+        """
         n = len(sizes)
         sym = np.full((n, width + 1), -1, np.int32)
         sym[np.arange(width + 1) < sizes[:, None]] = flat
@@ -230,6 +235,8 @@ class Segmenter:
                 break
             j = after[live, i].astype(np.int64)
             k = after[live, np.minimum(j, width - 1)].astype(np.int64)
+            if log is not None:
+                log.append((live, self.terms(i, sym[live, i], sym[live, j])))
             sym[live, i] = piece[live, i]
             sym[live, j] = -1
             rank[live, j] = NEVER
@@ -245,10 +252,14 @@ class Segmenter:
         kept = sym >= 0
         return sym[kept], kept.sum(1)
 
-    def segment(self, units: Sequence[str], variants: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pieces of all units in a row, and how many each has."""
+    def segment(
+        self, units: Sequence[str], keys: np.ndarray, log: list | None = None
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces of all units in a row, and how many each has; ``keys`` are what their hashes start from.
+
+        A ``log`` takes the merges of the units that are worked off together, step by step.
+        """
         flat, sizes = self.p.symbols(units)
-        keys = self.keys(flat, sizes, variants)
         which = np.searchsorted(np.array(WIDTHS) - 1, sizes)
         got: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for n in range(len(WIDTHS) + 1):
@@ -257,7 +268,10 @@ class Segmenter:
                 continue
             own = flat[np.repeat(which == n, sizes)]
             if n < len(WIDTHS):
-                got.append((at, *self.together(own, sizes[at], keys[at], WIDTHS[n])))
+                steps: list | None = None if log is None else []
+                got.append((at, *self.together(own, sizes[at], keys[at], WIDTHS[n], steps)))
+                if log is not None:
+                    log.extend((at[rows], terms) for rows, terms in steps)
             else:
                 rows = np.split(own, np.cumsum(sizes[at])[:-1])
                 long = [self.alone(r, int(k)) for r, k in zip(rows, keys[at])]
@@ -274,11 +288,46 @@ class Segmenter:
 
 
 class Encoder:
-    """Texts to pieces, each distinct unit of a document once."""
+    """Texts to pieces; units seen before are worked off anew only where dropout changes them."""
 
-    def __init__(self, path: str, s: DropoutSettings):
-        self.p, self.s = Pieces(path), s
+    def __init__(self, path: str, s: DropoutSettings, known: int = KNOWN):
+        self.p, self.s, self.known = Pieces(path), s, known
         self.segmenter = Segmenter(self.p, s)
+        self.plain = Segmenter(self.p, DropoutSettings(0.0, s.seed))
+        self._empty()
+
+    def _empty(self) -> None:
+        # Unit 0 stands for all that are too long to be kept.
+        self.number: dict[str, int] = {}
+        self.start, self.ids = array("q", [0, 0]), array("i")
+        self.first, self.terms = array("q", [0, 0]), array("Q")
+
+    def _learn(self, units: list[str]) -> None:
+        # Plain pieces of units and the terms of the merges that lead to them.
+        log: list[tuple[np.ndarray, np.ndarray]] = []
+        ids, counts = self.plain.segment(units, np.zeros(len(units), np.uint64), log)
+        rows = np.concatenate([np.zeros(0, np.int64), *[r for r, _ in log]])
+        terms = np.concatenate([np.zeros(0, np.uint64), *[t for _, t in log]])[np.argsort(rows, kind="stable")]
+        merges = np.bincount(rows, minlength=len(units))
+        self.number.update(zip(units, range(len(self.start) - 1, len(self.start) - 1 + len(units))))
+        self.start.frombytes((self.start[-1] + np.cumsum(counts)).astype(np.int64).tobytes())
+        self.first.frombytes((self.first[-1] + np.cumsum(merges)).astype(np.int64).tobytes())
+        self.ids.frombytes(ids.astype(np.int32).tobytes())
+        self.terms.frombytes(terms.tobytes())
+
+    def _changed(self, at: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        # Whether dropout passes over a plain merge of a unit; always for those that are not kept.
+        first, terms = np.frombuffer(self.first, np.int64), np.frombuffer(self.terms, np.uint64)
+        out = at == 0
+        for x in range(0, len(at) if self.segmenter.floor else 0, 4 * UNITS):
+            own = at[x : x + 4 * UNITS]
+            size = first[own + 1] - first[own]
+            ends = np.cumsum(size)
+            spot = np.arange(int(ends[-1])) + np.repeat(first[own] - (ends - size), size)
+            hit = self.segmenter.below(np.repeat(keys[x : x + 4 * UNITS], size), terms[spot])
+            total = np.concatenate([[0], np.cumsum(hit)])
+            out[x : x + 4 * UNITS] |= total[ends] > total[ends - size]
+        return out
 
     def units(self, text: str) -> list[str]:
         """Units of a text: a blank is put in front of it, line ends begin units too."""
@@ -293,24 +342,39 @@ class Encoder:
         """The document's hash."""
         return xxhash.xxh3_64_intdigest(f"{self.s.seed}:{key}".encode())
 
+    def keys(self, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """What the hashes of all units start from: their documents and their numbers there."""
+        ends = np.cumsum(counts)
+        number = np.arange(1, int(counts.sum()) + 1) - np.repeat(ends - counts, counts)
+        with np.errstate(over="ignore"):
+            return mixed(np.repeat(hashes, counts) + number.astype(np.uint64) * np.uint64(_M2))
+
     def encode(self, keys: Sequence, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """Pieces of all texts in a row, and the end of each text's pieces."""
+        if len(self.number) > self.known:
+            self._empty()
         hashes = np.array([self.variant(k) for k in keys], np.uint64)
         split = [self.units(t) for t in texts]
-        own = [list(dict.fromkeys(units)) for units in split]
-        many = np.fromiter(map(len, own), np.int64, len(own))
-        units = list(chain.from_iterable(own))
-        of = np.repeat(hashes, many)
-        made = [self.segmenter.segment(units[x : x + UNITS], of[x : x + UNITS]) for x in range(0, len(units), UNITS)]
-        flat = np.concatenate([np.zeros(0, np.int32), *[ids for ids, _ in made]])
-        start = np.concatenate([[0], *[sizes for _, sizes in made]]).astype(np.int64).cumsum()
         counts = np.fromiter(map(len, split), np.int64, len(split))
-        places = chain.from_iterable(
-            map(dict(zip(known, range(x, x + len(known)))).__getitem__, units)
-            for x, known, units in zip((many.cumsum() - many).tolist(), own, split)
-        )
-        at = np.fromiter(places, np.int64, int(counts.sum()))
+        units = list(chain.from_iterable(split))
+        # Characters may become four bytes each; the widest arrays then still hold a unit that is kept.
+        new = [u for u in dict.fromkeys(units) if u not in self.number and len(u) < WIDTHS[-1] // 4]
+        for x in range(0, len(new), UNITS):
+            self._learn(new[x : x + UNITS])
+        at = np.fromiter((self.number.get(u, 0) for u in units), np.int64, len(units))
+        each = self.keys(hashes, counts)
+        other = np.flatnonzero(self._changed(at, each))
+        made = [
+            self.segmenter.segment([units[i] for i in part.tolist()], each[part])
+            for part in (other[x : x + UNITS] for x in range(0, len(other), UNITS))
+        ]
+        start = np.frombuffer(self.start, np.int64)
+        kept = np.frombuffer(self.ids, np.int32)
         first, size = start[at], start[at + 1] - start[at]
+        if made:
+            own = np.concatenate([sizes for _, sizes in made])
+            size[other], first[other] = own, len(kept) + np.cumsum(own) - own
+        flat = np.concatenate([kept, *[ids for ids, _ in made]])
         ends = np.cumsum(size)
         total = int(ends[-1]) if len(ends) else 0
         ids = flat[np.arange(total) + np.repeat(first - (ends - size), size)]

@@ -227,25 +227,53 @@ def test_merge_dropout_of_rate_zero_is_the_plain_model(texts):
 def test_merge_dropout_agenda_and_arrays_agree():
     enc = pieces.Encoder(token_files.vocabulary("piece_bpe_32k.model"), pieces.DropoutSettings(rate=0.3))
     units = [u for t in ODD + [prose(2, 80)] for u in enc.units(t)]
-    variants = np.arange(len(units)) % 4
+    keys = pieces.mixed(np.arange(len(units), dtype=np.uint64))
     flat, sizes = enc.p.symbols(units)
-    keys = enc.segmenter.keys(flat, sizes, variants)
-    got, counts = enc.segmenter.segment(units, variants)
+    got, counts = enc.segmenter.segment(units, keys)
     rows = np.split(flat, np.cumsum(sizes)[:-1])
     alone = [enc.segmenter.alone(r, int(k)) for r, k in zip(rows, keys)]
     assert [g.tolist() for g in np.split(got, np.cumsum(counts)[:-1])] == alone
 
 
+def by_agenda(enc, key, text):
+    """Pieces of a text, one unit at a time by the agenda."""
+    units = enc.units(text)
+    keys = enc.keys(np.array([enc.variant(key)], np.uint64), np.array([len(units)]))
+    return [i for u, k in zip(units, keys) for i in enc.segmenter.alone(enc.p.symbols([u])[0], int(k))]
+
+
+@pytest.mark.parametrize("rate", [0.02, 0.1, 0.5, 1.0])
+def test_merge_dropout_of_kept_units_is_that_of_the_agenda(rate):
+    # A store of few units starts anew several times.
+    enc = pieces.Encoder(token_files.vocabulary("piece_bpe_32k.model"), pieces.DropoutSettings(rate=rate), known=60)
+    group = [*ODD, prose(3, 200), "word " * 50 + "x" * 300, "\U0001f600" * 20, "moderation " * 40, prose(4, 60), *random_texts(60, 3)]
+    for at in range(0, len(group), 7):
+        part = group[at : at + 7]
+        ids, ends = enc.encode(range(at, at + len(part)), part)
+        for n, (text, own) in enumerate(zip(part, np.split(ids, ends[:-1]))):
+            assert own.tolist() == by_agenda(enc, at + n, text), repr(text)
+
+
+def test_merge_dropout_draws_for_every_place_of_a_word():
+    enc = pieces.Encoder(token_files.vocabulary("piece_bpe_32k.model"), pieces.DropoutSettings())
+    ids, ends = enc.encode([7], ["moderation " * 500])
+    units, at = [], 0
+    for unit in enc.units("moderation " * 500)[:500]:
+        size, spelled = 0, b""
+        while len(spelled) < len(unit):
+            spelled += enc.p.decode_bytes(ids[at + size : at + size + 1]).tobytes()
+            size += 1
+        units.append(tuple(ids[at : at + size].tolist()))
+        at += size
+    assert len(set(units)) > 20
+
+
 def test_merge_dropout_on_the_table(spark, folder, texts):
     rows = {r["doc_id"]: r for r in QUERIES["op4_merge_dropout"].run(spark, folder).collect()}
     assert sorted(rows) == [k for k, _ in texts] and all(r["lossless"] for r in rows.values())
     enc = pieces.Encoder(token_files.vocabulary("piece_bpe_32k.model"), pieces.DropoutSettings())
     for key, text in texts[:40]:
-        # One unit at a time by the agenda.
-        ids = []
-        for unit in enc.units(text):
-            flat, sizes = enc.p.symbols([unit])
-            ids += enc.segmenter.alone(flat, int(enc.segmenter.keys(flat, sizes, np.array([enc.variant(key)]))[0]))
+        ids = by_agenda(enc, key, text)
         assert (rows[key]["n_tokens"], rows[key]["ids_crc32"]) == (len(ids), crc(ids))
 
 
