@@ -24,7 +24,11 @@ def most_frequent(counts: DataFrame, count_col: str, ties: Sequence[Column], k:
     where they are, so that little more than ``k`` rows meet. The counts are written to the
     shared folder, as they are read twice and come from a pass over all texts.
     """
-    counts = checkpointed(counts)
+    return most_frequent_of(checkpointed(counts), count_col, ties, k)
+
+
+def most_frequent_of(counts: DataFrame, count_col: str, ties: Sequence[Column], k: int) -> DataFrame:
+    """``most_frequent`` of counts that are written already."""
     hist = counts.groupBy(count_col).agg(F.count("*").alias("_m"))
     falling = Window.orderBy(F.col(count_col).desc())  # one row per distinct count
     enough = hist.withColumn("_cum", F.sum("_m").over(falling)).filter(F.col("_cum") >= k)

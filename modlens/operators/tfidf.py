@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from modlens.functions import text as tx
 from modlens.functions.arrays import let, literal, string_array
-from modlens.operators.ranking import most_frequent
+from modlens.operators.frequent import frequent_terms
 
 
 def strip_accents(text: Column) -> Column:
@@ -57,10 +57,13 @@ def term_frequencies(terms_col: Column) -> Column:
 
 
 def vocabulary(df: DataFrame, text_col: str = "text", max_features: int = 10_000) -> DataFrame:
-    """The most frequent terms: term, total, df; ties by term."""
+    """The most frequent terms: term, total, df; ties by term.
+
+    The texts are read twice: for sums of hash slots, then for exact counts of the terms that can be
+    among the first. Hand in written ones.
+    """
     pairs = df.select(F.explode(term_frequencies(terms(F.col(text_col)))).alias("t"))
-    counts = pairs.groupBy("t.term").agg(F.sum("t.tf").alias("total"), F.count("*").alias("df"))
-    return most_frequent(counts, "total", [F.col("term")], max_features)
+    return frequent_terms(pairs.select("t.term", "t.tf"), max_features)
 
 
 @dataclass(frozen=True)

@@ -13,7 +13,7 @@ FEATURES = 10_000
 
 def tfidf_vocabulary(spark, folder):
     """The most frequent unigrams and bigrams; the limit is the vocabulary size."""
-    return tfidf.vocabulary(cleaned(spark, folder), max_features=FEATURES)
+    return tfidf.vocabulary(checkpointed(cleaned(spark, folder)), max_features=FEATURES)
 
 
 def tfidf_weights(spark, folder):
