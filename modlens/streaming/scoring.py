@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from modlens.session import dealt
 from modlens.sources.manifest import is_there, put_entry
 
 Step = Callable[[DataFrame], DataFrame]
@@ -31,13 +32,15 @@ def write_batch(batch: DataFrame, batch_id: int, folder: str) -> bool:
     return True
 
 
-def score_stream(stream: DataFrame, steps: list[Step], folder: str, progress: str) -> StreamingQuery:
+def score_stream(stream: DataFrame, steps: list[Step], folder: str, progress: str, key: str = "doc_id") -> StreamingQuery:
     """What has arrived, through all steps (features, vectors, forests), written batch by batch.
 
-    Steps see one batch as a static frame, so they may join and aggregate inside it.
+    Steps see one batch as a static frame, so they may join and aggregate inside it. A batch's rows
+    are dealt over all cores first: one of a single file would otherwise be scored by one task.
     """
 
     def one(batch: DataFrame, batch_id: int) -> None:
+        batch = dealt(batch, key)
         for step in steps:
             batch = step(batch)
         write_batch(batch, batch_id, folder)
