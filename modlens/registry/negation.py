@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from modlens import lexicons as lx
 from modlens.functions import negation as ng
 from modlens.operators import identity as op
-from modlens.operators.normalise import normalise, toxic_with_identity
+from modlens.operators.normalise import clean_comments, normalise, toxic_with_identity
 from modlens.operators.ranking import top_k
 from modlens.registry.identity import LABELLED, SQL_COUNTS, SQL_TOTAL, STOP_WORDS
 from modlens.registry.inputs import (
-    CLEANED, SQL_SPACE, Query, cleaned, quoted, sql_in, sql_tokens, with_labels,
+    CLEANED, SQL_SPACE, Query, cleaned, comments, quoted, sql_in, sql_tokens, with_labels,
 )
 
 TERMS = lx.distinct_terms(lx.IDENTITY_TERMS)
@@ -29,13 +29,13 @@ def mark_negation_lower(spark, folder):
 
 
 def polarity(spark, folder):
-    df = cleaned(spark, folder).select("doc_id", ng.polarity(F.col("text"), TERMS).alias("p"))
+    df = cleaned(spark, folder, spread=True).select("doc_id", ng.polarity(F.col("text"), TERMS).alias("p"))
     return df.select("doc_id", "p.*")
 
 
 def normalise_table(spark, folder):
     """Normalised text with the polarity columns."""
-    return normalise(cleaned(spark, folder)).drop("text")
+    return normalise(cleaned(spark, folder, spread=True)).drop("text")
 
 
 def polarity_by_class(spark, folder):
@@ -48,10 +48,10 @@ def polarity_by_class(spark, folder):
 
 def toxic_identity_sample(spark, folder):
     """The first five toxic comments with identity terms and their polarity columns."""
-    counts = op.identity_columns(cleaned(spark, folder)).select("doc_id", "identity_term_count")
+    counts = op.identity_columns(cleaned(spark, folder, spread=True)).select("doc_id", "identity_term_count")
     first = top_k(toxic_with_identity(with_labels(counts, spark, folder)), [F.col("doc_id")], 5)
-    # Five rows, which meet their texts.
-    texts = cleaned(spark, folder).join(F.broadcast(first), "doc_id")
+    # Five rows, which meet their texts before these are cleaned.
+    texts = clean_comments(comments(spark, folder).join(F.broadcast(first), "doc_id"))
     out = normalise(texts)
     return out.select("doc_id", "identity_term_count", "normalized_text", *ng.POLARITY_COLUMNS)
 
