@@ -97,7 +97,7 @@ def tokenise(spark, folder):
 
 
 def sentence_split(spark, folder):
-    return cleaned(spark, folder).select("doc_id", F.explode(tx.sentences(F.col("text"))).alias("sentence"))
+    return cleaned(spark, folder, spread=True).select("doc_id", F.explode(tx.sentences(F.col("text"))).alias("sentence"))
 
 
 def corpus_words(spark, folder):

@@ -99,7 +99,7 @@ def tagged_counts(spark, folder):
 
 
 def tagged_syntax(spark, folder):
-    df = tagged(cleaned(spark, folder))
+    df = tagged(cleaned(spark, folder, spread=True))
     cols = ft.syntax_features(F.col("tagged"))
     return _rounded(df.select("doc_id", *[c.alias(n) for n, c in cols.items()]))
 
@@ -117,7 +117,7 @@ def tagged_by_function(spark, folder):
 
         return tag
 
-    df = tag_texts(cleaned(spark, folder), load)
+    df = tag_texts(cleaned(spark, folder, spread=True), load)
     cols = ft.syntax_features(F.col("tagged"))
     return _rounded(
         df.select(
@@ -130,7 +130,7 @@ def tagged_by_function(spark, folder):
 def engineered(spark, folder):
     """Linguistic, bias and the first TF-IDF columns of the cleaned comments."""
     df = engineered_features(
-        cleaned(spark, folder), "text", lx.IDENTITY_TERMS, max_features=FEATURES
+        cleaned(spark, folder, spread=True), "text", lx.IDENTITY_TERMS, max_features=FEATURES
     )
     return _rounded(
         df.select(
@@ -158,7 +158,7 @@ def first_of_class_features(spark, folder):
 
 def full_feature_table(spark, folder):
     """All model inputs of the manual forest, without a tagger."""
-    df = feature_table(comments(spark, folder))
+    df = feature_table(comments(spark, folder, spread=True))
     return _rounded(df.select("doc_id", *lx.FEATURE_COLUMNS))
 
 

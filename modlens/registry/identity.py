@@ -43,7 +43,7 @@ def identity_columns(spark, folder):
 
 def identity_sentiment(spark, folder):
     """The mean context sentiment with the lexicon score."""
-    out = op.identity_columns(cleaned(spark, folder), sentiment=idf.lexicon_sentiment())
+    out = op.identity_columns(cleaned(spark, folder, spread=True), sentiment=idf.lexicon_sentiment())
     return out.select("doc_id", F.round("identity_context_sentiment", 6).alias("sentiment"))
 
 

@@ -15,7 +15,7 @@ from modlens.registry.inputs import (
     sql_expanded,
     with_labels,
 )
-from modlens.session import run_dir
+from modlens.session import dealt, run_dir
 from modlens.sources.tables import (
     comment_schema, load_processed, read_comments, read_comments_apart, read_substitutions, save_processed,
     small_table, write_csv,
@@ -91,7 +91,7 @@ def dictionary_from_file(spark, folder):
 
 def stream_enrich(spark, folder):
     """The documents as a stream, enriched with all text columns and appended as Parquet."""
-    out = enrich(commented(document_stream(spark, folder)))
+    out = enrich(commented(dealt(document_stream(spark, folder), "doc_id")))
     path = run_dir(spark, "enriched")
     query = write_available(out.select("doc_id", *lx.FEATURE_COLUMNS), path, run_dir(spark, "progress"))
     query.awaitTermination()

@@ -13,11 +13,11 @@ FEATURES = 10_000
 
 def tfidf_vocabulary(spark, folder):
     """The most frequent unigrams and bigrams; the limit is the vocabulary size."""
-    return tfidf.vocabulary(checkpointed(cleaned(spark, folder)), max_features=FEATURES)
+    return tfidf.vocabulary(checkpointed(cleaned(spark, folder, spread=True)), max_features=FEATURES)
 
 
 def tfidf_weights(spark, folder):
-    docs = checkpointed(cleaned(spark, folder))
+    docs = checkpointed(cleaned(spark, folder, spread=True))
     model = tfidf.fit_tfidf(docs, max_features=FEATURES)
     return model.long(docs).withColumn("weight", F.round("weight", 6))
 
@@ -34,7 +34,7 @@ def tfidf_heavy_block(spark, folder):
 
 def _block(spark, folder, by):
     # Fit, weights and block all read the cleaned texts, so they are written once.
-    docs = checkpointed(cleaned(spark, folder))
+    docs = checkpointed(cleaned(spark, folder, spread=True))
     wide = tfidf.fit_tfidf(docs, max_features=FEATURES).block(docs, 100, by=by)
     names = [f"tfidf_{i}" for i in range(100)]
     total = F.aggregate(F.array(*names), F.lit(0.0), lambda a, x: a + x)
