@@ -1,14 +1,16 @@
 """Cleaning and tokenising of text columns.
 
-All functions take and return columns and run inside the JVM. NULL in gives NULL out, but
+All functions take and return columns and run inside the JVM, but for the shorthand of ASCII texts. NULL in gives NULL out, but
 for the count functions used as features, which say so.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -200,11 +202,53 @@ def expand_all(
     )
 
 
+def _between_edges(key: str) -> str:
+    # A word's edge before or behind a word character, none before or behind another character.
+    first, last = (r"\b" if re.match(r"\w", c, re.ASCII) else r"\B" for c in (key[0], key[-1]))
+    return first + re.sub(r"([^A-Za-z0-9_])", r"\\\1", key) + last
+
+
+def expand_ascii(
+    text: Column, passes: Sequence[Sequence[tuple[str, str]]] = lx.SUBSTITUTION_PASSES
+) -> Column:
+    """``expand_all`` of texts that hold printable ASCII and blanks only, in Arrow batches.
+
+    Arrow's automata read a text once, however many keys there are, and set marks around the keys found.
+    Keys with other characters cannot be in such a text; values with others go the way of ``expand_all``.
+    """
+    plain = re.compile(r"[\t-\r -~]+")
+    tables = [{k: v for k, v in dict(entries).items() if plain.fullmatch(k)} for entries in passes]
+    tables = [t for t in tables if t]
+    if not tables:
+        return text
+    if not all(plain.fullmatch(v) or not v for t in tables for v in t.values()):
+        return expand_all(text, passes)
+    # Alternatives stand in the order of the entries, so that the earlier one wins.
+    steps = [("|".join(map(_between_edges, t)), t) for t in tables]
+
+    @F.arrow_udf("string")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for keys, table in steps:
+                found = pc.fill_null(pc.match_substring_regex(batch, keys), False)
+                if not pc.any(found).as_py():
+                    continue
+                marked = pc.replace_substring_regex(batch.filter(found), keys, "\x01\\0\x01").to_pylist()
+                for n, t in enumerate(marked):
+                    parts = t.split("\x01")
+                    parts[1::2] = [table[k] for k in parts[1::2]]
+                    marked[n] = "".join(parts)
+                batch = pc.replace_with_mask(batch, found, pa.array(marked, batch.type))
+            yield batch
+
+    return run(text)
+
+
 def clean(
     text: Column, passes: Sequence[Sequence[tuple[str, str]]] = lx.SUBSTITUTION_PASSES
 ) -> Column:
     """The cleaning chain: links, addresses, non-ASCII characters, shorthand."""
-    return expand_all(keep_printable(remove_emails(remove_urls(text))), passes)
+    return expand_ascii(keep_printable(remove_emails(remove_urls(text))), passes)
 
 
 # -- splitting ----------------------------------------------------------------------------
