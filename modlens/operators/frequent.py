@@ -8,6 +8,8 @@ themselves, no other term can be among the first. Otherwise all terms are counte
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,12 +61,22 @@ def frequent_terms(pairs: DataFrame, k: int, slots: int | None = None) -> DataFr
     terms all are returned; without rows the result is empty.
     """
     slots = slots or slot_rows(k)
-    sums = checkpointed(slot_sums(pairs, slots))
+    return first_terms(
+        k, slots, slot_sums(pairs, slots), lambda sums, floor: term_counts(reaching(pairs, sums, slots, floor) if floor else pairs)
+    )
+
+
+def first_terms(
+    k: int, slots: int, sums: DataFrame, counts_from: Callable[[DataFrame, int], DataFrame]
+) -> DataFrame:
+    """The ``k`` terms of greatest total by slot sums and a function that counts the terms whose slots
+    both reach a floor, or all of them for the floor 0."""
+    sums = checkpointed(sums)
     kth = sums.filter(F.col("slot") < slots).orderBy(F.col("total").desc()).offset(k - 1).limit(1).first()
     # A slot holds rare terms besides a frequent one, so the floor stays below the slot's sum.
     floor = kth["total"] // 2 if kth else 0
     if floor > 1:
-        counts = checkpointed(term_counts(reaching(pairs, sums, slots, floor)))
+        counts = checkpointed(counts_from(sums, floor))
         if counts.filter(F.col("total") >= floor).limit(k).count() == k:
             return most_frequent_of(counts, "total", [F.col("term")], k)
-    return most_frequent_of(checkpointed(term_counts(pairs)), "total", [F.col("term")], k)
+    return most_frequent_of(checkpointed(counts_from(sums, 0)), "total", [F.col("term")], k)

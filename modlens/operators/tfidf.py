@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.ml.feature import CountVectorizerModel
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from modlens.functions import text as tx
-from modlens.functions.arrays import let, literal, string_array
-from modlens.operators.frequent import frequent_terms
+from modlens.functions.arrays import let, string_array
+from modlens.operators.frequent import first_terms, slot_rows
+from modlens.operators.term_batches import Vocabulary, slot_counter, steps, term_counter
+
+_WEIGHTS = pa.struct([("indices", pa.list_(pa.int32())), ("weights", pa.list_(pa.float64()))])
 
 
 def strip_accents(text: Column) -> Column:
@@ -23,37 +28,24 @@ def strip_accents(text: Column) -> Column:
         )
         if len(base) == 1 and base != chr(code):
             pairs[chr(code)] = base
-    plain = F.translate(text, "".join(pairs), "".join(pairs.values()))
-    return F.regexp_replace(plain, r"[̀-ͯ]+", "")
 
+    def cut(t: Column) -> Column:
+        plain = F.translate(t, "".join(pairs), "".join(pairs.values()))
+        # ASCII, as many characters as bytes, has neither; the search would look up every character.
+        return F.when(F.octet_length(t) == F.char_length(t), t).otherwise(
+            F.regexp_replace(plain, r"[̀-ͯ]+", "")
+        )
 
-def terms(text: Column, low: int = 1, high: int = 2) -> Column:
-    """n-grams of the lower-cased words of two or more characters."""
-    base = strip_accents(F.lower(text))
-    return tx.ngrams(F.regexp_extract_all(base, F.lit(f"{tx.WORD}{{2,}}"), F.lit(0)), low, high)
+    return let(text, cut)
 
 
-def term_frequencies(terms_col: Column) -> Column:
-    """(term, tf) pairs of one text: sort the terms, then measure the runs."""
+def _base(text: Column) -> Column:
+    return strip_accents(F.lower(text))
 
-    def runs(s: Column) -> Column:
-        last = F.size(s) - 1
-        starts = F.filter(
-            F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
-            lambda i: (last >= 0) & ((i == 0) | (s[i] != s[F.greatest(i - 1, F.lit(0))])),
-        )
-        return let(
-            starts,
-            lambda b: F.transform(
-                b,
-                lambda at, j: F.struct(
-                    s[at].alias("term"),
-                    (F.coalesce(F.get(b, j + 1), F.size(s)) - at).alias("tf"),
-                ),
-            ),
-        )
 
-    return let(F.sort_array(terms_col), runs)
+def terms(text: Column, low: int = 1, high: int = 2) -> Column:
+    """n-grams of the lower-cased words of two or more characters."""
+    return tx.ngrams(F.regexp_extract_all(_base(text), F.lit(f"{tx.WORD}{{2,}}"), F.lit(0)), low, high)
 
 
 def vocabulary(df: DataFrame, text_col: str = "text", max_features: int = 10_000) -> DataFrame:
@@ -62,8 +54,23 @@ def vocabulary(df: DataFrame, text_col: str = "text", max_features: int = 10_000
     The texts are read twice: for sums of hash slots, then for exact counts of the terms that can be
     among the first. Hand in written ones.
     """
-    pairs = df.select(F.explode(term_frequencies(terms(F.col(text_col)))).alias("t"))
-    return frequent_terms(pairs.select("t.term", "t.tf"), max_features)
+    texts = df.select(_base(F.col(text_col)).alias("t"))
+    slots = slot_rows(max_features)
+
+    def counted(sums: DataFrame, floor: int) -> DataFrame:
+        heavy = None
+        if floor:
+            # At most 2 x slots bits, which the number of terms asked for bounds.
+            marks = np.zeros(2 * slots, bool)
+            marks[[r["slot"] for r in sums.filter(F.col("total") >= floor).collect()]] = True
+            heavy = np.packbits(marks).tobytes()
+        parts = texts.mapInArrow(term_counter(slots, heavy), "term string, total long, df long")
+        return parts.groupBy("term").agg(F.sum("total").alias("total"), F.sum("df").alias("df"))
+
+    sums = texts.mapInArrow(slot_counter(slots), "slot long, total long")
+    return first_terms(
+        max_features, slots, sums.groupBy("slot").agg(F.sum("total").alias("total")), counted
+    )
 
 
 @dataclass(frozen=True)
@@ -78,23 +85,24 @@ class TfidfModel:
 
         No shuffle: terms are looked up in the vocabulary, which travels with the task.
         """
-        counter = CountVectorizerModel.from_vocabulary(
-            self.vocabulary, inputCol="_terms", outputCol="_tf"
-        )
-        counted = counter.transform(df.withColumn("_terms", terms(F.col(text_col))))
-        idf = literal(self.idf, "array<double>")
-        sparse = F.unwrap_udt(F.col("_tf"))
-        scaled = F.zip_with(
-            sparse["indices"], sparse["values"], lambda i, v: (1 + F.log(v)) * F.get(idf, i)
-        )
-        norm = F.sqrt(F.aggregate("_w", F.lit(0.0), lambda a, w: a + w * w))
-        # Weights are positive, so the norm is 0 for an empty row only.
-        unit = let(norm, lambda n: F.transform("_w", lambda w: w / n))
-        return (
-            counted.withColumns({"indices": sparse["indices"], "_w": scaled})
-            .withColumn("weights", unit)
-            .drop("_terms", "_tf", "_w")
-        )
+        made = Vocabulary(self.vocabulary, self.idf)
+
+        @F.arrow_udf("indices array<int>, weights array<double>")
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for batch in batches:
+                parts = []
+                for texts in steps(batch):
+                    doc, term, weight = made.weights(texts)
+                    ends = np.cumsum(np.bincount(doc, minlength=len(texts)))
+                    at = pa.array(np.concatenate([[0], ends]), pa.int32())
+                    lists = [
+                        pa.ListArray.from_arrays(at, v) for v in (pa.array(term, pa.int32()), pa.array(weight))
+                    ]
+                    parts.append(pa.StructArray.from_arrays(lists, ["indices", "weights"]))
+                yield pa.concat_arrays(parts) if parts else pa.array([], _WEIGHTS)
+
+        out = df.withColumn("_s", run(_base(F.col(text_col))))
+        return out.select(*[F.col(c) for c in df.columns], "_s.indices", "_s.weights")
 
     def long(self, df: DataFrame, text_col: str = "text", key: str = "doc_id") -> DataFrame:
         """One row per document and term: key, term, weight."""
@@ -130,17 +138,25 @@ class TfidfModel:
         if by == "idf":
             ranked = sorted(range(len(self.idf)), key=lambda i: (-self.idf[i], self.vocabulary[i]))
             chosen = ranked[: len(chosen)]
-        weighted = self.weights(df, text_col)
-        keep = F.filter(
-            F.arrays_zip("indices", "weights"), lambda p: p["indices"].isin(chosen)
-        )
-        table = weighted.withColumn("_at", F.map_from_entries(keep)).drop("indices", "weights")
-        cols = {
-            f"tfidf_{n}": F.coalesce(F.try_element_at("_at", F.lit(i)), F.lit(0.0))
-            for n, i in enumerate(chosen)
-        }
-        cols |= {f"tfidf_{n}": F.lit(0.0) for n in range(len(chosen), width)}
-        return table.withColumns(cols).drop("_at")
+        made, n = Vocabulary(self.vocabulary, self.idf), max(len(self.idf), 1)
+        place = np.full(n, -1)
+        place[chosen] = np.arange(len(chosen))
+
+        @F.arrow_udf("array<double>")
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for batch in batches:
+                rows = [np.zeros((0, width))]
+                for texts in steps(batch):
+                    doc, term, weight = made.weights(texts)
+                    rows.append(np.zeros((len(texts), width)))
+                    kept = place[term] >= 0
+                    rows[-1][doc[kept], place[term[kept]]] = weight[kept]
+                cells = np.concatenate(rows)
+                at = pa.array(np.arange(len(cells) + 1) * width, pa.int32())
+                yield pa.ListArray.from_arrays(at, pa.array(cells.ravel()))
+
+        table = df.withColumn("_row", run(_base(F.col(text_col))))
+        return table.withColumns({f"tfidf_{i}": F.get("_row", F.lit(i)) for i in range(width)}).drop("_row")
 
 
 def fit_tfidf(df: DataFrame, text_col: str = "text", max_features: int = 10_000) -> TfidfModel:

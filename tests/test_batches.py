@@ -1,12 +1,15 @@
 """Steps on every word of a corpus run over whole Arrow batches and give the rows of the plain ones."""
 
 import random
+from collections import Counter
 
+import pyarrow as pa
 from conftest import table
 from pyspark.sql import functions as F
 
 from modlens import lexicons as lx
 from modlens.functions import text as tx
+from modlens.operators import term_batches, tfidf
 
 T = F.col("text")
 
@@ -35,3 +38,28 @@ def test_cleaning_reads_a_text_once_for_all_keys(spark):
     plan = table(spark, ["idk"]).select(tx.clean(T))._jdf.queryExecution().optimizedPlan().toString()
     # The JVM's search tries the keys one by one at every word.
     assert "ArrowEvalPython" in plan and "ratchet" not in plan and "armageddon" not in plan
+
+
+def test_terms_of_batches_are_those_of_the_column_expression(spark):
+    texts = [*mixed_texts(60), "Naïve élan É é naïve élan", "a bb ccc", "日本 x_y 9 99 x_y", "ée é", "ſß bb·cc", "bb"]
+    want = Counter()
+    for r in table(spark, texts).select(F.array_compact(tfidf.terms(T)).alias("t")).collect():
+        want.update(r["t"] or [])
+    got = tfidf.vocabulary(table(spark, texts).repartition(3), max_features=10**4).collect()
+    assert {r["term"]: r["total"] for r in got} == want and len(got) == len(want)
+
+
+def test_steps_cut_a_batch_without_loss(monkeypatch):
+    texts = [f"word{n} bb" for n in range(50)] + [None, ""]
+    whole = term_batches.Terms(next(term_batches.steps(pa.array(texts))))
+    monkeypatch.setattr(term_batches, "STEP", 40)
+    parts = list(term_batches.steps(pa.array(texts)))
+    assert len(parts) > 5 and sum(map(len, parts)) == 52
+    assert sum(len(term_batches.Terms(p).word) for p in parts) == len(whole.word) == 100
+
+
+def test_no_term_of_a_text_is_made_outside_batches(spark, folder):
+    docs = table(spark, ["a common word", "common word order"])
+    plan = tfidf.fit_tfidf(docs, max_features=5).weights(docs)._jdf.queryExecution().optimizedPlan().toString()
+    # The JVM made, sorted and compared every bigram one by one.
+    assert "ArrowEvalPython" in plan and "regexp_extract_all" not in plan
