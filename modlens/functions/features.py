@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 import string
 from collections.abc import Sequence
 
@@ -189,16 +191,15 @@ def near_attack_ratio(text: Column, window: int = 3) -> Column:
 
 def tag_count(toks: Column, pos: str) -> Column:
     """Number of tokens with a part-of-speech tag."""
-    return F.size(F.filter(toks, lambda t: t["pos"] == pos))
+    # No lambda: array functions run compiled over the whole array.
+    return F.size(toks["pos"]) - F.size(F.array_remove(toks["pos"], pos))
 
 
 def dependency_distance(toks: Column) -> Column:
     """Mean distance of the tokens to their heads, roots left out; 0 if there are none."""
-    far = F.filter(toks, lambda t: t["head"] != t["i"])
-    return let(
-        F.transform(far, lambda t: F.abs(t["i"] - t["head"])),
-        lambda d: ratio(array_total(d), F.size(d)),
-    )
+    # A root's distance is 0.
+    far = F.transform(toks, lambda t: F.coalesce(F.abs(t["i"] - t["head"]), F.lit(0)))
+    return let(far, lambda d: ratio(array_total(d), F.size(F.array_remove(d, 0))))
 
 
 def personal_attack_score(toks: Column) -> Column:
@@ -208,21 +209,27 @@ def personal_attack_score(toks: Column) -> Column:
     )
     you = F.filter(toks, lambda t: F.lower(t["text"]).isin(lx.SECOND_PERSON_WORDS))
     hit = F.size(F.array_intersect(you["i"], attackers["head"]))
-    return ratio(hit, F.size(toks))
+    # Tokens are looked at one by one only where the text holds words of both kinds at all.
+    both = let(
+        F.lower(F.array_join(toks["text"], " ")),
+        lambda low: _holds(low, lx.SECOND_PERSON_WORDS) & _holds(low, lx.AGGRESSIVE_WORDS),
+    )
+    return ratio(F.when(both, hit).otherwise(F.lit(0)), F.size(toks))
+
+
+def _holds(text: Column, words: Sequence[str]) -> Column:
+    # A word that holds another one of the list need not be searched for.
+    least = [w for w in words if not any(v != w and v in w for v in words)]
+    return functools.reduce(operator.or_, [F.contains(text, F.lit(w)) for w in least])
 
 
 def imperative_count(toks: Column) -> Column:
     """Number of sentences whose first token is a verb."""
-    # A sentence begins where its number differs from that of the token before.
-    before = F.concat(F.array(F.lit(None).cast("int")), toks["sent"])
-    return F.aggregate(
-        F.zip_with(
-            toks, F.slice(before, F.lit(1), F.size(toks)),
-            lambda t, b: ((t["pos"] == "VERB") & ~t["sent"].eqNullSafe(b)).cast("int"),
-        ),
-        F.lit(0),
-        lambda a, x: a + x,
+    # A sentence begins where its number differs from that of the token before; verbs are few.
+    starts = F.filter(
+        toks, lambda t, i: (t["pos"] == "VERB") & ~t["sent"].eqNullSafe(F.get(toks, i - 1)["sent"])
     )
+    return F.size(starts)
 
 
 def pos_counts(toks: Column) -> dict[str, Column]:

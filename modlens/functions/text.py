@@ -290,6 +290,22 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(let(text, apart), F.lit(_TOKEN), F.lit(0))
 
 
+def tokens_ascii(text: Column) -> Column:
+    """``tokens`` of texts that hold printable ASCII and blanks only, in Arrow batches."""
+    apart = [r"\b([cC][aA][nN])([nN][oO][tT])\b", r"(\w)([nN]'[tT])\b"]
+    sign = rf"\b[nN]'[tT]\b|\b(?:{TITLES})\.|'(?i:s|re|ve|ll|d|m)\b|[^\w\t-\r ]"
+
+    @F.arrow_udf("array<string>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for pattern in apart:
+                batch = pc.replace_substring_regex(batch, pattern, r"\1 \2")
+            # Only what is no plain word is set apart; blanks part the rest.
+            yield pc.ascii_split_whitespace(pc.replace_substring_regex(batch, sign, r" \0 "))
+
+    return F.array_remove(run(text), "")
+
+
 def _sentence_marked(text: Column) -> Column:
     # The full stop of a title does not end a sentence.
     guarded = F.regexp_replace(text, rf"(?<!{WORD})({TITLES})\.", "$1\x02")

@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from modlens.functions.features import TAGGED_TYPE
 
 # For a batch of texts, per text a list of (i, text, pos, head, sent).
+_FIELDS = [
+    pa.field("i", pa.int32()), pa.field("text", pa.string()), pa.field("pos", pa.string()),
+    pa.field("head", pa.int32()), pa.field("sent", pa.int32()),
+]
 Tagger = Callable[[list[str]], list[list[tuple[int, str, str, int, int]]]]
 
 
@@ -26,21 +31,30 @@ def tag_texts(
     Blank and NULL texts have no tokens and do not reach the tagger.
     """
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = load_tagger()
-        fields = ("i", "text", "pos", "head", "sent")
         for part in parts:
-            for at in range(0, len(part), batch_size):
-                rows = part.iloc[at : at + batch_size]
-                texts = ["" if t is None else t for t in rows["_t"]]
+            for at in range(0, part.num_rows, batch_size):
+                rows = part.slice(at, batch_size)
+                texts = ["" if t is None else t for t in rows.column("_t").to_pylist()]
                 full = [n for n, t in enumerate(texts) if t.strip()]
-                tagged: list[list[dict]] = [[] for _ in texts]
+                sizes = [0] * len(texts)
+                # Fields of all tokens one after another, as Arrow keeps them.
+                fields: list[list] = [[] for _ in _FIELDS]
                 found = tagger([texts[n] for n in full]) if full else []
                 for n, toks in zip(full, found):
-                    tagged[n] = [dict(zip(fields, tok)) for tok in toks]
-                yield pd.DataFrame({"_k": rows["_k"].to_numpy(), "tagged": tagged})
+                    sizes[n] = len(toks)
+                    for values, more in zip(fields, zip(*toks)):
+                        values += more
+                tokens = pa.StructArray.from_arrays(
+                    [pa.array(v, f.type) for v, f in zip(fields, _FIELDS)], fields=_FIELDS
+                )
+                ends = pa.array([0, *accumulate(sizes)], pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column("_k"), pa.ListArray.from_arrays(ends, tokens)], ["_k", "tagged"]
+                )
 
     key_type = df.schema[key].dataType.simpleString()
     pairs = df.select(F.col(key).alias("_k"), F.col(text_col).alias("_t"))
-    out = pairs.mapInPandas(run, f"_k {key_type}, tagged {TAGGED_TYPE}")
+    out = pairs.mapInArrow(run, f"_k {key_type}, tagged {TAGGED_TYPE}")
     return out.withColumnRenamed("_k", key)

@@ -8,8 +8,10 @@ from conftest import table
 from pyspark.sql import functions as F
 
 from modlens import lexicons as lx
+from modlens.functions import features as ft
 from modlens.functions import text as tx
 from modlens.operators import term_batches, tfidf
+from modlens.sources.taggers import tag_texts
 
 T = F.col("text")
 
@@ -63,3 +65,29 @@ def test_no_term_of_a_text_is_made_outside_batches(spark, folder):
     plan = tfidf.fit_tfidf(docs, max_features=5).weights(docs)._jdf.queryExecution().optimizedPlan().toString()
     # The JVM made, sorted and compared every bigram one by one.
     assert "ArrowEvalPython" in plan and "regexp_extract_all" not in plan
+
+
+def test_tokens_of_ascii_texts_are_those_of_all_texts(spark):
+    odd = ["Mr. Dr.x St.'s", "n't nn't n'tx 'n't", "can't cannot CANNOT. I'm she's'll 'D", "a\x0bb\x0cc\r\n", "''s Ms.. _n't"]
+    df = table(spark, [*odd, *mixed_texts(300, seed=5)])
+    pair = df.select(tx.tokens_ascii(T).alias("a"), tx.tokens(T).alias("b"))
+    assert pair.filter(~F.col("a").eqNullSafe(F.col("b"))).collect() == []
+
+
+def test_tagged_tokens_leave_python_as_columns(spark):
+    def load():
+        return lambda texts: [[(n, w, None, n // 2, None) for n, w in enumerate(t.split())] for t in texts]
+
+    rows = tag_texts(table(spark, ["a b c", None, "", "d"]).coalesce(1), load, batch_size=2).orderBy("doc_id").collect()
+    assert [[tuple(t) for t in r["tagged"]] for r in rows] == [
+        [(0, "a", None, 0, None), (1, "b", None, 0, None), (2, "c", None, 1, None)], [], [], [(0, "d", None, 0, None)],
+    ]
+    df = tag_texts(table(spark, ["a"]), load)
+    # Rows of dicts cost far more than the tagger.
+    assert "MapInArrow" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_no_tag_is_counted_token_by_token(spark):
+    df = spark.createDataFrame([], f"doc_id int, t {ft.TAGGED_TYPE}")
+    plan = df.select(ft.syntax_features(F.col("t"))["verb_ratio"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan
