@@ -73,10 +73,10 @@ def near_attacks(spark, folder):
 
 
 def tagged(df):
-    """A tagged-token column by a fixed rule: tag by ending, head by place, seven to a sentence."""
+    """A tagged-token column of cleaned texts by a fixed rule: tag by ending, head by place, seven to a sentence."""
 
-    def token(t: Column, i: Column) -> Column:
-        low = F.lower(t)
+    def token(both: Column, i: Column) -> Column:
+        t, low = both["t"], both["low"]
         pos = (
             F.when(low.isin("you", "he", "she", "it", "they", "i"), F.lit("PRON"))
             .when(low.endswith("ly"), F.lit("ADV"))
@@ -90,7 +90,11 @@ def tagged(df):
             F.floor(i / 7).cast("int").alias("sent"),
         )
 
-    return df.withColumn("tagged", F.transform(tx.tokens(F.col("text")), token))
+    def tag(toks: Column) -> Column:
+        return F.transform(F.arrays_zip(toks.alias("t"), F.transform(toks, F.lower).alias("low")), token)
+
+    toks = df.withColumn("_toks", tx.tokens_ascii(F.col("text")))
+    return toks.withColumn("tagged", let(F.col("_toks"), tag)).drop("_toks")
 
 
 def tagged_counts(spark, folder):
