@@ -260,8 +260,12 @@ def combined_features(
     df: DataFrame, text_col: str = "text", tagged_col: str | None = None
 ) -> DataFrame:
     """The frame with all twenty text features; tag features are 0 without a tagged column."""
-    out = native_features(df, text_col)
+    return tagged_features(native_features(df, text_col), tagged_col)
+
+
+def tagged_features(df: DataFrame, tagged_col: str | None = None) -> DataFrame:
+    """The frame with the features of a tagged column, 0 without one."""
     if tagged_col is None:
         zeros = {c: F.lit(0 if c in COUNT_FEATURES else 0.0) for c in TAGGED_FEATURES}
-        return out.withColumns(zeros)
-    return out.withColumns(syntax_features(F.col(tagged_col)))
+        return df.withColumns(zeros)
+    return df.withColumns(syntax_features(F.col(tagged_col)))

@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
@@ -209,26 +210,43 @@ def _between_edges(key: str) -> str:
 
 
 def expand_ascii(
-    text: Column, passes: Sequence[Sequence[tuple[str, str]]] = lx.SUBSTITUTION_PASSES
+    text: Column, passes: Sequence[Sequence[tuple[str, str]]] = lx.SUBSTITUTION_PASSES, drop: bool = False
 ) -> Column:
     """``expand_all`` of texts that hold printable ASCII and blanks only, in Arrow batches.
 
-    Arrow's automata read a text once, however many keys there are, and set marks around the keys found.
+    With ``drop``, ``keep_printable`` of any texts is taken in the same batches first. Arrow's automata read a text once, however many keys there are, and set marks around the keys found.
     Keys with other characters cannot be in such a text; values with others go the way of ``expand_all``.
     """
     plain = re.compile(r"[\t-\r -~]+")
     tables = [{k: v for k, v in dict(entries).items() if plain.fullmatch(k)} for entries in passes]
     tables = [t for t in tables if t]
     if not tables:
-        return text
+        return keep_printable(text) if drop else text
     if not all(plain.fullmatch(v) or not v for t in tables for v in t.values()):
-        return expand_all(text, passes)
+        return expand_all(keep_printable(text) if drop else text, passes)
     # Alternatives stand in the order of the entries, so that the earlier one wins.
     steps = [("|".join(map(_between_edges, t)), t) for t in tables]
 
+    def printable(batch: pa.Array) -> pa.Array:
+        whole = pa.concat_arrays([batch.cast(pa.large_string())])
+        at = np.frombuffer(whole.buffers()[1], np.int64)[whole.offset : whole.offset + len(whole) + 1]
+        raw = np.frombuffer(whole.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+        # All bytes of other characters lie beyond ASCII.
+        kept = (raw >= 0x20) & (raw <= 0x7E) | (raw >= 0x09) & (raw <= 0x0D)
+        dropped = np.flatnonzero(~kept)
+        if not len(dropped):
+            return batch
+        at = at - at[0]
+        at, mask = at - np.searchsorted(dropped, at), None
+        if batch.null_count:
+            mask = pa.py_buffer(np.packbits(whole.is_valid().to_numpy(zero_copy_only=False), bitorder="little"))
+        return pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(at), pa.py_buffer(raw[kept]), mask).cast(batch.type)
+
     @F.arrow_udf("string")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
+            if drop and len(batch):
+                batch = printable(batch)
             for keys, table in steps:
                 found = pc.fill_null(pc.match_substring_regex(batch, keys), False)
                 if not pc.any(found).as_py():
@@ -248,7 +266,7 @@ def clean(
     text: Column, passes: Sequence[Sequence[tuple[str, str]]] = lx.SUBSTITUTION_PASSES
 ) -> Column:
     """The cleaning chain: links, addresses, non-ASCII characters, shorthand."""
-    return expand_ascii(keep_printable(remove_emails(remove_urls(text))), passes)
+    return expand_ascii(remove_emails(remove_urls(text)), passes, drop=True)
 
 
 # -- splitting ----------------------------------------------------------------------------

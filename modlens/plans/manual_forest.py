@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from modlens import lexicons as lx
-from modlens.functions.features import combined_features
+from modlens.functions.features import combined_features, tagged_features
 from modlens.functions.identity import Lexicon, Sentiment
-from modlens.operators import models
+from modlens.operators import feature_batches, models
 from modlens.operators.identity import identity_columns
 from modlens.operators.normalise import clean_comments, normalise
 from modlens.operators.splits import random_split
@@ -29,9 +29,12 @@ def feature_table(
 ) -> DataFrame:
     """Comments with all 32 model inputs and ``normalized_text``.
 
-    One map-only job: cleaning, identity columns, negation and polarity, text features.
+    One map-only job: cleaning, identity columns, negation and polarity, text features. Cleaned texts are
+    ASCII, so their features are made in Arrow batches; the rows are the same.
     """
     df = clean_comments(comments, text_col) if clean else comments
+    if clean and sentiment is None and feature_batches.fits(lexicon):
+        return tagged_features(feature_batches.batch_features(df, text_col, lexicon, stop_words), tagged_col)
     df = identity_columns(df, text_col, lexicon, sentiment)
     df = normalise(df, text_col, lexicon, stop_words)
     return combined_features(df, "normalized_text", tagged_col)
